@@ -65,11 +65,13 @@ def rgb_to_hsv(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]
     r, g, b = (c.cast("double") / 255.0 for c in (r, g, b))
     top, low = F.greatest(r, g, b), F.least(r, g, b)
     span = top - low
+    # Same operation order as the standard library's rgb_to_hsv: hues on a rule boundary must agree with it.
+    far_r, far_g, far_b = ((top - c) / span for c in (r, g, b))
     sector = (
         F.when(span == 0, F.lit(0.0))
-        .when(r == top, (g - b) / span)
-        .when(g == top, F.lit(2.0) + (b - r) / span)
-        .otherwise(F.lit(4.0) + (r - g) / span)
+        .when(r == top, far_b - far_g)
+        .when(g == top, F.lit(2.0) + far_r - far_b)
+        .otherwise(F.lit(4.0) + far_g - far_r)
     )
     hue = F.pmod(sector / 6.0, F.lit(1.0)) * 360.0
     sat = F.when(top == 0, F.lit(0.0)).otherwise(span / top)

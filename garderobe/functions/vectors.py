@@ -6,8 +6,10 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _rows(column: pa.Array) -> np.ndarray:
@@ -16,7 +18,7 @@ def _rows(column: pa.Array) -> np.ndarray:
     return flat.astype(np.float64).reshape(len(column), -1)
 
 
-@F.arrow_udf("double")
+@F.arrow_udf(T.DoubleType())
 def dot(x: pa.Array, y: pa.Array) -> pa.Array:
     """Row-wise dot product in double precision; null where a side is null or the lengths differ."""
     lx, ly = x.value_lengths(), y.value_lengths()
@@ -81,7 +83,7 @@ def style_logits(prompts: list[list[float]], temperature: float):
     """Arrow function mapping unit vectors to ``temperature * (prompts @ v)``; null in, null out."""
     matrix = np.asarray(prompts, dtype=np.float64)
 
-    @F.arrow_udf("array<double>")
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def logits(x: pa.Array) -> pa.Array:
         known = pa.compute.fill_null(pa.compute.equal(x.value_lengths(), matrix.shape[1]), False)
         hit = known.to_numpy(zero_copy_only=False)

@@ -1 +1,15 @@
+"""All registered queries."""
 
+from __future__ import annotations
+
+from importlib import import_module
+
+MODULES = ("wardrobe",)
+
+
+def load():
+    from garderobe.registry import base
+
+    for name in MODULES:
+        import_module(f"garderobe.registry.{name}")
+    return base.QUERIES, base.ORACLES
