@@ -20,7 +20,8 @@ def category_pair_score(a: Column, b: Column) -> Column:
 
 
 def rescale_cosine(cos: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (cos - v.COSINE_LOW) / (v.COSINE_HIGH - v.COSINE_LOW)))
+    scaled = (cos - v.COSINE_LOW) / (v.COSINE_HIGH - v.COSINE_LOW)
+    return F.when(scaled < 0, F.lit(0.0)).when(scaled > 1, F.lit(1.0)).otherwise(scaled)
 
 
 def shifted_cosine(cos: Column) -> Column:
@@ -41,7 +42,7 @@ def heuristic_score(cos: Column, slot_a: Column, slot_b: Column) -> Column:
 
 
 def logit(p: Column) -> Column:
-    q = F.least(F.greatest(p, F.lit(1e-4)), F.lit(1 - 1e-4))
+    q = F.when(p < 1e-4, F.lit(1e-4)).when(p > 1 - 1e-4, F.lit(1 - 1e-4)).otherwise(p)
     return F.log(q / (F.lit(1.0) - q))
 
 

@@ -37,7 +37,8 @@ def style_similarity(a: Column, b: Column) -> Column:
 
 def style_match(scores: Column, style: str) -> Column:
     peak = F.array_max(scores)
-    return F.least(F.lit(1.0), style_of(scores, style) / F.when(peak == 0, F.lit(1.0)).otherwise(peak))
+    share = style_of(scores, style) / F.when(peak == 0, F.lit(1.0)).otherwise(peak)
+    return F.when(share > 1, F.lit(1.0)).otherwise(share)
 
 
 def occasion_match(scores: Column, occasion: str) -> Column:

@@ -31,6 +31,8 @@ PALETTE_NAMES = "[" + ", ".join(quoted(n) for n, _ in PALETTE) + "]"
 PALETTE_HEX = "[" + ", ".join(quoted(h) for _, h in PALETTE) + "]"
 STYLE_NAMES = "[" + ", ".join(quoted(s) for s in v.STYLES) + "]"
 
+DOTS = ", ".join(f"100.0 * list_dot_product(q[{i}], b.vec)" for i in range(1, 8))
+
 ITEMS = f"""
 item_base AS (
   SELECT e.vec_id % 20 AS wardrobe_id, 'it' || e.vec_id AS item_id, e.vec_id AS seq,
@@ -45,13 +47,12 @@ item_base AS (
     p_size % 3 * 60 AS x1, p_size % 4 * 70 AS y1, p_size % 3 * 60 + 100 + p_size % 5 * 10 AS x2,
     p_size % 4 * 70 + 150 AS y2,
     CASE WHEN e.vec_id % 50 = 7 THEN 'old' ELSE 'enc64' END AS embedding_model,
-    CASE WHEN e.vec_id % 53 = 5 THEN NULL WHEN e.vec_id % 25 = 3 AND e.vec_id >= 20 THEN c.embedding::DOUBLE[]
-      ELSE e.embedding::DOUBLE[] END AS embedding
-  FROM embeddings e JOIN part p ON e.vec_id = p.p_partkey LEFT JOIN embeddings c ON c.vec_id = e.vec_id - 20),
+    CASE WHEN e.vec_id % 53 <> 5 THEN c.embedding::DOUBLE[] END AS embedding, c.embedding::DOUBLE[] AS vec
+  FROM embeddings e JOIN part p ON e.vec_id = p.p_partkey JOIN embeddings c
+    ON c.vec_id = CASE WHEN e.vec_id % 25 = 3 AND e.vec_id >= 20 THEN e.vec_id - 20 ELSE e.vec_id END),
 prompts AS (SELECT list(embedding::DOUBLE[] ORDER BY vec_id) AS q FROM embeddings WHERE vec_id < 7),
 item_logits AS (
-  SELECT b.*, CASE WHEN embedding IS NOT NULL THEN
-    list_transform(q, lambda z: 100.0 * list_dot_product(z, coalesce(embedding, q[1]))) END AS lg FROM item_base b, prompts),
+  SELECT b.*, CASE WHEN b.embedding IS NOT NULL THEN [{DOTS}] END AS lg FROM item_base b, prompts),
 item_scores AS (
   SELECT * EXCLUDE (lg), list_transform(lg, lambda z: round(exp(z - list_max(lg)) /
     list_sum(list_transform(lg, lambda y: exp(y - list_max(lg)))), 4)) AS style_scores FROM item_logits),
