@@ -9,7 +9,7 @@ from garderobe.functions import colour, lookup, scores, style, vectors
 from garderobe.operators import wardrobe as w
 from garderobe.plans import bindings as b
 from garderobe.registry.base import register
-from garderobe.registry.common import case_map, sql_list, values, with_items
+from garderobe.registry.common import NEUTRAL_SQL, case_map, values, with_items
 
 MODEL, DIM = b.ENCODER, b.ENCODER_DIM
 
@@ -424,7 +424,7 @@ def _style_by(spark, sf):
 
 AFF = "[" + ", ".join(str(x) for x in v.OCCASION_AFFINITY["date"]) + "]"
 _CTX = (
-    "least(1.0, style_scores[3] / list_max(style_scores)) AS style_match, "
+    "CASE WHEN style_scores IS NOT NULL THEN least(1.0, style_scores[3] / list_max(style_scores)) END AS style_match, "
     f"list_sum(list_transform(range(1, 8), lambda i: style_scores[i] * {AFF}[i])) / list_sum(style_scores) AS occasion_match"
 )
 
@@ -507,7 +507,7 @@ def _labels_for_slot(spark, sf):
     )
 
 
-NEUTRAL_SQL = sql_list(v.NEUTRALS)
+
 
 
 @register(
