@@ -10,8 +10,19 @@ from pyspark.sql import functions as F
 from garderobe import vocab as v
 
 
+def sql_literal(x) -> str:
+    if isinstance(x, str):
+        return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"{x!r}D" if isinstance(x, float) else repr(x)
+
+
 def inline_map(table: dict) -> Column:
-    return F.create_map(*[F.lit(x) for x in chain.from_iterable(table.items())])
+    """A constant map, sent to the JVM as one expression instead of one call per entry."""
+    return F.expr("map(" + ", ".join(sql_literal(x) for x in chain.from_iterable(table.items())) + ")")
+
+
+def inline_array(values) -> Column:
+    return F.expr("array(" + ", ".join(sql_literal(x) for x in values) + ")")
 
 
 def lookup(table: dict, key: Column) -> Column:

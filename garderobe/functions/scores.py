@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from garderobe import vocab as v
+from garderobe.functions.lookup import lookup
 
 
 def category_pair_score(a: Column, b: Column) -> Column:
@@ -15,7 +16,7 @@ def category_pair_score(a: Column, b: Column) -> Column:
     for (p, q), score in v.SLOT_PAIR_SCORE.items():
         table[f"{p}+{q}"] = table[f"{q}+{p}"] = score
     key = F.concat_ws("+", a, b)
-    found = F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
+    found = lookup(table, key)
     return F.when(a == b, F.lit(0.0)).when(a.isNotNull() & b.isNotNull(), F.coalesce(found, F.lit(v.UNKNOWN_SLOT_PAIR)))
 
 

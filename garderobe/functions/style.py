@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from garderobe import vocab as v
+from garderobe.functions.lookup import inline_array
 
 
 def total(scores: Column) -> Column:
@@ -17,7 +18,7 @@ def style_of(scores: Column, style: str) -> Column:
 
 
 def top_style(scores: Column) -> Column:
-    names = F.array(*[F.lit(s) for s in v.STYLES])
+    names = inline_array(v.STYLES)
     return F.get(names, (F.array_position(scores, F.array_max(scores)) - 1).cast("int"))
 
 
@@ -45,7 +46,7 @@ def occasion_match(scores: Column, occasion: str) -> Column:
     """Expected affinity under the distribution; null for an occasion without a table."""
     if occasion not in v.OCCASION_AFFINITY:
         return F.lit(None).cast("double")
-    weights = F.array(*[F.lit(x) for x in v.OCCASION_AFFINITY[occasion]])
+    weights = inline_array(v.OCCASION_AFFINITY[occasion])
     mass = total(scores)
     return total(F.zip_with(scores, weights, lambda p, w: p * w)) / F.when(mass == 0, F.lit(1.0)).otherwise(mass)
 

@@ -18,9 +18,7 @@ def _rows(column: pa.Array) -> np.ndarray:
     return flat.astype(np.float64).reshape(len(column), -1)
 
 
-@F.arrow_udf(T.DoubleType())
-def dot(x: pa.Array, y: pa.Array) -> pa.Array:
-    """Row-wise dot product in double precision; null where a side is null or the lengths differ."""
+def _dot(x: pa.Array, y: pa.Array) -> pa.Array:
     lx, ly = x.value_lengths(), y.value_lengths()
     same = pa.compute.fill_null(pa.compute.equal(lx, ly), False).to_numpy(zero_copy_only=False)
     out = np.full(len(x), np.nan)
@@ -35,6 +33,11 @@ def dot(x: pa.Array, y: pa.Array) -> pa.Array:
     return pa.array(out, mask=~same)
 
 
+# Row-wise dot product in double precision; null where a side is null or the lengths differ. Marked
+# non-deterministic so that a filter on the result does not make Spark compute it a second time.
+dot = F.arrow_udf(_dot, T.DoubleType()).asNondeterministic()
+
+
 def dot_expr(x: Column, y: Column) -> Column:
     """The same product as a pure Column expression, for short arrays."""
     return F.aggregate(
@@ -83,7 +86,6 @@ def style_logits(prompts: list[list[float]], temperature: float):
     """Arrow function mapping unit vectors to ``temperature * (prompts @ v)``; null in, null out."""
     matrix = np.asarray(prompts, dtype=np.float64)
 
-    @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def logits(x: pa.Array) -> pa.Array:
         known = pa.compute.fill_null(pa.compute.equal(x.value_lengths(), matrix.shape[1]), False)
         hit = known.to_numpy(zero_copy_only=False)
@@ -93,4 +95,4 @@ def style_logits(prompts: list[list[float]], temperature: float):
         offsets = np.arange(0, scores.size + 1, matrix.shape[0], dtype=np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(scores.ravel()), mask=pa.array(~hit))
 
-    return logits
+    return F.arrow_udf(logits, T.ArrayType(T.DoubleType())).asNondeterministic()

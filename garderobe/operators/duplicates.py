@@ -120,9 +120,12 @@ def lsh_duplicates(
 
     keys = list(keys)
     reach = math.sqrt(2 - 2 * threshold)
-    reps = distinct_vectors(items, keys).select(
-        *keys, "rep", "rep_id", "copies", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("vec")
-    )
+    # Used by the fit and by both join sides, and the vector converter must not move below the null filter.
+    reps = cut_lineage(
+        distinct_vectors(items, keys).select(
+            *keys, "rep", "rep_id", "copies", F.transform("embedding", lambda x: x.cast("double")).alias("vec")
+        )
+    ).withColumn("vec", array_to_vector("vec"))
     lsh = BucketedRandomProjectionLSH(
         inputCol="vec", outputCol="hashes", bucketLength=4 * reach, numHashTables=tables, seed=seed
     )
@@ -160,18 +163,23 @@ def connected_components(edges: DataFrame, keys: Sequence[str], max_rounds: int
         .unionByName(edges.select(*keys, F.col("b").alias("node"), F.col("a").alias("peer")))
         .distinct()
     )
-    labels = both.groupBy(*keys, "node").agg(F.least(F.min("peer"), F.col("node")).alias("label"))
+    labels = cut_lineage(both.groupBy(*keys, "node").agg(F.least(F.min("peer"), F.col("node")).alias("label")))
+    if labels.limit(1).count() == 0:
+        return labels
     for _ in range(max_rounds):
-        labels = cut_lineage(labels)
         offered = both.join(labels.select(*keys, F.col("node").alias("peer"), F.col("label").alias("_l")), [*keys, "peer"])
         lowest = offered.groupBy(*keys, "node").agg(F.min("_l").alias("_l"))
-        moved = labels.join(lowest, [*keys, "node"]).select(*keys, "node", "label", F.least("label", "_l").alias("_new"))
-        jump = moved.select(*keys, F.col("node").alias("_new"), F.col("_new").alias("_next"))
-        moved = moved.join(jump, [*keys, "_new"], "left").withColumn("_next", F.least("_new", F.coalesce("_next", "_new")))
+        jump = labels.select(*keys, F.col("node").alias("_to"), F.col("label").alias("_next"))
+        moved = (
+            labels.join(lowest, [*keys, "node"])
+            .withColumn("_to", F.least("label", "_l"))
+            .join(jump, [*keys, "_to"], "left")
+            .select(*keys, "node", F.col("label").alias("_old"), F.least("_to", "_next").alias("label"))
+        )
         moved = cut_lineage(moved)
-        if moved.filter(F.col("_next") != F.col("label")).limit(1).count() == 0:
+        labels = moved.select(*keys, "node", "label")
+        if moved.filter(F.col("_old") != F.col("label")).limit(1).count() == 0:
             return labels
-        labels = moved.select(*keys, "node", F.col("_next").alias("label"))
     raise RuntimeError(f"components did not settle within {max_rounds} rounds")
 
 

@@ -129,8 +129,8 @@ def recommend_for_item(
 ) -> DataFrame:
     """Best partners of every anchor: wearable together, not the same garment, score plus context shift.
 
-    With ``k``, each block pair keeps its own best k per anchor before anything is shuffled, so what travels
-    is k rows per anchor and block, not all pairs.
+    With ``k``, Spark's window group limit keeps the best k per anchor inside each task before the shuffle,
+    so what travels is k rows per anchor and block, not all pairs.
     """
     context = style.item_context(F.col("style_scores"), style_name, occasion)
     usable = items.withColumn("ctx", context)
@@ -156,9 +156,6 @@ def recommend_for_item(
     signals = F.array_join(F.transform(strongest, lambda s: s["n"]), ", ")
     scored = scored.withColumn("signals", F.when(signals == "", "no single strong signal").otherwise(signals))
     best = [F.col("score").desc(), F.col("b_ord").asc()]
-    if k is not None:
-        local = Window.partitionBy("wardrobe_id", "_bi", "_bj", "a_item_id").orderBy(*best)
-        scored = scored.withColumn("_r", F.row_number().over(local)).filter(F.col("_r") <= k).drop("_r")
     rank = Window.partitionBy("wardrobe_id", "a_item_id").orderBy(*best)
     ranked = scored.withColumn("position", F.row_number().over(rank))
     if k is not None:

@@ -49,11 +49,11 @@ def item_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     size = F.col("p_size")
     x1, y1 = (size % 3 * 60).cast("int"), (size % 4 * 70).cast("int")
-    entry = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(h).alias("hex")) for n, h in PALETTE])
+    names, hexes = (lookup.inline_array(x) for x in zip(*PALETTE))
 
     def colour(index: Column, share: float) -> Column:
-        pick = F.get(entry, index.cast("int"))
-        return F.struct(pick["name"].alias("name"), pick["hex"].alias("hex"), F.lit(share).alias("fraction"))
+        at = index.cast("int")
+        return F.struct(F.get(names, at).alias("name"), F.get(hexes, at).alias("hex"), F.lit(share).alias("fraction"))
 
     return (
         e.join(p, vec == F.col("p_partkey"))
@@ -135,7 +135,7 @@ def item_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detector output per order: label, confidence and xyxy floats on a 400 x 600 image."""
-    names = F.array(*[F.lit(x) for x in (*v.LABELS, "spoon", "lamp")])
+    names = lookup.inline_array((*v.LABELS, "spoon", "lamp"))
     part, supp = F.col("l_partkey"), F.col("l_suppkey")
     x1 = (supp % 4 * 70 - 20).cast("double")
     y1 = (part % 5 * 80).cast("double")
