@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from garderobe.functions.lookup import hash_int
+
 BLOCK_ROWS = 512
 SALTS = 16
 
@@ -80,7 +82,8 @@ def numbered(
     bucket sizes (``buckets`` rows per key) meet in one place. The numbering is dense and deterministic.
     """
     keys = list(keys)
-    parts = df.withColumn("_bucket", F.pmod(F.xxhash64(*uid), F.lit(buckets)).cast("int"))
+    bucket = F.pmod(hash_int(F.concat_ws("|", *uid)), F.lit(buckets)).cast("int")
+    parts = df.withColumn("_bucket", bucket)
     return number_buckets(parts, keys, "_bucket", order, name).drop("_bucket")
 
 
