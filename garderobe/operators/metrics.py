@@ -166,25 +166,28 @@ def auc_vs_kind(df: DataFrame, kind: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ bootstrap
-def poisson_weight(seed: int, replicate: Column, row_key: Column) -> Column:
-    """Poisson(1) weight of a row in a replicate: cut points of the distribution at or below a hashed uniform.
-
-    A Poisson weight per row is the distributed form of resampling with replacement: the replicate size is
-    not fixed, but no row has to know the others and every engine computes the same weights.
-    """
-    u = hash_unit(F.concat_ws(":", F.lit(str(seed)), replicate, row_key))
-    total, cuts = 0.0, []
-    for k in range(13):
-        total += math.exp(-1) / math.factorial(k)
-        cuts.append(F.when(u >= total, 1).otherwise(0))
-    return sum(cuts[1:], cuts[0])
+def poisson_cuts(terms: int = 13) -> list[float]:
+    """Cumulative probabilities of Poisson(1)."""
+    steps = [math.exp(-1) / math.factorial(k) for k in range(terms)]
+    return [sum(steps[: k + 1]) for k in range(terms)]
 
 
 def replicates(df: DataFrame, row_key: Sequence[str], n: int, seed: int) -> DataFrame:
-    """Rows with their weight in each replicate; rows a replicate leaves out are dropped before any shuffle."""
-    spread = df.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(n))))
-    weight = poisson_weight(seed, F.col("replicate"), F.concat_ws("|", *row_key))
-    return spread.withColumn("w", weight).filter(F.col("w") > 0)
+    """Rows with their weight ``w`` in each replicate; rows a replicate leaves out are dropped before any shuffle.
+
+    The weight is Poisson(1): the number of cumulative probabilities at or below a hashed uniform. That is the
+    distributed form of resampling with replacement: the replicate size is not fixed, but no row has to know
+    the others and every engine computes the same weights. The uniform is exploded from a one-element array so
+    that it is computed once and not inlined into every comparison.
+    """
+    # Every row becomes n rows: spread them first, so that few large input files do not mean few tasks.
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = df.repartition(parts, *row_key).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(n))))
+    u = hash_unit(F.concat_ws(":", F.lit(str(seed)), "replicate", F.concat_ws("|", *row_key)))
+    drawn = spread.withColumn("_u", F.explode(F.array(u)))
+    cuts = poisson_cuts()
+    over = [F.when(F.col("_u") >= c, 1).otherwise(0) for c in cuts]
+    return drawn.filter(F.col("_u") >= cuts[0]).withColumn("w", sum(over[1:], over[0])).drop("_u")
 
 
 def bootstrap_values(

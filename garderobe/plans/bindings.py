@@ -143,6 +143,7 @@ def raw_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_orderkey").alias("image_id"),
         F.lit(400).alias("width"),
         F.lit(600).alias("height"),
+        F.col("l_linenumber").alias("seq"),
         F.get(names, (part % 28).cast("int")).alias("label"),
         (((part * 7 + supp * 13) % 100).cast("double") / F.lit(100.0)).alias("confidence"),
         x1.alias("x1"),

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import functions as F
 
 from garderobe import vocab as v
@@ -20,6 +18,7 @@ from garderobe.registry.common import VECTORS, with_items
 from garderobe.registry.dataset import BASE_CTE, TYPED, hx, sampler
 from garderobe.registry.pairs import BASE, pairs_sql, usable
 from garderobe.registry.wardrobe import r6
+from garderobe.session import cut_lineage
 
 KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
@@ -156,11 +155,7 @@ def _vs_kind(spark, sf):
 
 
 def _cuts_sql(u: str) -> str:
-    total, parts = 0.0, []
-    for k in range(13):
-        total += math.exp(-1) / math.factorial(k)
-        parts.append(f"({u} >= {total!r}::DOUBLE)::INT")
-    return " + ".join(parts)
+    return " + ".join(f"({u} >= {c!r}::DOUBLE)::INT" for c in m.poisson_cuts())
 
 
 ROW = "l_orderkey || '|' || l_linenumber || '|' || l_partkey || '|' || l_suppkey"
@@ -260,7 +255,7 @@ def _heuristic(spark, sf):
 )
 def _baselines(spark, sf):
     pairs = embedded_pairs(spark, sf).withColumn("cosine", F.round("cosine", 9)).withColumn("heuristic", F.round("heuristic", 9))
-    out = m.baseline_comparison(pairs, ["random", "cosine", "heuristic"])
+    out = m.baseline_comparison(cut_lineage(pairs), ["random", "cosine", "heuristic"])
     return out.withColumn("roc_auc", F.round("roc_auc", 6)).withColumn("pr_auc", F.round("pr_auc", 6))
 
 
@@ -278,7 +273,7 @@ def _baselines(spark, sf):
 def _evaluate(spark, sf):
     pairs = sampler(spark, sf).typed_pairs()
     both = d.pair_embeddings(pairs, b.item_vectors(spark, sf), b.ENCODER_DIM).withColumn("cosine", dot("va", "vb"))
-    rows = both.select("split", "label", F.round(s.shifted_cosine(F.col("cosine")), 9).alias("score"))
+    rows = cut_lineage(both.select("split", "label", F.round(s.shifted_cosine(F.col("cosine")), 9).alias("score")))
     missing = d.missing_embedding_rate(pairs, b.item_vectors(spark, sf), b.ENCODER_DIM).select(
         "split", F.col("missing").alias("missing_embeddings")
     )
@@ -338,7 +333,7 @@ def real_and_fake(spark, sf):
                 "set_id", F.lit(label).alias("label"), F.round("plausibility", 9).alias("score")
             )
         )
-    return parts[0].unionByName(parts[1])
+    return cut_lineage(parts[0].unionByName(parts[1]))
 
 
 RF = (
