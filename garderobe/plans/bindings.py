@@ -9,7 +9,7 @@ from garderobe import vocab as v
 from garderobe.functions import boxes, lookup, style, vectors
 
 ENCODER, ENCODER_DIM = "enc64", 64
-EPOCH = 1704067200
+EPOCH = "timestamp_ntz'2024-01-01 00:00:00'"
 
 # --- Fixed values: one hex per colour name, in vocabulary order -----------------------------------
 PALETTE = (
@@ -62,7 +62,7 @@ def item_base(spark: SparkSession, sf_dir: str) -> DataFrame:
             (vec % 20).alias("wardrobe_id"),
             F.concat(F.lit("it"), vec).alias("item_id"),
             vec.alias("seq"),
-            F.timestamp_seconds(F.lit(EPOCH) + vec).alias("created_at"),
+            F.expr(f"{EPOCH} + make_dt_interval(0, 0, 0, vec_id)").alias("created_at"),
             slot_of_type(F.col("p_type")).alias("category"),
             F.col("p_name").alias("label"),
             F.when(size % 10 == 0, "needs_review")

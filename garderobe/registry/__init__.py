@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("wardrobe", "pairs", "outfits", "dataset", "metrics", "audit", "detections", "tags")
+MODULES = ("wardrobe", "pairs", "outfits", "dataset", "metrics", "audit", "detections", "tags", "jobs")
 
 
 def load():
