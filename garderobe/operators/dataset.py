@@ -39,9 +39,10 @@ def prepare_outfits(raw: DataFrame, usable_ids: DataFrame) -> tuple[DataFrame, D
 # ------------------------------------------------------------------ pairs
 def positive_pairs(outfit_items: DataFrame) -> DataFrame:
     """Every pair of items seen in one outfit, in list order. A very large outfit is spread over pair blocks."""
+    members = outfit_items.select("split", "set_id", "ord", "item_id")
     pairs = pair_join(
-        outfit_items.select("split", "set_id", "ord", "item_id"),
-        outfit_items.select("split", "set_id", "ord", "item_id"),
+        members,
+        members,
         ["split", "set_id"],
         ["item_id"],
         lambda a, b: a("ord") < b("ord"),

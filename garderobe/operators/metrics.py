@@ -41,7 +41,10 @@ def running_counts(
     )
     cuts = score_cuts(df, score) if cuts is None else list(cuts)
     splits = [-math.inf, *cuts, math.inf]
-    ranged = Bucketizer(splits=splits, inputCol=score, outputCol="_range").transform(per_score)
+    if cuts:
+        ranged = Bucketizer(splits=splits, inputCol=score, outputCol="_range").transform(per_score)
+    else:
+        ranged = per_score.withColumn("_range", F.lit(0.0))
     totals = ranged.groupBy(*keys, "_range").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
     higher = Window.partitionBy(*keys).orderBy(F.col("_range").desc()).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)

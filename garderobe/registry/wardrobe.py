@@ -172,12 +172,12 @@ def _sort(spark, sf):
     "page_items",
     with_items(
         "SELECT wardrobe_id, item_id, position, pages FROM (SELECT *, row_number() OVER (PARTITION BY wardrobe_id ORDER BY "
-        "coalesce(confidence, 0) DESC, seq) AS position, ceil(count(*) OVER (PARTITION BY wardrobe_id) / 12.0)::BIGINT "
-        "AS pages FROM items) WHERE position BETWEEN 13 AND 24"
+        "coalesce(confidence, 0) DESC, seq) AS position, ceil(count(*) OVER (PARTITION BY wardrobe_id) / 4.0)::BIGINT "
+        "AS pages FROM items) WHERE position BETWEEN 5 AND 8"
     ),
 )
 def _page(spark, sf):
-    return w.page_items(b.item_base(spark, sf), 2, 12, "score").select("wardrobe_id", "item_id", "position", "pages")
+    return w.page_items(b.item_base(spark, sf), 2, 4, "score").select("wardrobe_id", "item_id", "position", "pages")
 
 
 COUNTS = values(list(v.DEMO_COUNTS.items()))
