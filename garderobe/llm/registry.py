@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from garderobe.llm import mixing, simhash
+from garderobe.llm import debruijn, mixing, rules, simhash, suffixes
 from garderobe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,13 +16,26 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_de_bruijn_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.remove_repeated_words(table(spark, sf_dir, "documents"))
+
+
+def op6_suffix_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeated_bytes(table(spark, sf_dir, "documents"))
+
+
+def op8_certified_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_simhash_bk_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_mix_sources, op9_simhash_bk_trees)}
+    chosen = (op3_mix_sources, op5_de_bruijn_substrings, op6_suffix_intervals, op8_certified_rules, op9_simhash_bk_trees)
+    return {f.__name__: f for f in chosen}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix_sources": mixing.ORACLE_SQL}
+    return {"op3_mix_sources": mixing.ORACLE_SQL, "op8_certified_rules": rules.ORACLE_SQL}
