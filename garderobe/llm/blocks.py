@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from garderobe.llm.common import Stash, raw
 
 PASS_UNITS = 1 << 20
-CHUNK_ANCHORS = 2_000_000
+CHUNK_ANCHORS = 1_000_000
 #: Anchors per bucket aimed at; buckets grow with the input.
-BUCKET_ANCHORS = 400_000
+BUCKET_ANCHORS = 250_000
 #: Anchors with so many different blocks in the sixteenth of the documents that is looked at are compared by window.
 CROWD = 200
 MOST_CROWDED = 10_000
@@ -315,7 +315,7 @@ BLOCK_KINDS = [np.uint64, np.uint64, np.int64, np.int32, np.int32, np.uint8]
 
 @dataclass
 class Bucket:
-    """Blocks of one bucket, sorted by anchor, block, document and place; ``content`` maps a block to its content."""
+    """Blocks of one bucket, sorted by anchor, block, document and place."""
 
     anchor: np.ndarray
     block: np.ndarray
@@ -323,23 +323,27 @@ class Bucket:
     variant: np.ndarray
     start: np.ndarray
     many: np.ndarray
-    content: dict[int, bytes]
+    where: dict[int, tuple[int, int, int]]
+    payloads: list[bytes]
+
+    def content(self, block: int) -> bytes:
+        i, at, size = self.where[block]
+        return self.payloads[i][at : at + size]
 
 
 def read_bucket(table: pa.Table, shape: Shape, slices: bool) -> Bucket:
-    parts, content = [], {}
-    for blob, payload in zip(table.column("blob"), table.column("payload"), strict=True):
-        part = unpack(blob.as_py(), BLOCK_KINDS)
-        text, at = payload.as_py(), 0
+    parts, where, payloads = [], {}, table.column("payload").to_pylist()
+    for i, blob in enumerate(table.column("blob")):
+        part, at = unpack(blob.as_py(), BLOCK_KINDS), 0
         new = first_of_runs(part[0], part[1])
         for b, m in zip(part[1][new].tolist(), part[5][new].tolist(), strict=True):
             size = m + shape.width - 1 if slices else 8 * m
-            content[b] = text[at : at + size]
+            where[b] = (i, at, size)
             at += size
         parts.append(part)
     columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
     order = np.lexsort((columns[4], columns[3], columns[2], columns[1], columns[0]))
-    return Bucket(*[c[order] for c in columns], content)
+    return Bucket(*[c[order] for c in columns], where, payloads)
 
 
 def repeated_blocks(docs: DataFrame, shape: Shape, slices: bool, resolve: Callable[[Bucket], pa.Table], schema: str, stash: Stash, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:

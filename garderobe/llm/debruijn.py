@@ -28,7 +28,7 @@ def resolve(bucket: Bucket) -> pa.Table:
     block = np.cumsum(head) - 1
     times = np.bincount(block)
     many = bucket.many[head].astype(np.int64)
-    windows = np.frombuffer(b"".join(bucket.content[b] for b in bucket.block[head].tolist()), np.uint64)
+    windows = np.frombuffer(b"".join(bucket.content(b) for b in bucket.block[head].tolist()), np.uint64)
     of = np.repeat(np.arange(len(many)), many)
     _, name = np.unique(windows, return_inverse=True)
     count = np.bincount(name, weights=times[of])[name].astype(np.int64)

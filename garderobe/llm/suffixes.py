@@ -44,7 +44,7 @@ def suffix_array(texts: list[bytes], group: np.ndarray, width: int) -> tuple[np.
     return text, offset, lcp, left
 
 
-def maximal_repeats(lcp: np.ndarray, left: np.ndarray, width: int) -> Iterator[tuple[int, int, int]]:
+def maximal_repeats(lcp: list[int], left: list[int], width: int) -> Iterator[tuple[int, int, int]]:
     """(length, first, last) of every interval of sorted suffixes with a common prefix of ``width`` or more that can't be
     extended to the left. A stack scan closes an interval of the tree when the common prefix falls below its length;
     it is left-diverse when two left bytes differ or one occurrence begins a text."""
@@ -55,9 +55,9 @@ def maximal_repeats(lcp: np.ndarray, left: np.ndarray, width: int) -> Iterator[t
     n = len(lcp)
     stack: list[list[int]] = []  # length, first suffix, common left byte or -1
     for i in range(1, n + 1):
-        depth = int(lcp[i]) if i < n else 0
+        depth = lcp[i] if i < n else 0
         depth = depth if depth >= width else 0
-        first, byte = i - 1, int(left[i - 1])
+        first, byte = i - 1, left[i - 1]
         while stack and stack[-1][0] > depth:
             length, first, held = stack.pop()
             byte = joined(held, byte)
@@ -69,16 +69,39 @@ def maximal_repeats(lcp: np.ndarray, left: np.ndarray, width: int) -> Iterator[t
             stack.append([depth, first, byte])
 
 
-def repeat_groups(texts: list[bytes], group: np.ndarray, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(length, texts, offsets) of each maximal repeat with all its occurrences. Only stretches of the array with long
-    common prefixes are scanned."""
-    text, offset, lcp, left = suffix_array(texts, group, width)
+def repeat_groups(lcp: np.ndarray, left: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(length, group, suffix): the maximal repeats with all their occurrences, group by group, as places in the suffix
+    array. Only stretches of the array with long common prefixes are scanned."""
     long = np.flatnonzero(lcp >= width)
-    for run in np.split(long, np.flatnonzero(np.diff(long) > 1) + 1):
-        if len(run):
-            a, b = run[0] - 1, run[-1] + 1
-            for length, first, last in maximal_repeats(lcp[a:b], left[a:b], width):
-                yield length, text[a + first : a + last + 1], offset[a + first : a + last + 1]
+    found = []
+    for run in np.split(long, np.flatnonzero(np.diff(long) > 1) + 1) if len(long) else []:
+        a = int(run[0]) - 1
+        found += [(n, a + i, a + j) for n, i, j in maximal_repeats(lcp[a : a + len(run) + 1].tolist(), left[a : a + len(run) + 1].tolist(), width)]
+    length, first, last = np.array(found, np.int64).reshape(-1, 3).T
+    many = last - first + 1
+    group = np.repeat(np.arange(len(many)), many)
+    return length, group, np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + first[group]
+
+
+def later_parts(texts: list[bytes], group: np.ndarray, owner: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start, size) of the parts of each text that a maximal repeat shares with an owner before its own."""
+    text, offset, lcp, left = suffix_array(texts, group, width)
+    length, repeat, suffix = repeat_groups(lcp, left, width)
+    if not len(length):
+        return (np.empty(0, np.int64),) * 3
+    has = owner[text[suffix]]
+    first = np.minimum.reduceat(has, np.flatnonzero(first_of_runs(repeat)))
+    loses = has > first[repeat]
+    most = np.zeros(len(text), np.int64)
+    np.maximum.at(most, suffix[loses], length[repeat[loses]])
+    lost = np.flatnonzero(most)
+    steps = np.zeros((len(texts), max(map(len, texts)) + 2), np.int32)
+    np.add.at(steps, (text[lost], offset[lost] + 1), 1)
+    np.add.at(steps, (text[lost], offset[lost] + 1 + most[lost]), -1)
+    inside = np.cumsum(steps, axis=1) > 0
+    row, begin = np.nonzero(inside[:, 1:] & ~inside[:, :-1])
+    _, end = np.nonzero(inside[:, :-1] & ~inside[:, 1:])
+    return row, begin, end - begin
 
 
 def resolve(bucket: Bucket) -> pa.Table:
@@ -90,19 +113,20 @@ def resolve(bucket: Bucket) -> pa.Table:
     owner = bucket.doc[head][block]
     later = bucket.doc > owner
     out = [(bucket.doc[later], bucket.variant[later], bucket.start[later], bucket.many[later].astype(np.int64) + WIDTH - 1)]
-    anchors, group = bucket.anchor[head], np.cumsum(first_of_runs(bucket.anchor[head])) - 1
+    group = np.cumsum(first_of_runs(bucket.anchor[head])) - 1
     mixed = np.flatnonzero(np.bincount(group)[group] > 1)
     rows = np.flatnonzero(~later)
-    first_row = np.searchsorted(block[rows], np.arange(len(anchors)))
-    last_row = np.searchsorted(block[rows], np.arange(len(anchors)), side="right")
+    first_row = np.searchsorted(block[rows], np.arange(len(group)))
+    many_rows = np.searchsorted(block[rows], np.arange(len(group)), side="right") - first_row
     owners, names = bucket.doc[head], bucket.block[head].tolist()
     cuts = np.flatnonzero(np.diff(group[mixed])) + 1
-    for batch in _batches([part for part in np.split(mixed, cuts) if len(part)], 4000):
-        for length, text, offset in repeat_groups([bucket.content[names[b]] for b in batch.tolist()], group[batch], WIDTH):
-            has = owners[batch[text]]
-            for b, o in zip(batch[text[has > has.min()]].tolist(), offset[has > has.min()].tolist(), strict=True):
-                own = rows[first_row[b] : last_row[b]]
-                out.append((bucket.doc[own], bucket.variant[own], bucket.start[own] + o, np.full(len(own), length)))
+    for batch in _batches([part for part in np.split(mixed, cuts) if len(part)], 10_000):
+        text, start, size = later_parts([bucket.content(names[b]) for b in batch.tolist()], group[batch], owners[batch], WIDTH)
+        b = batch[text]
+        times = many_rows[b]  # an owner may hold a block several times
+        turn = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        own = rows[np.repeat(first_row[b], times) + turn]
+        out.append((bucket.doc[own], bucket.variant[own], bucket.start[own] + np.repeat(start, times), np.repeat(size, times)))
     doc, variant, start, size = (np.concatenate(c) for c in zip(*out, strict=True))
     return pa.table({"doc_id": doc, "variant": variant.astype(np.int32), "start": start.astype(np.int64), "size": size.astype(np.int64)})
 
