@@ -37,7 +37,7 @@ class ToxicModel:
         return float(1 / (1 + np.exp(-np.clip(self.bias + sum(self.weight[w] for w in found), -30, 30))))
 
 
-def nnpu_fit(positive: list[set], unlabelled: list[set], prior: float, rounds: int = ROUNDS, rate: float = 0.05, sparse: float = 2e-4) -> ToxicModel:
+def nnpu_fit(positive: list[set], unlabelled: list[set], prior: float, rounds: int = ROUNDS, rate: float = 0.2, sparse: float = 1e-4) -> ToxicModel:
     """Minimise prior * E_P[loss(+)] + max(0, E_U[loss(-)] - prior * E_P[loss(-)]) with the logistic loss.
 
     While the second term, the risk on negatives, is below zero the step goes against it, so that the classifier can't
