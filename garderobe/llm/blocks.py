@@ -254,6 +254,18 @@ def crowded_anchors(docs: DataFrame, shape: Shape, crowd: int = CROWD) -> np.nda
     return np.sort(np.array([r["anchor"] for r in rows], np.int64).view(np.uint64))
 
 
+def one_by_one(anchor, doc, start, many, whole, base, crowded):
+    """Blocks of crowded anchors taken apart: each window is a block of its own under its own hash."""
+    if not len(crowded):
+        return anchor, doc, start, many
+    single = crowded[np.minimum(np.searchsorted(crowded, anchor), len(crowded) - 1)] == anchor
+    times = np.where(single, many, 1)
+    turn = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    anchor, doc, start, many, single = (np.repeat(c, times) for c in (anchor, doc, start, many, single))
+    start = start + np.where(single, turn, 0)
+    return np.where(single, whole[base[doc] + start], anchor), doc, start, np.where(single, 1, many)
+
+
 def _block_rows(shape: Shape, buckets: int, crowded: np.ndarray, slices: bool) -> Callable:
     """Of documents with the starts of their repeated blocks: those blocks by bucket of their anchor.
 
@@ -278,14 +290,7 @@ def _block_rows(shape: Shape, buckets: int, crowded: np.ndarray, slices: bool) -
                     continue
                 base = np.cumsum(lengths) - lengths
                 whole = run_hashes(mix(x + np.uint64(1)), shape.width)
-                if len(crowded):
-                    single = crowded[np.minimum(np.searchsorted(crowded, anchor), len(crowded) - 1)] == anchor
-                    times = np.where(single, many, 1)
-                    turn = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                    anchor, doc, start, many, single = (np.repeat(c, times) for c in (anchor, doc, start, many, single))
-                    start = start + np.where(single, turn, 0)
-                    many = np.where(single, 1, many)
-                    anchor = np.where(single, whole[base[doc] + start], anchor)
+                anchor, doc, start, many = one_by_one(anchor, doc, start, many, whole, base, crowded)
                 at = base[doc] + start
                 block = chain(chain(whole[at], whole[at + many - 1]), many.astype(np.uint64))
                 order = np.lexsort((start, variants[first:last][doc], ids[first:last][doc], block, anchor))
@@ -361,6 +366,127 @@ def repeated_blocks(docs: DataFrame, shape: Shape, slices: bool, resolve: Callab
     return apart, found
 
 
+def repeated_blocks(docs: DataFrame, shape: Shape, slices: bool, resolve: Callable[[Bucket], pa.Table], schema: str, stash: Stash, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
+    """(documents hashed by id and variant, what ``resolve`` makes of each bucket of repeated blocks)."""
+    apart = told_apart(docs)
+    buckets = bucket_count(apart, shape)
+    anchors = apart.mapInArrow(_anchor_rows(shape, buckets), "bucket long, blob binary")
+    places = anchors.groupBy("bucket").applyInArrow(_repeated, "doc_id long, variant int, start int")
+    places = stash.keep(places)
+    crowded = crowded_anchors(apart, shape, crowd)
+    starts = places.groupBy("doc_id", "variant").agg(F.collect_list("start").alias("starts"))
+    joined = apart.join(starts, ["doc_id", "variant"])
+    blocks = joined.select("doc_id", "variant", "text", "starts").mapInArrow(_block_rows(shape, buckets, crowded, slices), "bucket long, blob binary, payload binary")
+    found = blocks.groupBy("bucket").applyInArrow(lambda t: resolve(read_bucket(t, shape, slices)), schema)
+    return apart, found
+
+
+OWNED_KINDS = [np.uint64, np.uint64, np.int64, np.int32, np.int32, np.uint8, np.uint8]  # ..., windows, whether KNOWN
+LOW_48 = np.uint64((1 << 48) - 1)
+
+
+def _owned_rows(shape: Shape, buckets: int, crowded: np.ndarray) -> Callable:
+    """All blocks of a partition as blobs by bucket: 48 bits of the anchor, 48 of the content, the place.
+
+    Of equal blocks in a chunk only those of the smallest document go to the bucket of the anchor; the others are KNOWN
+    to have an earlier owner and only pass through, dealt over all buckets. Rows stay in document order and documents
+    are sent as differences, which the compressed shuffle makes small.
+    """
+
+    def flush(parts):
+        anchor, block, doc, variant, start, many = (np.concatenate(c) for c in zip(*parts, strict=True))
+        order = np.lexsort((doc, block, anchor))
+        new = first_of_runs(anchor[order], block[order])
+        owner = doc[order][new][np.cumsum(new) - 1]
+        known = np.zeros(len(doc), np.uint8)
+        known[order] = doc[order] > owner
+        spread = np.where(known > 0, mix(np.arange(len(doc), dtype=np.uint64)), mix(anchor))
+        anchor, block = np.where(known > 0, np.uint64(0), anchor & LOW_48), np.where(known > 0, np.uint64(0), block & LOW_48)
+        bucket = (spread % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        rows = np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1)
+        blobs = [pack([anchor[r], block[r], np.diff(doc[r], prepend=0), variant[r].astype(np.int32), start[r].astype(np.int32), many[r].astype(np.uint8), known[r]]) for r in rows]
+        return pa.RecordBatch.from_arrays([pa.array([int(bucket[r[0]]) for r in rows], pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+
+    def run(batches):
+        parts, held = [], 0
+        for batch in batches:
+            ids, variants = _ids(batch)
+            for x, lengths, first, last in passes(batch, shape):
+                anchor, doc, start, many = find_blocks(x, lengths, shape)
+                if len(anchor):
+                    base, whole = np.cumsum(lengths) - lengths, run_hashes(mix(x + np.uint64(1)), shape.width)
+                    anchor, doc, start, many = one_by_one(anchor, doc, start, many, whole, base, crowded)
+                    at = base[doc] + start
+                    block = chain(chain(whole[at], whole[at + many - 1]), many.astype(np.uint64))
+                    parts.append((anchor, block, ids[first:last][doc], variants[first:last][doc], start.astype(np.int32), many.astype(np.uint8)))
+                    held += len(anchor)
+                if held >= CHUNK_ANCHORS:
+                    yield flush(parts)
+                    parts, held = [], 0
+        if parts:
+            yield flush(parts)
+
+    return run
+
+
+def _owners(shape: Shape) -> Callable:
+    """Of a bucket: blocks with an earlier owner of the same content (anchor null), and the owners' blocks of every
+    anchor that has several contents (with the anchor)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        parts = [unpack(b.as_py(), OWNED_KINDS) for b in table.column("blob")]
+        for part in parts:
+            part[2] = np.cumsum(part[2])
+        anchor, block, doc, variant, start, many, known = (np.concatenate(c) for c in zip(*parts, strict=True))
+        passed = np.flatnonzero(known)
+        sent = np.flatnonzero(known == 0)
+        sent = sent[np.lexsort((doc[sent], block[sent], anchor[sent]))]
+        head = first_of_runs(anchor[sent], block[sent])
+        later = doc[sent] > doc[sent][head][np.cumsum(head) - 1] if len(sent) else np.empty(0, bool)
+        group = np.cumsum(first_of_runs(anchor[sent])) - 1
+        contents = np.bincount(group, weights=head) if len(sent) else np.empty(0)
+        mixed = sent[~later & (contents[group] > 1)] if len(sent) else sent
+        gone = np.concatenate([passed, sent[later]])
+        rows = np.concatenate([gone, mixed])
+        names = pa.array(np.concatenate([np.zeros(len(gone), np.int64), anchor[mixed].astype(np.int64)]), mask=np.arange(len(rows)) < len(gone))
+        return pa.table({"doc_id": doc[rows], "variant": variant[rows], "start": start[rows].astype(np.int64), "size": many[rows].astype(np.int64) + shape.width - 1, "anchor": names})
+
+    return run
+
+
+def owned_blocks(docs: DataFrame, shape: Shape, stash: Stash, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
+    """(documents told apart, (doc_id, variant, start, size, anchor)): see ``_owners``. One shuffle of hashes and places."""
+    apart = told_apart(docs)
+    buckets = bucket_count(apart, shape)
+    crowded = crowded_anchors(apart, shape, crowd)
+    rows = apart.mapInArrow(_owned_rows(shape, buckets, crowded), "bucket long, blob binary")
+    found = rows.groupBy("bucket").applyInArrow(_owners(shape), "doc_id long, variant int, start long, size long, anchor long")
+    return apart, stash.keep(found)
+
+
+def slices(apart: DataFrame, places: DataFrame) -> DataFrame:
+    """(anchor, doc_id, variant, start, content) of the places (doc_id, variant, start, size, anchor)."""
+
+    def run(batches):
+        for batch in batches:
+            names = ["anchor", "doc_id", "variant", "start", "content"]
+            out = [[] for _ in names]
+            texts, starts, sizes, anchors = (batch.column(c) for c in ("text", "starts", "sizes", "anchors"))
+            for i, (doc, variant) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("variant").to_pylist(), strict=True)):
+                data = raw(texts[i].as_py())
+                for a, s, n in zip(anchors[i].as_py(), starts[i].as_py(), sizes[i].as_py(), strict=True):
+                    for column, value in zip(out, (a, doc, variant, s, data[s : s + n]), strict=True):
+                        column.append(value)
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
+
+    per = places.groupBy("doc_id", "variant").agg(F.collect_list(F.struct("start", "size", "anchor")).alias("at"))
+    parts = [F.col(f"at.{n}").alias(f"{n}s") for n in ("start", "size", "anchor")]
+    joined = apart.join(per, ["doc_id", "variant"]).select("doc_id", "variant", "text", *parts)
+    return joined.mapInArrow(run, "anchor long, doc_id long, variant int, start long, content binary")
+
+
 def finish(apart: DataFrame, spans: DataFrame, digest: Callable, schema: str) -> DataFrame:
     """Join the removed spans (doc_id, variant, start, size) to their documents and let ``digest`` read both."""
     grouped = spans.groupBy("doc_id", "variant").agg(F.collect_list(F.struct("start", "size")).alias("spans"))

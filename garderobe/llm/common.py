@@ -48,11 +48,17 @@ class Stash:
 
     def drop(self, df: DataFrame) -> None:
         """Delete a table that this object wrote, once nothing lazy refers to it."""
-        jvm = self.spark._jvm
-        for path in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
-            if path.startswith(self.top.split(":", 1)[-1]) or path.startswith(self.top) or self.top.split("/")[-1] in path:
-                where = jvm.org.apache.hadoop.fs.Path(path)
-                where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+        jvm, own = self.spark._jvm, self.top.rsplit("/", 1)[-1]
+        for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+            if own in folder:
+                path = jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def packed(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` as one struct ``row`` beside the ``columns`` that a step reads, so that no other name can clash;
+    ``select("row.*")`` gives the columns back."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *columns)
 
 
 def components(edges: DataFrame, stash: Stash) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from garderobe.llm.common import word_count
+from garderobe.llm.common import packed, word_count
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -72,9 +72,9 @@ def mix_counts(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: every document as often as its count says, with the columns of ``docs``."""
-    counted = mix_counts(docs, **options)
+    counted = mix_counts(packed(docs, "doc_id", "text", "source"), **options)
     times = F.explode(F.array_repeat(F.lit(1), F.col("mix_copies").cast("int")))
-    return counted.withColumn("mix_turn", times).select(*docs.columns)
+    return counted.select("row", times.alias("turn")).select("row.*")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:

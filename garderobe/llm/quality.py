@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from garderobe.llm import crf
-from garderobe.llm.common import raw
+from garderobe.llm.common import packed, raw
 from garderobe.llm.training import clear_labels, fold, pick, texts_of
 
 SAMPLE = 5_000
@@ -137,4 +137,5 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataF
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """The rows of ``docs`` that the classifier doesn't reject, with the same columns."""
-    return scored(docs, learn(docs, labels)).where(F.col("quality_score") >= threshold).select(*docs.columns)
+    model = learn(docs.select("doc_id", "text"), labels)
+    return scored(packed(docs, "text"), model).where(F.col("quality_score") >= threshold).select("row.*")

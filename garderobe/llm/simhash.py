@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from garderobe.llm.common import Stash, components, raw
+from garderobe.llm.common import Stash, components, packed, raw
 
 SHARD_ROWS = 200_000
 HOT_SHARD = 50_000
@@ -218,6 +218,6 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     stay = stash.keep(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct())
     # hashed once, so that the join and the removal of repeated rows share one exchange of the texts
     stay = stay.select(F.col("doc_id").alias("kept_id"), F.xxhash64("doc_id").alias("kept_hash"))
-    hashed = docs.withColumn("kept_hash", F.xxhash64("doc_id"))
+    hashed = packed(docs, "doc_id").withColumn("kept_hash", F.xxhash64("doc_id"))
     kept = hashed.join(stay, "kept_hash").where(F.col("doc_id").eqNullSafe(F.col("kept_id")))
-    return kept.dropDuplicates(["kept_hash", "doc_id"]).select(*docs.columns)
+    return kept.dropDuplicates(["kept_hash", "doc_id"]).select("row.*")

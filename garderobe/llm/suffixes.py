@@ -8,12 +8,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from garderobe.llm.blocks import NO_ID, Bucket, Shape, covered, finish, first_of_runs, repeated_blocks, span_arrays
+from garderobe.llm.blocks import NO_ID, Shape, covered, finish, first_of_runs, owned_blocks, slices, span_arrays
 from garderobe.llm.common import Stash, raw
 
 WIDTH = 50
 ANCHOR = 20
+#: Rows of blocks found for each bucket of slices.
+SLICES_AT_ONCE = 200_000
 
 
 def suffix_array(texts: list[bytes], group: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -104,29 +107,31 @@ def later_parts(texts: list[bytes], group: np.ndarray, owner: np.ndarray, width:
     return row, begin, end - begin
 
 
-def resolve(bucket: Bucket) -> pa.Table:
-    """Spans of a bucket to remove. Equal blocks are one text, owned by their smallest document; all other documents
-    lose them whole. Different blocks of an anchor meet in a suffix array: where a maximal repeat has an owner before
-    theirs, the owners lose it too."""
-    head = first_of_runs(bucket.anchor, bucket.block)
-    block = np.cumsum(head) - 1
-    owner = bucket.doc[head][block]
-    later = bucket.doc > owner
-    out = [(bucket.doc[later], bucket.variant[later], bucket.start[later], bucket.many[later].astype(np.int64) + WIDTH - 1)]
-    group = np.cumsum(first_of_runs(bucket.anchor[head])) - 1
-    mixed = np.flatnonzero(np.bincount(group)[group] > 1)
-    rows = np.flatnonzero(~later)
-    first_row = np.searchsorted(block[rows], np.arange(len(group)))
-    many_rows = np.searchsorted(block[rows], np.arange(len(group)), side="right") - first_row
-    owners, names = bucket.doc[head], bucket.block[head].tolist()
-    cuts = np.flatnonzero(np.diff(group[mixed])) + 1
-    for batch in _batches([part for part in np.split(mixed, cuts) if len(part)], 10_000):
-        text, start, size = later_parts([bucket.content(names[b]) for b in batch.tolist()], group[batch], owners[batch], WIDTH)
+def resolve(table: pa.Table) -> pa.Table:
+    """Spans that owners lose, from a bucket of slices (anchor, doc_id, variant, start, content). Equal slices of an
+    anchor are one text with one owner; the texts of an anchor meet in a suffix array."""
+    anchor = table.column("anchor").to_numpy()
+    contents = table.column("content").to_pylist()
+    index: dict[tuple[int, bytes], int] = {}
+    text_of = np.array([index.setdefault(k, len(index)) for k in zip(anchor.tolist(), contents, strict=True)], np.int64)
+    keys = list(index)
+    doc, variant, at = (table.column(c).to_numpy() for c in ("doc_id", "variant", "start"))
+    owners = np.full(len(keys), NO_ID)
+    np.minimum.at(owners, text_of, doc)
+    names = np.array([a for a, _ in keys], np.int64)
+    order = np.argsort(names, kind="stable")
+    rows = np.argsort(text_of, kind="stable")
+    first_row = np.searchsorted(text_of[rows], np.arange(len(keys)))
+    many_rows = np.bincount(text_of, minlength=len(keys))
+    out = [(doc[:0], variant[:0], at[:0], at[:0])]
+    for batch in _batches(np.split(order, np.flatnonzero(np.diff(names[order])) + 1), 10_000):
+        group = np.cumsum(first_of_runs(names[batch])) - 1
+        text, start, size = later_parts([keys[b][1] for b in batch.tolist()], group, owners[batch], WIDTH)
         b = batch[text]
-        times = many_rows[b]  # an owner may hold a block several times
+        times = many_rows[b]
         turn = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
         own = rows[np.repeat(first_row[b], times) + turn]
-        out.append((bucket.doc[own], bucket.variant[own], bucket.start[own] + np.repeat(start, times), np.repeat(size, times)))
+        out.append((doc[own], variant[own], at[own] + np.repeat(start, times), np.repeat(size, times)))
     doc, variant, start, size = (np.concatenate(c) for c in zip(*out, strict=True))
     return pa.table({"doc_id": doc, "variant": variant.astype(np.int32), "start": start.astype(np.int64), "size": size.astype(np.int64)})
 
@@ -159,10 +164,17 @@ def _digest(batches):
 
 
 def repeated_bytes(docs: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
-    """(documents told apart, spans (doc_id, variant, start, size) of bytes that a smaller doc_id has as well)."""
+    """(documents told apart, spans (doc_id, variant, start, size) of bytes that a smaller doc_id has as well).
+
+    Equal blocks are compared by hashes; all documents but the smallest lose them. Different blocks of one anchor are
+    cut out of the owners' texts and meet in suffix arrays. The texts are hashed by document once: both joins of the
+    plan use that exchange.
+    """
     stash = Stash(docs.sparkSession)
-    apart, spans = repeated_blocks(docs, Shape(WIDTH, ANCHOR, False), True, resolve, "doc_id long, variant int, start long, size long", stash, **options)
-    return apart, stash.keep(spans)
+    apart, found = owned_blocks(docs, Shape(WIDTH, ANCHOR, False), stash, **options)
+    cut = slices(apart, found.where("anchor IS NOT NULL"))
+    rest = cut.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(max(8, found.count() // SLICES_AT_ONCE)))).applyInArrow(resolve, "doc_id long, variant int, start long, size long")
+    return apart, found.where("anchor IS NULL").drop("anchor").unionByName(rest)
 
 
 def remove_repeated_bytes(docs: DataFrame, **options) -> DataFrame:

@@ -17,8 +17,10 @@ from garderobe.llm.training import clear_labels, fold, pick, texts_of
 POSITIVES = 4_000
 UNLABELLED = 8_000
 ROUNDS = 300
-#: A word is a feature when it is in so many confirmed documents of the sample.
+#: A word is a feature when it is in so many confirmed documents of the sample and its share there differs from that
+#: in the unlabelled ones by a likelihood ratio (G squared) of at least this much.
 LEAST_DOCS = 5
+LEAST_RATIO = 15.0
 SPLIT = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
 
 
@@ -37,7 +39,16 @@ class ToxicModel:
         return float(1 / (1 + np.exp(-np.clip(self.bias + sum(self.weight[w] for w in found), -30, 30))))
 
 
-def nnpu_fit(positive: list[set], unlabelled: list[set], prior: float, rounds: int = ROUNDS, rate: float = 0.2, sparse: float = 1e-4) -> ToxicModel:
+def likelihood_ratio(a: int, n: int, b: int, m: int) -> float:
+    """G squared of a of n against b of m."""
+    out, share = 0.0, (a + b) / (n + m)
+    for hits, total in ((a, n), (b, m)):
+        for x, p in ((hits, share), (total - hits, 1 - share)):
+            out += 2 * x * np.log(x / (total * p)) if x else 0.0
+    return float(out)
+
+
+def nnpu_fit(positive: list[set], unlabelled: list[set], prior: float, rounds: int = ROUNDS, rate: float = 0.2, sparse: float = 3e-5) -> ToxicModel:
     """Minimise prior * E_P[loss(+)] + max(0, E_U[loss(-)] - prior * E_P[loss(-)]) with the logistic loss.
 
     While the second term, the risk on negatives, is below zero the step goes against it, so that the classifier can't
@@ -45,7 +56,9 @@ def nnpu_fit(positive: list[set], unlabelled: list[set], prior: float, rounds: i
     of words that only happen to stand in a few documents at zero.
     """
     seen = Counter(w for d in positive for w in d)
-    vocab = sorted(w for w, n in seen.items() if n >= LEAST_DOCS)
+    around = Counter(w for d in unlabelled for w in d if w in seen)
+    frequent = (w for w, n in seen.items() if n >= LEAST_DOCS)
+    vocab = sorted(w for w in frequent if likelihood_ratio(seen[w], len(positive), around[w], len(unlabelled)) >= LEAST_RATIO)
     index = {w: i for i, w in enumerate(vocab)}
 
     def matrix(docs):
