@@ -215,9 +215,6 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one document of each group: the one with the smallest id (one row of it, where rows repeat)."""
     stash = Stash(docs.sparkSession)
     found = simhash_groups(docs, stash=stash, **options)
-    stay = stash.keep(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct())
-    # hashed once, so that the join and the removal of repeated rows share one exchange of the texts
-    stay = stay.select(F.col("doc_id").alias("kept_id"), F.xxhash64("doc_id").alias("kept_hash"))
-    hashed = packed(docs, "doc_id").withColumn("kept_hash", F.xxhash64("doc_id"))
-    kept = hashed.join(stay, "kept_hash").where(F.col("doc_id").eqNullSafe(F.col("kept_id")))
-    return kept.dropDuplicates(["kept_hash", "doc_id"]).select("row.*")
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))  # one key, so that join and removal share an exchange
+    stay = stash.keep(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(name.alias("name")).distinct())
+    return packed(docs, "doc_id").withColumn("name", name).join(stay, "name").dropDuplicates(["name"]).select("row.*")
