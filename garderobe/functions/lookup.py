@@ -68,7 +68,7 @@ def short_id(item_id: Column) -> Column:
 
 
 def map_detected_category(label: Column) -> Column:
-    flat = {word: cat for cat, words in v.DETECTED_CATEGORY.items() for word in words.split("|")}
+    flat = {word: cat for cat, words in v.DETECTED_CATEGORY.items() for word in words}
     return F.coalesce(lookup(flat, F.lower(label)), F.lit("accessories"))
 
 

@@ -30,17 +30,19 @@ def text_field(raw: Column, name: str) -> Column:
     return F.when(value == "", "unknown").otherwise(value)
 
 
-def list_field(raw: Column, name: str, limit: int) -> Column:
-    """A list, or a single text as a one-element list; trimmed, lower-cased, blanks dropped, at most ``limit``."""
+def list_field(raw: Column, name: str, limit: int | None = None) -> Column:
+    """A list, or a single text as a one-element list; trimmed, lower-cased, blanks dropped; with ``limit``, the first ones."""
     value = F.trim(F.coalesce(_field(raw, name), F.lit("")))
     parsed = F.from_json(F.when(value.startswith("["), value), "array<string>")
     words = F.coalesce(parsed, F.when((value != "") & ~value.startswith("[") & ~value.startswith("{"), F.array(value)))
     clean = F.filter(F.transform(words, lambda w: F.lower(F.trim(w))), lambda w: w != "")
-    return F.slice(F.coalesce(clean, F.array().cast("array<string>")), 1, limit)
+    whole = F.coalesce(clean, F.array().cast("array<string>"))
+    return whole if limit is None else F.slice(whole, 1, limit)
 
 
-def normalize_attributes(raw: Column, detected: Column | None = None) -> Column:
-    """Struct of cleaned attributes with defaults, list limits, formality whitelist and clamped confidence."""
+def normalize_attributes(raw: Column, detected: Column | None = None, limits: dict[str, int] | None = None) -> Column:
+    """Struct of cleaned attributes with defaults, formality whitelist and clamped confidence; lists are whole unless
+    ``limits`` (such as ``vocab.ATTRIBUTE_LIMITS``) cuts them."""
     formality = F.lower(text_field(raw, "formality"))
     category = F.lower(text_field(raw, "category"))
     if detected is not None:
@@ -51,7 +53,7 @@ def normalize_attributes(raw: Column, detected: Column | None = None) -> Column:
         category.alias("category"),
         *[text_field(raw, n).alias(n) for n in ("garment_type", "pattern", "material", "fit")],
         F.when(formality.isin(*v.FORMALITIES), formality).otherwise("unknown").alias("formality"),
-        *[list_field(raw, n, k).alias(n) for n, k in v.ATTRIBUTE_LIMITS.items()],
+        *[list_field(raw, n, (limits or {}).get(n)).alias(n) for n in v.ATTRIBUTE_LIMITS],
         confidence.alias("confidence"),
     )
 

@@ -12,7 +12,8 @@ from garderobe.functions.lookup import hash_int, hash_unit
 from garderobe.operators.spread import numbered, pair_join
 from garderobe.session import cut_lineage
 
-ATTEMPTS = 20
+#: Last attempt of each wave of draws; what is still empty afterwards is reported, not dropped silently.
+WAVES = (20, 80, 320)
 
 
 # ------------------------------------------------------------------ outfits
@@ -148,7 +149,10 @@ class PairSampler:
         return rows.withColumn("lo", low).withColumn("hi", high).join(seen, ["split", "lo", "hi"], "left_anti").drop("lo", "hi")
 
     def negatives(self, neg_per_pos: int = 1, hard_ratio: float = 0.5, check: bool = True) -> DataFrame:
-        """First attempt for every slot, further attempts only for the few slots it left empty."""
+        """First attempt for every slot, further waves of attempts only for the few slots that are still empty.
+
+        :meth:`unfilled` counts the slots that no wave could fill (as when every pair of a split was observed).
+        """
         slots = self._slots(neg_per_pos, hard_ratio)
         outfits, inside = self._outfits()
 
@@ -161,12 +165,25 @@ class PairSampler:
 
         first = cut_lineage(attempt(slots.withColumn("attempt", F.lit(0))))
         left = slots.join(first.select("split", "slot"), ["split", "slot"], "left_anti")
-        again = attempt(left.withColumn("attempt", F.explode(F.sequence(F.lit(1), F.lit(ATTEMPTS - 1)))))
-        second = again.groupBy("split", "slot").agg(F.min(F.struct("attempt", "item_a", "item_b", "kind")).alias("_x"))
         cols = ["split", "slot", "item_a", "item_b", "kind"]
-        chosen = first.select(*cols).unionByName(second.select("split", "slot", "_x.item_a", "_x.item_b", "_x.kind"))
+        chosen, start = first.select(*cols), 1
+        for end in WAVES:
+            left = cut_lineage(left)
+            if left.limit(1).count() == 0:
+                break
+            again = attempt(left.withColumn("attempt", F.explode(F.sequence(F.lit(start), F.lit(end - 1)))))
+            best = again.groupBy("split", "slot").agg(F.min(F.struct("attempt", "item_a", "item_b", "kind")).alias("_x"))
+            more = cut_lineage(best.select("split", "slot", "_x.item_a", "_x.item_b", "_x.kind"))
+            chosen = chosen.unionByName(more)
+            left, start = left.join(more.select("split", "slot"), ["split", "slot"], "left_anti"), end
+        self.left = left
         return chosen.withColumn("label", F.lit(0))
 
+    def unfilled(self) -> DataFrame:
+        """After :meth:`negatives`: per split and kind, how many wanted negatives could not be drawn."""
+        kind = F.when(F.col("hard"), "hard_negative").otherwise("random_negative").alias("kind")
+        return self.left.groupBy("split", kind).agg(F.count(F.lit(1)).alias("unfilled"))
+
     def typed_pairs(self, neg_per_pos: int = 1, hard_ratio: float = 0.5, check: bool = True) -> DataFrame:
         """Positives and negatives with their kind."""
         cols = ["split", "item_a", "item_b", "label", "kind"]

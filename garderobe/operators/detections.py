@@ -72,7 +72,7 @@ def _order(conf: str = "conf", box: str = "box") -> Column:
     return F.struct((-F.col(conf)).alias("neg"), F.col(box).alias("box"))
 
 
-def region_heads(evidence: DataFrame, iou: float = v.REGION_IOU, max_rounds: int = 200) -> tuple[DataFrame, DataFrame]:
+def region_heads(evidence: DataFrame, iou: float = v.REGION_IOU) -> tuple[DataFrame, DataFrame]:
     """Boxes that open a region, and the home region of every box.
 
     Greedy rule: in order of score, a box joins the first region whose head it overlaps, else opens one. So a
@@ -92,17 +92,13 @@ def region_heads(evidence: DataFrame, iou: float = v.REGION_IOU, max_rounds: int
     ).select(IMG, "a", "b")
     every = cut_lineage(edges)
     open_edges, covered = every, None
-    for _ in range(max_rounds):
-        if open_edges.limit(1).count() == 0:
-            break
+    while open_edges.limit(1).count() > 0:  # every round decides the earliest box of each open chain
         later = open_edges.select(IMG, F.col("b").alias("a")).distinct()
         starts = open_edges.join(later, [IMG, "a"], "left_anti")
         hit = cut_lineage(starts.select(IMG, "b").distinct())
         covered = hit if covered is None else covered.unionByName(hit)
         rest = open_edges.join(hit, [IMG, "b"], "left_anti").join(hit.withColumnRenamed("b", "a"), [IMG, "a"], "left_anti")
         open_edges = cut_lineage(rest)
-    else:
-        raise RuntimeError(f"regions did not settle within {max_rounds} rounds")
     nodes = spots.select(IMG, F.col("ord").alias("b"))
     if covered is None:
         heads = nodes
@@ -191,7 +187,7 @@ def region_flags(regions: DataFrame, evidence: DataFrame, threshold: float = v.C
             name.alias("label"),
         ),
     )
-    bits = F.transform(F.slice(F.array_sort(best), 1, 4), lambda x: F.concat(x["label"], F.lit(" "), two(-x["neg"])))
+    bits = F.transform(F.array_sort(best), lambda x: F.concat(x["label"], F.lit(" "), two(-x["neg"])))
     width, height = c("box.x2") - c("box.x1"), c("box.y2") - c("box.y1")
 
     def flag(code, when, message):

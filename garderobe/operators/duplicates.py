@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from garderobe import vocab as v
@@ -97,16 +97,35 @@ def flag_duplicates(
     fresh, old = distinct_vectors(new, keys), distinct_vectors(stored, keys)
     hits = near_vectors(fresh, old, keys, threshold, ordered=False)
     found = hits.groupBy(*keys, F.col("a.item_id").alias("rep_id")).agg(
-        F.sum("b_copies").alias("possible_duplicates"), F.min("b").alias("_first")
+        F.sum("b_copies").alias("possible_duplicates"), F.min("b").alias("first_twin")
     )
     marked = fresh.select(*keys, "embedding", "rep_id").join(found, [*keys, "rep_id"])
     return new.join(
-        marked.select(*keys, "embedding", "possible_duplicates", F.col("_first.item_id").alias("possible_duplicate_of")),
+        marked.select(*keys, "embedding", "possible_duplicates", "first_twin", F.col("first_twin.item_id").alias("possible_duplicate_of")),
         [*keys, "embedding"],
         "left",
     ).withColumn("possible_duplicates", F.coalesce("possible_duplicates", F.lit(0)))
 
 
+def flag_earlier(batch: DataFrame, keys: Sequence[str] = ("wardrobe_id", "category"), threshold: float = v.DUPLICATE_COSINE) -> DataFrame:
+    """Per item of a batch, its twins before it in order of (created_at, item_id): how many, and the first of them.
+
+    Copies of one vector are numbered, not paired: an item counts the earlier items of each distinct vector near its
+    own. A window holds the items around one distinct vector of one batch.
+    """
+    keys = list(keys)
+    reps = cut_lineage(distinct_vectors(batch, keys))
+    near = near_vectors(reps, reps, keys, threshold, ordered=True)
+    both = near.select(*keys, F.col("a.item_id").alias("own"), F.col("b.item_id").alias("rep_id")).unionByName(
+        near.select(*keys, F.col("b.item_id").alias("own"), F.col("a.item_id").alias("rep_id"))
+    ).unionByName(reps.select(*keys, F.col("rep_id").alias("own"), "rep_id"))
+    placed = batch.join(reps.select(*keys, "embedding", "rep_id"), [*keys, "embedding"]).select(*keys, "rep_id", F.struct("created_at", "item_id").alias("at"))
+    around = both.join(placed, [*keys, "rep_id"]).select(*keys, "own", (F.col("own") == F.col("rep_id")).alias("mine"), "at")
+    order = Window.partitionBy(*keys, "own").orderBy("at")
+    ranked = around.withColumn("n", F.row_number().over(order) - 1).withColumn("first", F.min("at").over(order))
+    return ranked.filter("mine AND n > 0").select(*keys, F.col("at.item_id").alias("item_id"), F.col("n").cast("bigint").alias("earlier"), F.col("first").alias("first_earlier"))
+
+
 def lsh_duplicates(
     items: DataFrame,
     keys: Sequence[str] = ("wardrobe_id", "category"),
@@ -151,11 +170,11 @@ def lsh_duplicates(
     return hits.unionByName(copies)
 
 
-def connected_components(edges: DataFrame, keys: Sequence[str], max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Smallest reachable node per node of ``edges(keys, a, b)``; one checkpointed pass per round.
 
     Labels move to the neighbourhood minimum and then jump to their own label's label, so a chain of n nodes
-    needs about log n rounds.
+    needs about log n rounds. Rounds end when no label moves; labels only ever fall, so they do end.
     """
     keys = list(keys)
     both = cut_lineage(
@@ -166,7 +185,7 @@ def connected_components(edges: DataFrame, keys: Sequence[str], max_rounds: int
     labels = cut_lineage(both.groupBy(*keys, "node").agg(F.least(F.min("peer"), F.col("node")).alias("label")))
     if labels.limit(1).count() == 0:
         return labels
-    for _ in range(max_rounds):
+    while True:
         offered = both.join(labels.select(*keys, F.col("node").alias("peer"), F.col("label").alias("_l")), [*keys, "peer"])
         lowest = offered.groupBy(*keys, "node").agg(F.min("_l").alias("_l"))
         jump = labels.select(*keys, F.col("node").alias("_to"), F.col("label").alias("_next"))
@@ -180,7 +199,6 @@ def connected_components(edges: DataFrame, keys: Sequence[str], max_rounds: int
         labels = moved.select(*keys, "node", "label")
         if moved.filter(F.col("_old") != F.col("label")).limit(1).count() == 0:
             return labels
-    raise RuntimeError(f"components did not settle within {max_rounds} rounds")
 
 
 def duplicate_groups(

@@ -254,8 +254,8 @@ def fitb_questions(members: DataFrame, usable: DataFrame, distractors: int = 3,
     """One question per outfit: a hidden member and hash-drawn distractors from outside the outfit.
 
     ``members(split, set_id, ord, item_id)``; only ``usable(item_id)`` items count. Candidate 0 is the answer.
-    Distractors are indices into the densely numbered item pool; several spare draws replace those that hit
-    the outfit or repeat, the first ``distractors`` good ones are used.
+    Distractors are neighbours in the densely numbered item pool (numbered by hash) from a drawn place on: as many as
+    wanted and as the outfit has items there, so that enough remain when those of the outfit are left out.
     """
     from garderobe.functions.lookup import hash_int
     from garderobe.operators.spread import numbered
@@ -270,9 +270,10 @@ def fitb_questions(members: DataFrame, usable: DataFrame, distractors: int = 3,
         (F.col("n_usable") >= 2) & (F.col("n_pool") > distractors + F.col("n_usable"))
     )
     indexed = numbered(pool, ["split"], ["item_id"], "_i", ["item_id"])
-    draws = questions.withColumn("_try", F.explode(F.sequence(F.lit(1), F.lit(distractors + 20))))
-    text = F.concat_ws(":", F.lit(f"{seed}:distractor"), "set_id", "_try")
-    draws = draws.withColumn("_i", F.pmod(hash_int(text, 15), F.col("n_pool")) + 1).join(indexed, ["split", "_i"])
+    steps = F.sequence(F.lit(0).cast("bigint"), F.col("n_usable") + F.lit(distractors - 1))
+    text = F.concat_ws(":", F.lit(f"{seed}:distractor"), "set_id")
+    draws = questions.withColumn("_try", F.explode(steps))
+    draws = draws.withColumn("_i", F.pmod(hash_int(text, 15) + F.col("_try"), F.col("n_pool")) + 1).join(indexed, ["split", "_i"])
     outside = draws.join(members.select(*keys, "item_id"), [*keys, "item_id"], "left_anti")
     first = outside.groupBy(*keys, "item_id").agg(F.min("_try").alias("_try"))
     order = Window.partitionBy(*keys).orderBy("_try")

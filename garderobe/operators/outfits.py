@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,12 +80,18 @@ def templates_for(sizes: DataFrame) -> DataFrame:
     )
 
 
+def template_pool(pool: DataFrame, template: str) -> DataFrame:
+    """Garments of the template in the wardrobes that can fill it."""
+    usable = templates_for(pool_sizes(pool)).filter(F.col("template") == template)
+    return pool.filter(F.col("category").isin(*TEMPLATES[template])).join(usable.select(KEY), KEY)
+
+
 def keep_per_slot(slots: Sequence[str], limit: int) -> int:
     return max(2, int(limit ** (1.0 / len(slots))))
 
 
 def prune_pools(
-    pool: DataFrame, model: dict, template: str, limit: int = v.MAX_COMBINATIONS, learned=None
+    pool: DataFrame, model: dict, template: str, limit: int, learned=None
 ) -> tuple[DataFrame, DataFrame]:
     """Garments of one template, cut down where a wardrobe has more than ``limit`` combinations.
 
@@ -166,6 +171,15 @@ def core_combinations(scored: DataFrame) -> DataFrame:
     ).unionByName(worn)
 
 
+def core_of(pool: DataFrame, model: dict, learned=None) -> DataFrame:
+    """The core combinations of a pool, without layers."""
+    kept = None
+    for template in TEMPLATES:
+        part = template_pool(pool, template).withColumn("template", F.lit(template))
+        kept = part if kept is None else kept.unionByName(part)
+    return core_combinations(cut_lineage(core_pairs(cut_lineage(kept), model, learned)))
+
+
 # ------------------------------------------------------------------ layers
 def layer_scores(wearers: DataFrame, layers: DataFrame, model: dict, learned=None) -> DataFrame:
     """Per garment, its scores against each layer pool as aligned arrays, one row per layer slot and block.
@@ -260,16 +274,22 @@ def build_candidates(
     model: dict,
     include_outerwear: bool = True,
     include_accessory: bool = True,
-    limit: int = v.MAX_COMBINATIONS,
+    limit: int | None = None,
     learned=None,
-) -> tuple[DataFrame, DataFrame, DataFrame]:
+) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """All valid candidates with layers, score and rank; also the core combinations and the pruning report.
 
+    Nothing is left out unless the caller sets ``limit``: then :func:`prune_pools` cuts wardrobes with more
+    combinations and reports them; the report is null otherwise.
+
     Pair scores and layer arrays are written once to the checkpoint folder: each is read by several joins.
     """
     kept, report = None, None
     for template in TEMPLATES:
-        part, pruned = prune_pools(pool, model, template, limit, learned)
+        if limit is None:
+            part, pruned = template_pool(pool, template), None
+        else:
+            part, pruned = prune_pools(pool, model, template, limit, learned)
         part = part.withColumn("template", F.lit(template))
         kept = part if kept is None else kept.unionByName(part)
         report = pruned if report is None else report.unionByName(pruned)
@@ -310,61 +330,68 @@ def quality_threshold(candidates: DataFrame, threshold: float | None) -> DataFra
     return candidates if threshold is None else candidates.filter(F.col("score") >= threshold)
 
 
-def rank_candidates(strong: DataFrame, limit: int = v.SELECTION_POOL) -> DataFrame:
+def rank_candidates(strong: DataFrame, limit: int | None = None) -> DataFrame:
+    """Candidates with their place in the order of their wardrobe; with ``limit`` only the first ones."""
     order = Window.partitionBy(KEY).orderBy(F.col("rank").desc(), F.transform("members", lambda g: F.struct(g["created_at"], g["item_id"])))
-    return strong.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= limit)
+    ranked = strong.withColumn("position", F.row_number().over(order))
+    return ranked if limit is None else ranked.filter(F.col("position") <= limit)
 
 
 # ------------------------------------------------------------------ diversity
 def diverse_topk(
-    ranked: DataFrame, k: int, weight: float = v.DIVERSITY_WEIGHT, max_shared: float = v.MAX_SHARED_CORE
+    strong: DataFrame, k: int, weight: float = v.DIVERSITY_WEIGHT, max_shared: float = v.MAX_SHARED_CORE
 ) -> DataFrame:
-    """Greedy selection per wardrobe: rank minus overlap with what is chosen, at most half a shared core.
+    """Greedy selection per wardrobe over all candidates: rank minus the largest overlap with what is chosen, at most
+    half a shared core. Adds ``choice`` from 1.
 
-    Each choice depends on all earlier ones, so it runs per wardrobe on the bounded list that
-    :func:`rank_candidates` leaves (5,000 rows at most), already partitioned by wardrobe.
+    One round per choice: the chosen outfits of a wardrobe (k rows at most) are joined to its candidates, and one
+    maximum per wardrobe, combined before the shuffle, is the next. Ties go to the higher rank, then to the earlier
+    garments. Rounds end early when no wardrobe finds another outfit.
     """
-
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("position")
-        cores = [frozenset(x) for x in rows["core_groups"]]
-        looks = [frozenset(x) for x in rows["look_groups"]]
-        rank = rows["rank"].tolist()
-        worst_core, worst_look = [0.0] * len(rows), [0.0] * len(rows)
-        left, picked = list(range(len(rows))), []
-        while left and len(picked) < k:
-            if picked:
-                last = picked[-1]
-                for i in left:
-                    shared = len(cores[i] & cores[last]) / max(len(cores[i]), len(cores[last]))
-                    worn = len(looks[i] & looks[last]) / max(len(looks[i]), len(looks[last]))
-                    worst_core[i], worst_look[i] = max(worst_core[i], shared), max(worst_look[i], worn)
-                left = [i for i in left if worst_core[i] <= max_shared + 1e-9]
-            if not left:
-                break
-            top = max(left, key=lambda i: (rank[i] - weight * worst_look[i], -i))
-            picked.append(top)
-            left.remove(top)
-        out = rows.iloc[picked][[KEY, "position"]].copy()
-        out["choice"] = range(1, len(out) + 1)
-        return out
-
-    slim = ranked.select(
-        KEY,
-        "position",
-        "rank",
-        F.transform("core", lambda g: g["grp"]).alias("core_groups"),
-        F.transform("members", lambda g: g["grp"]).alias("look_groups"),
-    )
-    key_type = slim.schema[KEY].dataType.simpleString()
-    chosen = slim.groupBy(KEY).applyInPandas(choose, f"{KEY} {key_type}, position int, choice int")
-    return ranked.join(chosen, [KEY, "position"])
+    groups = lambda c: F.array_distinct(F.transform(c, lambda g: g["grp"]))
+    order = F.transform("members", lambda g: F.struct(g["created_at"], g["item_id"]))
+    slim = strong.select(KEY, "rank", order.alias("order"), groups("core").alias("core_groups"), groups("members").alias("look_groups"))
+    slim = cut_lineage(slim)
+    kind = "array<struct<core:array<string>,look:array<string>>>"
+    past, found = None, None
+
+    def overlap(own: str, other: Column) -> Column:
+        shared = F.size(F.array_intersect(F.col(own), other)).cast("double")
+        return shared / F.greatest(F.size(own), F.size(other))
+
+    def worst(own: str, part: str) -> Column:
+        return F.aggregate("past", F.lit(0.0), lambda most, c: F.greatest(most, overlap(own, c[part])))
+
+    for choice in range(1, k + 1):
+        if past is None:
+            rows = slim.withColumn("past", F.array().cast(kind))
+        else:
+            rows = slim.join(past, KEY)
+            rows = rows.filter(worst("core_groups", "core") <= max_shared + 1e-9)
+            # With a cut-off of a whole core the chosen outfits themselves would come again.
+            rows = rows.filter(~F.array_contains("taken", F.col("order")))
+        value = F.col("rank") - F.lit(weight) * worst("look_groups", "look")
+        best = F.min(F.struct((-value).alias("value"), (-F.col("rank")).alias("rank"), "order", "core_groups", "look_groups"))
+        pick = cut_lineage(rows.groupBy(KEY).agg(best.alias("b")))
+        if pick.limit(1).count() == 0:
+            break
+        new = pick.select(KEY, F.lit(choice).alias("choice"), F.col("b.order").alias("order"))
+        found = new if found is None else found.unionByName(new)
+        one = F.array(F.struct(F.col("b.core_groups").alias("core"), F.col("b.look_groups").alias("look")))
+        order_of = F.array(F.col("b.order"))
+        if past is None:
+            past = pick.select(KEY, one.alias("past"), order_of.alias("taken"))
+        else:  # a wardrobe without a new choice is done and leaves
+            past = cut_lineage(past.join(pick, KEY).select(KEY, F.concat("past", one).alias("past"), F.concat("taken", order_of).alias("taken")))
+    if found is None:
+        return strong.withColumn("choice", F.lit(1)).filter(F.lit(False))
+    return strong.withColumn("order", order).join(found, [KEY, "order"]).drop("order")
 
 
 # ------------------------------------------------------------------ funnel, exposure, messages
 def funnel(judged: DataFrame, pool: DataFrame, candidates: DataFrame, core: DataFrame, chosen: DataFrame,
            threshold: float | None, include_outerwear: bool = True, include_accessory: bool = True,
-           limit: int = v.MAX_COMBINATIONS) -> DataFrame:
+           limit: int | None = None) -> DataFrame:
     """Counts per stage and wardrobe."""
     base = judged.groupBy(KEY).agg(
         F.count(F.lit(1)).alias("wardrobe_items"), F.count_if(F.col("reason").isNull()).alias("eligible_items")
@@ -373,11 +400,12 @@ def funnel(judged: DataFrame, pool: DataFrame, candidates: DataFrame, core: Data
     structural = F.lit(0.0)
     plans = templates_for(pool_sizes(pool))
     for name, slots in TEMPLATES.items():
-        keep = keep_per_slot(slots, limit)
-        pruned = F.lit(1.0)
-        for s in slots:
-            pruned = pruned * F.least(F.col(f"n_{s}"), F.lit(keep)).cast("double")
-        size = F.when(F.col("total") > limit, pruned).otherwise(F.col("total"))
+        size = F.col("total")
+        if limit is not None:
+            pruned = F.lit(1.0)
+            for s in slots:
+                pruned = pruned * F.least(F.col(f"n_{s}"), F.lit(keep_per_slot(slots, limit))).cast("double")
+            size = F.when(F.col("total") > limit, pruned).otherwise(size)
         combos = F.when(F.col("template") == name, size).otherwise(combos)
     structural = combos
     for layer, wanted in (("outerwear", include_outerwear), ("accessory", include_accessory)):
@@ -393,9 +421,9 @@ def funnel(judged: DataFrame, pool: DataFrame, candidates: DataFrame, core: Data
         F.count(F.lit(1)).alias("candidates_scored"), F.count_if(strong).alias("above_threshold")
     )
     shown = (
-        chosen.select(KEY, "position", F.explode("members").alias("g"))
+        chosen.select(KEY, "choice", F.explode("members").alias("g"))
         .groupBy(KEY)
-        .agg(F.countDistinct("position").alias("returned"), F.countDistinct("g.item_id").alias("unique_items_in_results"))
+        .agg(F.countDistinct("choice").alias("returned"), F.countDistinct("g.item_id").alias("unique_items_in_results"))
     )
     out = base.join(planned, KEY, "left").join(scored, KEY, "left").join(shown, KEY, "left")
     counts = [c for c in out.columns if c != KEY]

@@ -90,7 +90,7 @@ def pair_features(pairs: DataFrame, learned: Callable[[Column, Column], Column]
         .withColumn("relation", relation)
         .withColumn("colour", colour.relation_score(c("relation")))
         .withColumn("category", scores.category_pair_score(c("a_slot"), c("b_slot")))
-        .withColumn("conflict", (c("clip_cos") >= v.DUPLICATE_COSINE) | c("one_region"))
+        .withColumn("conflict", F.coalesce(c("clip_cos") >= v.DUPLICATE_COSINE, F.lit(False)) | F.coalesce(c("one_region"), F.lit(False)))
         .drop("a_style_scores", "b_style_scores", "a_light", "b_light", "one_region")
     )
 
@@ -246,7 +246,7 @@ def colour_summary(members: DataFrame, scored_pairs: DataFrame, keys: Sequence[s
     busy = F.size(accents) > 2
     score = F.when(busy, mean - F.lit(0.10) * (F.size(accents) - 2)).otherwise(mean)
     joined = F.array_join(accents, " and ")
-    capital = F.concat(F.upper(F.substring(joined, 1, 1)), F.lower(F.substring(joined, 2, 10000)))
+    capital = F.concat(F.upper(F.substring(joined, 1, 1)), F.lower(F.substring(joined, F.lit(2), F.length(joined))))
     reason = (
         F.when(
             busy,

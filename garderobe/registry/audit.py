@@ -224,7 +224,7 @@ def _cross(spark, sf):
     "floor(x.i * (n / 37.0::DOUBLE))::BIGINT AS i FROM (SELECT unnest(range(0, 37)) AS i) x, (SELECT DISTINCT n FROM s)) SELECT item_id FROM s WHERE i IN (FROM k)",
 )
 def _sample(spark, sf):
-    return a.sample_image_ids(b.table(spark, sf, "documents").select(F.concat(F.lit("d"), "doc_id").alias("item_id")), 37, prefix=2)
+    return a.sample_image_ids(b.table(spark, sf, "documents").select(F.concat(F.lit("d"), "doc_id").alias("item_id")), 37)
 
 
 LOOSE = {"min_train_outfits": 100, "min_unique_items": 100, "min_train_positive_pairs": 100, "min_valid_positive_pairs": 10, "min_test_positive_pairs": 10}

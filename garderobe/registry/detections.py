@@ -229,7 +229,7 @@ def _mask(spark, sf):
 
 @register(
     "map_detected_category",
-    f"WITH {DETECTIONS} SELECT coalesce({case_map('label', {x: c for c, ws in v.DETECTED_CATEGORY.items() for x in ws.split('|')})}, 'accessories') AS category, "
+    f"WITH {DETECTIONS} SELECT coalesce({case_map('label', {x: c for c, ws in v.DETECTED_CATEGORY.items() for x in ws})}, 'accessories') AS category, "
     "count(*) AS n FROM raw_detections GROUP BY 1",
 )
 def _mapped(spark, sf):
@@ -274,7 +274,7 @@ def _parse(spark, sf):
 @register(
     "normalize_attributes",
     "SELECT event_id, lower(event_type) AS category, 'unknown' AS pattern, CASE event_id % 3 WHEN 0 THEN 'casual' WHEN 1 THEN 'unknown' ELSE 'formal' END AS "
-    "formality, 'red,' || lower(event_type) || ',a,b,c,d' AS colors, CASE WHEN event_id % 2 = 0 THEN 'summer' ELSE '' END AS season, "
+    "formality, 'red,' || lower(event_type) || ',a,b,c,d,e' AS colors, CASE WHEN event_id % 2 = 0 THEN 'summer' ELSE '' END AS season, "
     "round(greatest(0, least(1, value / 10)), 6) AS confidence FROM events WHERE event_id % 5 IN (0, 1, 4)",
 )
 def _normalize(spark, sf):

@@ -212,8 +212,8 @@ _CAT = f"c AS (SELECT p_partkey, {_WORD} AS category FROM part), m AS (SELECT *,
 
 @register(
     "read_catalog_parquet",
-    f"WITH {_CAT} SELECT coalesce(slot, 'dropped') AS slot, category, count(*) AS n FROM m WHERE slot IS NOT NULL GROUP BY ALL UNION ALL (SELECT 'dropped', category, count(*) FROM m WHERE "
-    "slot IS NULL GROUP BY ALL ORDER BY count(*) DESC, category LIMIT 40)",
+    f"WITH {_CAT} SELECT coalesce(slot, 'dropped') AS slot, category, count(*) AS n FROM m WHERE slot IS NOT NULL GROUP BY ALL UNION ALL SELECT 'dropped', category, count(*) FROM m WHERE "
+    "slot IS NULL GROUP BY ALL",
 )
 def _read_catalog(spark, sf):
     kept, dropped = rd.usable_catalog(_catalog(spark, sf))
@@ -279,7 +279,7 @@ def _stream_counts(spark, sf):
 @register(
     "stream_ingest",
     with_items(
-        ", twins AS (SELECT a.item_id, b.seq AS other FROM item_base a JOIN item_base b ON a.wardrobe_id = b.wardrobe_id AND a.category = b.category AND a.seq % 2 = 1 AND b.seq % 2 = 0 AND "
+        ", twins AS (SELECT a.item_id, b.seq AS other FROM item_base a JOIN item_base b ON a.wardrobe_id = b.wardrobe_id AND a.category = b.category AND a.seq % 2 = 1 AND (b.seq % 2 = 0 OR b.seq < a.seq) AND "
         "a.embedding IS NOT NULL AND b.embedding IS NOT NULL AND list_dot_product(a.vec, b.vec) >= 0.97), t AS (SELECT item_id, count(*) AS n, min(other) AS first FROM twins GROUP BY 1) "
         "SELECT i.item_id, coalesce(n, 0)::BIGINT AS possible_duplicates, 'it' || first AS possible_duplicate_of FROM item_base i LEFT JOIN t USING (item_id)"
     ),

@@ -13,6 +13,7 @@ from garderobe.registry.base import register
 from garderobe.registry.common import case_map, with_items
 from garderobe.registry.pairs import BASE, GIVEN, given_outfits, pairs_sql, usable
 from garderobe.registry.wardrobe import DIM, MODEL, r6
+from garderobe.session import cut_lineage
 
 CUT = 0.1  # the bundled cut-off was fitted on real photos; random test vectors score far lower
 
@@ -97,7 +98,7 @@ def candidates_sql(pool: str = POOL, ctx: str = "NULL::DOUBLE") -> str:
     ),
 )
 def _core(spark, sf):
-    core = o.build_candidates(pool_of(spark, sf), BASE)[1]
+    core = o.core_of(pool_of(spark, sf), BASE)
     return core.select(
         "wardrobe_id", "template", ids(F.array_compact(F.array("m1", "m2", "m3"))).alias("members"), r6("total", "total"), "weight"
     )
@@ -116,7 +117,7 @@ def _core(spark, sf):
 )
 def _antijoin(spark, sf):
     pool = pool_of(spark, sf)
-    core = o.build_candidates(pool, BASE)[1]
+    core = o.core_of(pool, BASE)
     plans = o.templates_for(o.pool_sizes(pool)).groupBy("wardrobe_id").agg(F.sum("total").cast("bigint").alias("combinations"))
     valid = core.groupBy("wardrobe_id").agg(F.count(F.lit(1)).alias("valid"))
     return (
@@ -206,25 +207,54 @@ def _prune(spark, sf):
     return kept.select("wardrobe_id", "category", "item_id")
 
 
-TOP3 = (
-    candidates_sql() + f", strong AS (SELECT * FROM cand WHERE score >= {CUT}), top3 AS (SELECT * FROM (SELECT *, row_number() OVER "
-    "(PARTITION BY wardrobe_id ORDER BY rank DESC, key) AS position FROM strong) WHERE position <= 3), "
-    "worn AS (SELECT wardrobe_id, unnest(str_split(members, ',')) AS item_id FROM strong), "
-    "shown AS (SELECT wardrobe_id, position, unnest(str_split(members, ',')) AS item_id FROM top3)"
+OWN_GROUPS = "gg AS (SELECT seq, seq AS g FROM pool)"
+COPY_GROUPS = (
+    "gg AS (SELECT a.seq, min(b.seq) AS g FROM pool a JOIN pool b ON a.wardrobe_id = b.wardrobe_id AND a.category = b.category AND "
+    "(a.seq = b.seq OR list_dot_product(a.vec, b.vec) >= 0.97) GROUP BY a.seq)"
+)
+
+
+def diverse_sql(k: int, groups: str = OWN_GROUPS) -> str:
+    """CTEs strong, c1 .. ck and chosen: the greedy selection, written out choice by choice."""
+    ids = "list_distinct(list_filter([{}], lambda x: x IS NOT NULL))"
+    seqs = ("s1", "s2", "s3", "outerwear_seq", "accessory_seq")
+    joins = " ".join(f"LEFT JOIN gg g{i} ON g{i}.seq = c.{q}" for i, q in enumerate(seqs))
+    out = (
+        f", strong AS (SELECT * FROM cand WHERE score >= {CUT}), {groups}, d0 AS (SELECT c.*, {ids.format('g0.g, g1.g, g2.g')} AS core_g, "
+        f"{ids.format('g0.g, g1.g, g2.g, g3.g, g4.g')} AS look_g FROM strong c {joins})"
+    )
+
+    def overlap(column: str, other: str) -> str:
+        return f"len(list_intersect(d0.{column}, {other}.{column}))::DOUBLE / greatest(len(d0.{column}), len({other}.{column}))"
+
+    for n in range(1, k + 1):
+        before = [f"c{i}" for i in range(1, n)]
+        joined = "".join(f" JOIN {c} ON {c}.wardrobe_id = d0.wardrobe_id AND {c}.key <> d0.key AND {overlap('core_g', c)} <= 0.5 + 1e-9" for c in before)
+        worst = f"greatest({', '.join(overlap('look_g', c) for c in before)})" if before else "0"
+        out += (
+            f", c{n} AS (SELECT * EXCLUDE (rn) FROM (SELECT d0.*, row_number() OVER (PARTITION BY d0.wardrobe_id ORDER BY d0.rank - 0.6::DOUBLE * {worst} DESC, "
+            f"d0.rank DESC, d0.key) AS rn FROM d0{joined}) WHERE rn = 1)"
+        )
+    return out + ", chosen AS (" + " UNION ALL ".join(f"SELECT *, {n} AS choice FROM c{n}" for n in range(1, k + 1)) + ")"
+
+
+SHOWN = (
+    candidates_sql() + diverse_sql(3) + ", worn AS (SELECT wardrobe_id, unnest(str_split(members, ',')) AS item_id FROM strong), "
+    "shown AS (SELECT wardrobe_id, choice, unnest(str_split(members, ',')) AS item_id FROM chosen)"
 )
 
 
 @register(
     "exposure",
     with_items(
-        TOP3 + " SELECT p.wardrobe_id, p.item_id, p.category, (SELECT count(*) FROM worn w WHERE w.item_id = p.item_id) AS "
+        SHOWN + " SELECT p.wardrobe_id, p.item_id, p.category, (SELECT count(*) FROM worn w WHERE w.item_id = p.item_id) AS "
         "in_strong_candidates, (SELECT count(*) FROM shown s WHERE s.item_id = p.item_id) AS selected FROM pool p"
     ),
 )
 def _exposure(spark, sf):
     pool = pool_of(spark, sf)
-    strong = o.quality_threshold(o.build_candidates(pool, BASE)[0], CUT)
-    return o.exposure(pool, strong, o.rank_candidates(strong, 3)).select(
+    strong = cut_lineage(o.quality_threshold(o.build_candidates(pool, BASE)[0], CUT))
+    return o.exposure(pool, strong, o.diverse_topk(strong, 3)).select(
         "wardrobe_id", "item_id", "category", "in_strong_candidates", "selected"
     )
 
@@ -232,7 +262,7 @@ def _exposure(spark, sf):
 @register(
     "funnel",
     with_items(
-        TOP3 + ", n AS (SELECT wardrobe_id, count(*) FILTER (category = 'top') AS t, count(*) FILTER (category = 'bottom') AS b, "
+        SHOWN + ", n AS (SELECT wardrobe_id, count(*) FILTER (category = 'top') AS t, count(*) FILTER (category = 'bottom') AS b, "
         "count(*) FILTER (category = 'shoes') AS s, count(*) FILTER (category = 'one_piece') AS d, count(*) FILTER "
         "(category = 'outerwear') AS o, count(*) FILTER (category = 'accessory') AS a FROM pool GROUP BY 1) "
         "SELECT i.wardrobe_id, count(*) AS wardrobe_items, count(*) FILTER (reason IS NULL) AS eligible_items, "
@@ -240,8 +270,9 @@ def _exposure(spark, sf):
         "coalesce(any_value(t * b * s + d * s), 0)::BIGINT AS core_combinations, "
         "(SELECT count(*) FROM cand c WHERE c.wardrobe_id = i.wardrobe_id) AS candidates_scored, "
         "(SELECT count(*) FROM strong c WHERE c.wardrobe_id = i.wardrobe_id) AS above_threshold, "
-        "(SELECT count(DISTINCT position) FROM shown c WHERE c.wardrobe_id = i.wardrobe_id) AS returned, "
-        "(SELECT count(DISTINCT item_id) FROM shown c WHERE c.wardrobe_id = i.wardrobe_id) AS unique_items_in_results "
+        "(SELECT count(DISTINCT choice) FROM shown c WHERE c.wardrobe_id = i.wardrobe_id) AS returned, "
+        "(SELECT count(DISTINCT item_id) FROM shown c WHERE c.wardrobe_id = i.wardrobe_id) AS unique_items_in_results, "
+        "coalesce(any_value(t * b * s + d * s), 0)::BIGINT - (SELECT count(*) FROM cand c WHERE c.wardrobe_id = i.wardrobe_id) AS rejected_by_validity "
         "FROM items i LEFT JOIN n USING (wardrobe_id) GROUP BY i.wardrobe_id"
     ),
 )
@@ -249,8 +280,9 @@ def _funnel(spark, sf):
     judged = w.eligible_items(b.items(spark, sf), MODEL, DIM)
     pool = o.outfit_pool(judged.filter(F.col("reason").isNull()))
     cands, core, _ = o.build_candidates(pool, BASE)
-    chosen = o.rank_candidates(o.quality_threshold(cands, CUT), 3)
-    return o.funnel(judged, pool, cands, core, chosen, CUT).drop("rejected_by_validity")
+    cands = cut_lineage(cands)
+    chosen = o.diverse_topk(o.quality_threshold(cands, CUT), 3)
+    return o.funnel(judged, pool, cands, core, chosen, CUT)
 
 
 @register(
@@ -317,17 +349,40 @@ def _job(spark, sf, **options):
     return generate_outfits(b.items(spark, sf), MODEL, DIM, BASE, threshold=CUT, **options)
 
 
-@register("generate_outfits")
+DATE = (
+    "CASE WHEN style_scores IS NOT NULL THEN list_sum(list_transform(range(1, 8), lambda i: style_scores[i] * "
+    f"{list(v.OCCASION_AFFINITY['date'])}[i])) / list_sum(style_scores) END"
+)
+
+
+@register(
+    "generate_outfits",
+    with_items(
+        candidates_sql(ctx=DATE) + diverse_sql(5, COPY_GROUPS) + " SELECT wardrobe_id, choice, template, members AS item_ids, round(score, 6) AS score, "
+        "round(rank, 6) AS rank, round(ctx, 6) AS context FROM chosen"
+    ),
+)
 def _generate(spark, sf):
+    out = _job(spark, sf, k=5, occasion="date").chosen
+    return out.select(
+        "wardrobe_id", "choice", "template", ids("members").alias("item_ids"), r6("score", "score"), r6("rank", "rank"), r6("context", "context")
+    )
+
+
+@register("explain_outfits")
+def _explained(spark, sf):
     return _job(spark, sf, k=5, occasion="date").explained
 
 
-@register("diverse_topk")
+@register(
+    "diverse_topk",
+    with_items(
+        candidates_sql() + diverse_sql(8, COPY_GROUPS) + " SELECT wardrobe_id, choice, template, members, round(score, 6) AS score, round(rank, 6) AS rank FROM chosen"
+    ),
+)
 def _diverse(spark, sf):
     job = _job(spark, sf, k=8)
-    return job.chosen.select(
-        "wardrobe_id", "choice", "position", "template", ids("members").alias("members"), r6("score", "score"), r6("rank", "rank")
-    )
+    return job.chosen.select("wardrobe_id", "choice", "template", ids("members").alias("members"), r6("score", "score"), r6("rank", "rank"))
 
 
 @register("outfit_json")
@@ -338,4 +393,4 @@ def _json(spark, sf):
 
 @register("result_message")
 def _messages(spark, sf):
-    return _job(spark, sf, k=25, keep_candidates=True).messages
+    return _job(spark, sf, k=25).messages

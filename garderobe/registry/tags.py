@@ -57,8 +57,8 @@ def _pick(words, i: str) -> str:
     return f"{_arr(words)}[{i} % {len(words)} + 1]"
 
 
-def _any(words: str, col: str) -> str:
-    return f"len(list_intersect({col}, {_arr(words.split('|'))}))"
+def _any(words, col: str) -> str:
+    return f"len(list_intersect({col}, {_arr(words)}))"
 
 
 TAGGED = (
@@ -73,7 +73,7 @@ TAGGED = (
     f"tm AS (SELECT *, CASE WHEN {_any(v.OCCASION_WORDS['work'], 'occasion')} > 0 THEN 1.0 WHEN formality IN ('smart-casual', 'formal') THEN 0.95 ELSE 0.2 END::DOUBLE AS occ, "
     f"CASE WHEN {_any(v.AESTHETIC_EXCLUDES['boho'], 'tags')} > 0 THEN 0.05 WHEN {_any(v.AESTHETIC_WORDS['boho'], 'tags')} > 0 THEN 1.0 WHEN "
     f"{_any(v.AESTHETIC_WORDS['boho'], 'feats')} >= 2 THEN 0.85 WHEN {_any(v.AESTHETIC_WORDS['boho'], 'feats')} = 1 THEN 0.65 ELSE 0.15 END::DOUBLE AS aest, "
-    f"CASE WHEN {_any(v.WEATHER_CLASH['hot'], 'feats')} > 0 THEN 0.1 WHEN {_any('summer', 'season')} > 0 THEN 1.0 WHEN len(season) = 0 THEN 0.55 ELSE 0.2 END::DOUBLE AS wx FROM tf), "
+    f"CASE WHEN {_any(v.WEATHER_CLASH['hot'], 'feats')} > 0 THEN 0.1 WHEN {_any(v.WEATHER_SEASONS['hot'], 'season')} > 0 THEN 1.0 WHEN len(season) = 0 THEN 0.55 ELSE 0.2 END::DOUBLE AS wx FROM tf), "
     "ti AS (SELECT *, (occ + aest + wx) / 3 AS match FROM tm)"
 )
 PAIRED = (
@@ -123,17 +123,12 @@ def _rank(spark, sf):
 @register(
     "template_explanation",
     f"WITH {TAGGED}{PAIRED}, n AS (SELECT outfit_id, string_agg(title, ', ' ORDER BY p_partkey) AS names FROM tg GROUP BY 1) SELECT outfit_id, "
-    "'The compatibility model scored this outfit ' || printf('%.2f', round(compatibility, 9)) || '/1.0. The visual attribute layer found color coherence of ' || "
-    "printf('%.2f', color_coherence) || ' and style coherence of ' || printf('%.2f', round(style_coherence, 9)) || '. Items used: ' || names || '.' AS explanation FROM s JOIN n "
-    "USING (outfit_id) WHERE false OR abs(color_coherence * 1000 % 10 - 5) > 1e-6 AND abs(style_coherence * 1000 % 10 - 5) > 1e-6 AND abs(compatibility * 1000 % 10 - 5) > 1e-6",
+    "'The compatibility model scored this outfit ' || round(compatibility::DECIMAL(18, 9), 2)::DECIMAL(18, 2)::VARCHAR || '/1.0. The visual attribute layer found color coherence of ' || "
+    "round(color_coherence::DECIMAL(18, 9), 2)::DECIMAL(18, 2)::VARCHAR || ' and style coherence of ' || round(style_coherence::DECIMAL(18, 9), 2)::DECIMAL(18, 2)::VARCHAR || '. Items used: ' || names || '.' AS explanation FROM s JOIN n USING (outfit_id)",
 )
 def _explain(spark, sf):
     out = t.rank_outfit(given(spark, sf), price_score, True)
-    # Values on a rounding edge print differently in C and Java; both sides leave them out of the comparison.
-    clear = F.lit(True)
-    for c in ("color_coherence", "style_coherence", "compatibility"):
-        clear = clear & (F.abs(F.col(c) * 1000 % 10 - 5) > 1e-6)
-    return out.filter(clear).select("outfit_id", t.template_explanation().alias("explanation"))
+    return out.select("outfit_id", t.template_explanation().alias("explanation"))
 
 
 def _pool(alias: str, cat: str) -> str:
@@ -148,19 +143,36 @@ def _enumerated() -> str:
     return " UNION ALL ".join(parts)
 
 
-@register(
-    "legacy_candidates",
-    f"WITH {TAGGED}, e AS ({_enumerated()}) SELECT wardrobe_id, template, CASE WHEN n <= 3000 THEN n ELSE 1 END AS n FROM e",
-)
+@register("legacy_candidates", f"WITH {TAGGED}, e AS ({_enumerated()}) SELECT wardrobe_id, template, n FROM e")
 def _candidates(spark, sf):
     out = t.legacy_candidates(tagged(spark, sf))
-    sizes = t.tag_templates(tagged(spark, sf))
-    found = out.groupBy("wardrobe_id", "template").agg(F.count(F.lit(1)).alias("found"))
-    # A sampled template must be found but its count depends on repeated draws: it is reported as 1.
-    n = F.when(F.col("combos") <= t.EXHAUSTIVE, F.col("found")).otherwise(F.least("found", F.lit(1)))
-    return sizes.join(found, ["wardrobe_id", "template"], "left").select(
-        "wardrobe_id", "template", F.coalesce(n, F.lit(0)).cast("bigint").alias("n")
-    )
+    return out.groupBy("wardrobe_id", "template").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _ranked_sql() -> str:
+    """CTE r: every combination with its rank score; pairs in member order, as the Spark side adds them."""
+    parts = []
+    for tpl in v.TAG_TEMPLATES:
+        n = len(tpl)
+        pairs = [(f"a{i}", f"a{j}") for i in range(n) for j in range(i + 1, n)]
+        ml = ", ".join(f"1 / (1 + abs({x}.price - {y}.price))" for x, y in pairs)
+        col = ", ".join(
+            f"CASE WHEN len({x}.colours) > 0 AND len({y}.colours) > 0 THEN CASE WHEN list_has_any({x}.colours, {y}.colours) THEN 1.0 WHEN "
+            f"list_has_any({x}.colours, {_arr(v.TAG_NEUTRALS)}) OR list_has_any({y}.colours, {_arr(v.TAG_NEUTRALS)}) THEN 0.72 ELSE 0.5 END END::DOUBLE"
+            for x, y in pairs
+        )
+        sty = ", ".join(f"least(1.0, len(list_intersect({x}.tags, {y}.tags)) / 2.0::DOUBLE)" for x, y in pairs)
+        core = ", ".join(f"a{i}.match" for i, c in enumerate(tpl) if c in v.TAG_CORE)
+        extra = ", ".join(f"a{i}.match" for i, c in enumerate(tpl) if c not in v.TAG_CORE)
+        con = f"0.85 * list_avg([{core}]) + 0.15 * list_avg([{extra}])" if extra else f"list_avg([{core}])"
+        source = f"(SELECT * FROM ti WHERE category = '{tpl[0]}') a0" + "".join(
+            f" JOIN (SELECT * FROM ti WHERE category = '{c}') a{i} USING (wardrobe_id)" for i, c in enumerate(tpl) if i
+        )
+        parts.append(
+            f"SELECT wardrobe_id, '{'+'.join(tpl)}' AS template, '{'+'.join(sorted(set(tpl)))}' AS signature, [{', '.join(f'a{i}.item_id' for i in range(n))}] AS ids, "
+            f"list_avg([{ml}]) AS ml, coalesce(list_avg(list_filter([{col}], lambda x: x IS NOT NULL)), 0.5) AS col, 0.5 + 0.5 * list_avg([{sty}]) AS sty, {con} AS con FROM {source}"
+        )
+    return "q AS (" + " UNION ALL ".join(parts) + "), r AS (SELECT *, 0.55 * ml + 0.1 * col + 0.1 * sty + 0.25 * con AS s FROM q WHERE con >= 0.5)"
 
 
 def _shown(df):
@@ -168,7 +180,13 @@ def _shown(df):
     return df.select("wardrobe_id", "choice", "position", "signature", ids.alias("items"), r6("rank_score", "rank_score"))
 
 
-@register("diversified_by_signature")
+@register(
+    "diversified_by_signature",
+    f"WITH {TAGGED}, {_ranked_sql()}, p AS (SELECT *, row_number() OVER (PARTITION BY wardrobe_id ORDER BY round(s, 12) DESC, template, ids) AS position FROM r), "
+    "f AS (SELECT *, (row_number() OVER (PARTITION BY wardrobe_id, signature ORDER BY position) > 1)::INT AS later FROM p WHERE position <= 250), "
+    "c AS (SELECT *, row_number() OVER (PARTITION BY wardrobe_id ORDER BY later, position) AS choice FROM f) SELECT wardrobe_id, choice, position, signature, "
+    "array_to_string(ids, ',') AS items, round(s, 6) AS rank_score FROM c WHERE choice <= 3",
+)
 def _diverse(spark, sf):
     cands = t.legacy_candidates(tagged(spark, sf), **REQUEST, extra=("price",))
     return _shown(t.diversified_by_signature(t.rank_candidates(cands, price_score, 250, requested=True), 3))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import re
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,6 +15,7 @@ DEFAULTS = {
     "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -24,12 +28,33 @@ def build_session(app: str = "garderobe", master: str | None = None, extra: dict
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the workers once, so that functions that run there find it wherever the driver started."""
+    context = spark.sparkContext
+    home = os.path.dirname(os.path.abspath(__file__))
+    known = os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if getattr(context, "_garderobe_shipped", False) or os.path.dirname(home) in known:  # workers take over PYTHONPATH
+        return
+    context._garderobe_shipped = True
+    archive = os.path.join(tempfile.mkdtemp(prefix="garderobe-code-"), "garderobe.zip")  # addPyFile copies it to every node
+    with zipfile.ZipFile(archive, "w") as packed:
+        for folder, _, names in os.walk(home):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    packed.write(path, os.path.relpath(path, os.path.dirname(home)))
+    context.addPyFile(archive)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; fall back to a scratch one only where none is named."""
+    """Use the shared folder that the cluster names in ``spark.checkpoint.dir``. Only a local master, where driver and
+    tasks share one disk, may go without: it gets a scratch folder."""
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
         return
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not named and not re.match(r"local(\[|$)", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="garderobe-checkpoint-"))
 
 

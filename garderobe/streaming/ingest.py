@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from garderobe.operators.duplicates import flag_duplicates
-from garderobe.session import ensure_checkpoint_dir
+from garderobe.operators.duplicates import flag_duplicates, flag_earlier
+from garderobe.session import cut_lineage, ensure_checkpoint_dir
 
 
 def work_path(spark: SparkSession, name: str) -> str:
@@ -48,10 +48,12 @@ def run_to_table(stream: DataFrame, spark: SparkSession, name: str) -> DataFrame
 
 
 def stream_ingest(stream: DataFrame, stored: DataFrame, spark: SparkSession, name: str = "items") -> str:
-    """Append arriving items to a table, flagging (never dropping) likely duplicates of stored items.
+    """Append arriving items to a table, flagging (never dropping) likely duplicates of the items before them.
 
-    The table starts with ``stored``. A batch is written to its own folder, so a batch that is run again
-    after a failure replaces itself. Returns the table path.
+    The table starts with ``stored``. An item is compared with what is stored and with the earlier items of its batch,
+    in order of (created_at, item_id): for items that arrive in this order the flags don't depend on how the stream is
+    cut. A batch is written to its own folder, so a batch that is run again after a failure replaces itself. Returns
+    the table path.
     """
     path = work_path(spark, name)
     blank = stored.withColumn("possible_duplicates", F.lit(0).cast("bigint")).withColumn("possible_duplicate_of", F.lit(None).cast("string"))
@@ -60,7 +62,11 @@ def stream_ingest(stream: DataFrame, stored: DataFrame, spark: SparkSession, nam
     def add(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
         before = session.read.parquet(f"{path}/data").filter(F.col("batch") < number).drop("batch")
+        batch = cut_lineage(batch)
         flagged = flag_duplicates(batch, before.select(*batch.columns))
+        flagged = flagged.join(flag_earlier(batch), ["wardrobe_id", "category", "item_id"], "left")
+        flagged = flagged.withColumn("possible_duplicates", F.col("possible_duplicates") + F.coalesce("earlier", F.lit(0)))
+        flagged = flagged.withColumn("possible_duplicate_of", F.least("first_twin", "first_earlier")["item_id"])
         flagged.select(*before.columns).write.mode("overwrite").parquet(f"{path}/data/batch={number}")
 
     query = stream.writeStream.foreachBatch(add).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()

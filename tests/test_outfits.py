@@ -71,7 +71,8 @@ def test_greedy_selection_equals_brute_force(spark):
     items = wardrobe(spark, COUNTS29, seed=5)
     cands, _, _ = o.build_candidates(pool(spark, items), BASE)
     ranked = o.rank_candidates(cands)
-    got = [r.position for r in o.diverse_topk(ranked, 8).orderBy("choice").collect()]
+    place = {tuple(g.item_id for g in r.members): r.position for r in ranked.collect()}
+    got = [place[tuple(g.item_id for g in r.members)] for r in o.diverse_topk(cands, 8).orderBy("choice").collect()]
     rows = sorted(ranked.collect(), key=lambda r: r.position)
     core = [{g.grp for g in r.core} for r in rows]
     look = [{g.grp for g in r.members} for r in rows]
