@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from garderobe.functions.lookup import hash_unit
+from garderobe.functions.lookup import hash_int
+from garderobe.session import cut_lineage
 
 SCORE_RANGES = 32
 
@@ -175,37 +178,114 @@ def poisson_cuts(terms: int = 13) -> list[float]:
     return [sum(steps[: k + 1]) for k in range(terms)]
 
 
-def replicates(df: DataFrame, row_key: Sequence[str], n: int, seed: int) -> DataFrame:
-    """Rows with their weight ``w`` in each replicate; rows a replicate leaves out are dropped before any shuffle.
+#: Modulus of the weight hash, a prime; products of two residues fit into 64 bits.
+PRIME = 2_147_483_647
+#: Replicates whose weights are in memory at once, and rows aimed at in a score range.
+REPLICATE_BLOCK, RANGE_ROWS = 50, 200_000
 
-    The weight is Poisson(1): the number of cumulative probabilities at or below a hashed uniform. That is the
-    distributed form of resampling with replacement: the replicate size is not fixed, but no row has to know
-    the others and every engine computes the same weights. The uniform is exploded from a one-element array so
-    that it is computed once and not inlined into every comparison.
+
+def replicate_weights(h: np.ndarray, replicates: np.ndarray) -> np.ndarray:
+    """Poisson(1) weights (rows, replicates): the number of cumulative probabilities at or below a hashed uniform.
+
+    That is the distributed form of resampling with replacement: the replicate size is not fixed, but no row has to
+    know the others and every engine computes the same weights. The uniform of a row in a replicate is a linear hash
+    of the row's number ``h``, modulo a prime.
     """
-    # Every row becomes n rows: spread them first, so that few large input files do not mean few tasks.
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = df.repartition(parts, *row_key).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(n))))
-    u = hash_unit(F.concat_ws(":", F.lit(str(seed)), "replicate", F.concat_ws("|", *row_key)))
-    drawn = spread.withColumn("_u", F.explode(F.array(u)))
-    cuts = poisson_cuts()
-    over = [F.when(F.col("_u") >= c, 1).otherwise(0) for c in cuts]
-    return drawn.filter(F.col("_u") >= cuts[0]).withColumn("w", sum(over[1:], over[0])).drop("_u")
+    times = 1 + (replicates * 1_103_515_245 + 12_345) % (PRIME - 1)
+    plus = (replicates * 69_069 + 362_437) % PRIME
+    u = ((h[:, None] * times + plus) % PRIME) / float(PRIME)
+    return np.searchsorted(np.array(poisson_cuts()), u, side="right").astype(np.int32)
+
+
+def _tied_sums(rows: pd.DataFrame, replicates: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weighted positives and negatives per distinct score, highest first, and replicate."""
+    score = rows["score"].to_numpy()
+    order = np.argsort(-score, kind="stable")
+    starts = np.flatnonzero(np.append(True, np.diff(score[order]) != 0))
+    weights = replicate_weights(rows["h"].to_numpy()[order], replicates)
+    positive = (rows["label"].to_numpy()[order] == 1)[:, None]
+    return np.add.reduceat(weights * positive, starts).astype(float), np.add.reduceat(weights * ~positive, starts).astype(float)
 
 
 def bootstrap_values(
     df: DataFrame, row_key: Sequence[str], scores: Sequence[str], n: int = 500, seed: int = 0
 ) -> DataFrame:
-    """ROC-AUC and average precision per replicate and score column, on the same weights for every column."""
+    """ROC-AUC and average precision per replicate and score column, on the same weights for every column.
+
+    The rows travel once, cut by score ranges; the weights of all replicates are made where a range is. A first pass
+    gives totals per range and replicate, a second one adds up the curve with the totals of the higher ranges, so what
+    is shuffled between them is ranges x n numbers.
+    """
+    h = F.pmod(hash_int(F.concat_ws(":", F.lit(str(seed)), F.concat_ws("|", *row_key)), 8), F.lit(PRIME)).alias("h")
     long = df.select(
-        "label",
-        *row_key,
+        F.col("label").cast("int").alias("label"),
+        h,
         F.explode(F.create_map(*[x for s in scores for x in (F.lit(s), F.col(s).cast("double"))])).alias("scorer", "score"),
+    ).filter(F.col("score").isNotNull())
+    long = cut_lineage(long)
+    cuts = score_cuts(long, ranges=max(2, long.count() // RANGE_ROWS))
+    ranged = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="score", outputCol="range").transform(long) if cuts else long.withColumn("range", F.lit(0.0))
+    ranged = cut_lineage(ranged.select("scorer", "range", "label", "score", "h"))
+    blocks = np.array_split(np.arange(1, n + 1, dtype=np.int64), max(1, -(-n // REPLICATE_BLOCK)))
+    keys = ["scorer", "range"]
+
+    def totals(key, rows: pd.DataFrame) -> pd.DataFrame:
+        parts = [_tied_sums(rows, block) for block in blocks]
+        pos, neg = (np.concatenate([p[i].sum(axis=0) for p in parts]) for i in (0, 1))
+        return pd.DataFrame({"scorer": key[0], "range": key[1], "replicate": np.concatenate(blocks), "pos": pos, "neg": neg})
+
+    sums = ranged.groupBy(*keys).applyInPandas(totals, "scorer string, range double, replicate long, pos double, neg double")
+    higher = Window.partitionBy("scorer", "replicate").orderBy(F.col("range").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("scorer", "replicate")
+    ahead = cut_lineage(sums).select(
+        *keys,
+        "replicate",
+        F.coalesce(F.sum("pos").over(higher), F.lit(0.0)).alias("tp"),
+        F.coalesce(F.sum("neg").over(higher), F.lit(0.0)).alias("fp"),
+        F.sum("pos").over(whole).alias("positives"),
+        F.sum("neg").over(whole).alias("negatives"),
     )
-    cuts = score_cuts(long)
-    weighted = replicates(long, row_key, n, seed)
-    counts = running_counts(weighted, ["scorer", "replicate"], weight=F.col("w"), cuts=cuts)
-    return ranking_metrics(counts, ["scorer", "replicate"])
+
+    def curve(key, rows: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+        given = given.sort_values("replicate").reset_index(drop=True)
+        out = []
+        for block in blocks if len(rows) else []:
+            pos, neg = _tied_sums(rows, block)
+            at = given.iloc[block - 1]
+            tp, fp = pos.cumsum(axis=0) + at["tp"].to_numpy(), neg.cumsum(axis=0) + at["fp"].to_numpy()
+            good = (neg * (tp - pos / 2)).sum(axis=0)
+            precision = np.divide(tp, tp + fp, out=np.zeros_like(tp), where=tp + fp > 0)
+            out.append(pd.DataFrame({"scorer": key[0], "replicate": block, "good": good, "gained": (pos * precision).sum(axis=0), "positives": at["positives"].to_numpy(), "negatives": at["negatives"].to_numpy()}))
+        return pd.concat(out)
+
+    schema = "scorer string, replicate long, good double, gained double, positives double, negatives double"
+    parts = ranged.groupBy(*keys).cogroup(ahead.groupBy(*keys)).applyInPandas(curve, schema)
+    added = parts.groupBy("scorer", "replicate").agg(*[F.sum(c).alias(c) for c in ("good", "gained")], *[F.max(c).alias(c) for c in ("positives", "negatives")])
+    both = (F.col("positives") > 0) & (F.col("negatives") > 0)
+    return added.select(
+        "scorer",
+        "replicate",
+        F.when(both, F.col("good") / (F.col("positives") * F.col("negatives"))).alias("roc_auc"),
+        F.when(both, F.col("gained") / F.col("positives")).alias("pr_auc"),
+    )
+
+
+def bootstrap_metric(df: DataFrame, row_key: Sequence[str], metric: Callable[[DataFrame, Sequence[str], Column], DataFrame], n: int = 500, seed: int = 0, alpha: float = 0.05) -> DataFrame:
+    """Interval of any metric: ``metric(rows, keys, weight)`` gives (keys, value) from rows weighted by ``weight``.
+
+    Every row becomes a row per replicate, so this is for metrics that the ranged plan of :func:`bootstrap_values`
+    doesn't cover.
+    """
+    h = F.pmod(hash_int(F.concat_ws(":", F.lit(str(seed)), F.concat_ws("|", *row_key)), 8), F.lit(PRIME))
+    rows = df.withColumn("_h", h).withColumn("replicate", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(n))))
+    times = F.lit(1) + (F.col("replicate") * 1_103_515_245 + 12_345) % (PRIME - 1)
+    plus = (F.col("replicate") * 69_069 + 362_437) % PRIME
+    rows = rows.withColumn("_u", ((F.col("_h") * times + plus) % PRIME) / F.lit(float(PRIME)))
+    cuts = poisson_cuts()
+    over = [F.when(F.col("_u") >= c, 1).otherwise(0) for c in cuts]
+    rows = rows.filter(F.col("_u") >= cuts[0]).withColumn("w", sum(over[1:], over[0])).drop("_u", "_h")
+    values = metric(rows, ["replicate"], F.col("w"))
+    return values.agg(F.percentile("value", F.lit(alpha / 2)).alias("low"), F.percentile("value", F.lit(1 - alpha / 2)).alias("high"))
 
 
 def bootstrap_ci(
@@ -257,7 +337,6 @@ def fitb_questions(members: DataFrame, usable: DataFrame, distractors: int = 3,
     Distractors are neighbours in the densely numbered item pool (numbered by hash) from a drawn place on: as many as
     wanted and as the outfit has items there, so that enough remain when those of the outfit are left out.
     """
-    from garderobe.functions.lookup import hash_int
     from garderobe.operators.spread import numbered
 
     keys = ["split", "set_id"]

@@ -165,9 +165,10 @@ def boot_sql(b_: int, seed: int = 0) -> str:
     return (
         f"{SCORED}, long AS (SELECT *, 'score' AS scorer FROM (SELECT * EXCLUDE (other) FROM scored) UNION ALL SELECT * EXCLUDE (score, other, "
         "grp, kind), other AS score, grp, kind, 'other' FROM scored), "
-        f"reps AS (SELECT scorer, label, score, replicate, {hx(f'{chr(39)}{seed}:{chr(39)} || replicate || {chr(39)}:{chr(39)} || {ROW}')} / "
-        f"4294967295.0::DOUBLE AS u FROM (SELECT scorer, label, score, l_orderkey, l_linenumber, l_partkey, l_suppkey, unnest(range(1, {b_ + 1})) "
-        f"AS replicate FROM long)), weighted AS (SELECT *, {_cuts_sql('u')} AS w FROM reps), "
+        f"hashed AS (SELECT scorer, label, score, {hx(f'{chr(39)}{seed}:{chr(39)} || {ROW}')} % {m.PRIME} AS h FROM long), "
+        f"reps AS (SELECT scorer, label, score, replicate, ((h * (1 + (replicate * 1103515245 + 12345) % {m.PRIME - 1}) + (replicate * 69069 + 362437) % {m.PRIME}) "
+        f"% {m.PRIME}) / {float(m.PRIME)!r}::DOUBLE AS u FROM (SELECT *, unnest(range(1, {b_ + 1})) AS replicate FROM hashed)), "
+        f"weighted AS (SELECT *, {_cuts_sql('u')} AS w FROM reps WHERE u >= {m.poisson_cuts()[0]!r}::DOUBLE), "
         + curve_sql("(SELECT * FROM weighted WHERE w > 0)", "scorer, replicate", "w")
         + f", vals AS (SELECT scorer, replicate, {AUC} AS roc_auc, {AP} AS pr_auc FROM curve GROUP BY ALL)"
     ).replace(
@@ -178,27 +179,27 @@ def boot_sql(b_: int, seed: int = 0) -> str:
 
 @register(
     "bootstrap_ci",
-    f"WITH {boot_sql(20)} SELECT scorer, count(*) AS replicates, "
+    f"WITH {boot_sql(500)} SELECT scorer, count(*) AS replicates, "
     + ", ".join(
         f"round(quantile_cont({c}, {q}), 6) AS {c}_{t}" for c in ("roc_auc", "pr_auc") for t, q in (("low", 0.025), ("high", 0.975))
     )
     + " FROM vals GROUP BY scorer",
 )
 def _boot(spark, sf):
-    out = m.bootstrap_ci(scored(spark, sf), KEY, ["score", "other"], n=20)
+    out = m.bootstrap_ci(scored(spark, sf), KEY, ["score", "other"])
     return out.select(*[r6(c, c) if t == "double" else F.col(c) for c, t in out.dtypes])
 
 
 @register(
     "paired_bootstrap_auc_diff",
-    f"WITH {boot_sql(20)}, df AS (SELECT replicate, sum(CASE scorer WHEN 'score' THEN roc_auc ELSE -roc_auc END) AS d FROM vals GROUP BY 1), "
+    f"WITH {boot_sql(500)}, df AS (SELECT replicate, sum(CASE scorer WHEN 'score' THEN roc_auc ELSE -roc_auc END) AS d FROM vals GROUP BY 1), "
     + curve_sql("long", "scorer").replace("g AS", "g2 AS").replace("FROM g)", "FROM g2)").replace("curve AS", "curve2 AS")
     + f", pt AS (SELECT scorer, {AUC} AS a FROM curve2 GROUP BY scorer) SELECT round(sum(CASE scorer WHEN 'score' THEN a ELSE -a END), 6) AS "
     "difference, (SELECT round(quantile_cont(d, 0.025), 6) FROM df) AS ci95_low, (SELECT round(quantile_cont(d, 0.975), 6) FROM df) AS ci95_high, "
     "(SELECT quantile_cont(d, 0.025) > 0 FROM df) AS beats FROM pt",
 )
 def _paired(spark, sf):
-    out = m.paired_bootstrap_auc_diff(scored(spark, sf), KEY, "score", "other", n=20)
+    out = m.paired_bootstrap_auc_diff(scored(spark, sf), KEY, "score", "other")
     return out.select(*[r6(c, c) if t == "double" else F.col(c) for c, t in out.dtypes])
 
 
