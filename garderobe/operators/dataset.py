@@ -232,7 +232,11 @@ def pair_items(pairs: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
 
 
 def item_disjoint_filter(pairs: DataFrame) -> DataFrame:
-    """Valid loses pairs with a training item; test loses pairs with a training or surviving valid item."""
+    """Valid loses pairs with a training item; test loses pairs with a training or surviving valid item.
+
+    The pairs are written once: the three splits and their item sets read the table instead of building it again.
+    """
+    pairs = cut_lineage(pairs)
 
     def without(rows: DataFrame, seen: DataFrame) -> DataFrame:
         for c in ("item_a", "item_b"):
@@ -240,8 +244,9 @@ def item_disjoint_filter(pairs: DataFrame) -> DataFrame:
         return rows
 
     train = pairs.filter(F.col("split") == "train")
-    valid = without(pairs.filter(F.col("split") == "valid"), pair_items(train))
-    seen = pair_items(train).unionByName(pair_items(valid))
+    trained = cut_lineage(pair_items(train))
+    valid = cut_lineage(without(pairs.filter(F.col("split") == "valid"), trained))
+    seen = trained.unionByName(pair_items(valid))
     test = without(pairs.filter(F.col("split") == "test"), seen)
     cols = pairs.columns
     return train.select(*cols).unionByName(valid.select(*cols)).unionByName(test.select(*cols))
@@ -267,6 +272,7 @@ def apply_canonical(pairs: DataFrame, canonical: DataFrame, bad: DataFrame) -> D
 
 def split_stats(pairs: DataFrame) -> DataFrame:
     """Items, positives, negatives and pairs per kind of each split."""
+    pairs = cut_lineage(pairs)  # read for the counts and for the items
     counts = pairs.groupBy("split").agg(
         F.count_if(F.col("label") == 1).alias("positive_pairs"),
         F.count_if(F.col("label") == 0).alias("negative_pairs"),
@@ -278,6 +284,7 @@ def split_stats(pairs: DataFrame) -> DataFrame:
 
 def unseen_item_check(pairs: DataFrame) -> DataFrame:
     """Number of test items that also occur in training pairs; must be zero after the disjoint filter."""
+    pairs = cut_lineage(pairs.filter(F.col("split").isin("train", "test")))
     train = pair_items(pairs.filter(F.col("split") == "train"))
     test = pair_items(pairs.filter(F.col("split") == "test"))
     return test.intersect(train).agg(F.count(F.lit(1)).alias("test_items_seen_in_training"))

@@ -186,21 +186,18 @@ def _disjoint(spark, sf):
     return d.disjoint_report(cut_lineage(sampler(spark, sf).typed_pairs()))
 
 
-POS_TYPED = "WITH " + BASE_CTE + ", typed AS (SELECT split, item_a, item_b, 1 AS label, 'observed_positive' AS kind FROM positives)"
-
-
-@register("item_disjoint_stats", POS_TYPED + TI + DISJOINT + " " + stats_sql("disjoint"))
+@register("item_disjoint_stats", TYPED + TI + DISJOINT + " " + stats_sql("disjoint"))
 def _disjoint_stats(spark, sf):
-    return d.split_stats(d.item_disjoint_filter(d.positive_pairs(b.outfit_items(spark, sf)).drop("set_id")))
+    return d.split_stats(d.item_disjoint_filter(sampler(spark, sf).typed_pairs()))
 
 
 @register(
     "unseen_item_check",
-    POS_TYPED + TI + DISJOINT + " SELECT count(*) AS test_items_seen_in_training FROM (SELECT DISTINCT unnest([item_a, item_b]) AS i "
+    TYPED + TI + DISJOINT + " SELECT count(*) AS test_items_seen_in_training FROM (SELECT DISTINCT unnest([item_a, item_b]) AS i "
     "FROM disjoint WHERE split = 'test') WHERE i IN (FROM ti)",
 )
 def _unseen(spark, sf):
-    return d.unseen_item_check(d.item_disjoint_filter(d.positive_pairs(b.outfit_items(spark, sf)).drop("set_id")))
+    return d.unseen_item_check(d.item_disjoint_filter(sampler(spark, sf).typed_pairs()))
 
 
 def csv_pairs(spark, sf):
@@ -264,13 +261,13 @@ def canonical_tables(spark, sf):
 
 @register(
     "apply_canonical",
-    POS_TYPED + CANON + ", c AS (SELECT t.split, a.canonical_id AS item_a, b.canonical_id AS item_b FROM typed t JOIN canon a ON "
+    TYPED + CANON + ", c AS (SELECT t.split, a.canonical_id AS item_a, b.canonical_id AS item_b FROM typed t JOIN canon a ON "
     "a.item_id = t.item_a JOIN canon b ON b.item_id = t.item_b) SELECT split, item_a, item_b, count(*) AS n FROM c WHERE item_a <> item_b "
     "AND item_a NOT IN (FROM bad) AND item_b NOT IN (FROM bad) GROUP BY ALL",
 )
 def _canonical(spark, sf):
     canon, bad = canonical_tables(spark, sf)
-    pairs = d.positive_pairs(b.outfit_items(spark, sf)).select("split", "item_a", "item_b")
+    pairs = sampler(spark, sf).typed_pairs().select("split", "item_a", "item_b")
     return d.apply_canonical(pairs, canon, bad).groupBy("split", "item_a", "item_b").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -305,13 +302,13 @@ def _prepare(spark, sf):
 
 @register(
     "pair_embeddings",
-    "WITH " + BASE_CTE + f", {VECTORS} SELECT split, count(*) AS n, round(avg(list_dot_product(a.vector, b.vector)), 6) AS mean_cosine "
-    "FROM positives p JOIN item_vecs a ON a.item_id = p.item_a JOIN item_vecs b ON b.item_id = p.item_b GROUP BY 1",
+    TYPED + f", {VECTORS} SELECT split, count(*) AS n, round(avg(list_dot_product(a.vector, b.vector)), 6) AS mean_cosine "
+    "FROM typed p JOIN item_vecs a ON a.item_id = p.item_a JOIN item_vecs b ON b.item_id = p.item_b GROUP BY 1",
 )
 def _embedded(spark, sf):
     from garderobe.functions.vectors import dot
 
-    pairs = d.positive_pairs(b.outfit_items(spark, sf)).select("split", "item_a", "item_b")
+    pairs = sampler(spark, sf).typed_pairs().select("split", "item_a", "item_b")
     both = d.pair_embeddings(pairs, b.item_vectors(spark, sf), b.ENCODER_DIM)
     return (
         both.withColumn("cosine", dot("va", "vb"))
@@ -322,11 +319,11 @@ def _embedded(spark, sf):
 
 @register(
     "missing_embedding_rate",
-    "WITH " + BASE_CTE + f", {VECTORS}, m AS (SELECT p.*, item_a NOT IN (SELECT item_id FROM item_vecs) OR item_b NOT IN (SELECT item_id FROM "
-    "item_vecs) AS lacking FROM positives p) SELECT split, count(*) AS pairs, count(*) FILTER (lacking) AS missing, "
+    TYPED + f", {VECTORS}, m AS (SELECT p.*, item_a NOT IN (SELECT item_id FROM item_vecs) OR item_b NOT IN (SELECT item_id FROM "
+    "item_vecs) AS lacking FROM typed p) SELECT split, count(*) AS pairs, count(*) FILTER (lacking) AS missing, "
     "round(avg(lacking::INT), 6) AS missing_rate, avg(lacking::INT) > 0.05 AS over_limit FROM m GROUP BY 1",
 )
 def _missing(spark, sf):
-    pairs = d.positive_pairs(b.outfit_items(spark, sf)).select("split", "item_a", "item_b")
+    pairs = sampler(spark, sf).typed_pairs().select("split", "item_a", "item_b")
     out = d.missing_embedding_rate(pairs, b.item_vectors(spark, sf), b.ENCODER_DIM)
     return out.withColumn("missing_rate", F.round("missing_rate", 6))
