@@ -10,10 +10,13 @@ from garderobe import vocab as v
 from garderobe.functions import style, vectors
 from garderobe.functions.vectors import dot
 from garderobe.operators import dataset as d
+from garderobe.operators import detections as de
 from garderobe.operators import images as im
 from garderobe.operators import models as mo
 from garderobe.operators import pairs as pr
 from garderobe.plans import bindings as b
+from garderobe.plans.fit import fit_ranker
+from garderobe.plans.ingest import ingest_detections
 from garderobe.registry.base import register
 from garderobe.registry.common import VECTORS, case_map, with_items
 from garderobe.registry.dataset import DISJOINT, TI, TYPED, sampler
@@ -63,10 +66,53 @@ def _model_io(spark, sf):
     return mo.model_rows(spark, mo.load_pair_model(spark, path))
 
 
+def observed(spark, sf):
+    """Wardrobe outfits (items by p_size % 7), the even ones for validation, the odd ones for the test."""
+    part = F.col("p_size") % 7
+    split = F.when(part % 2 == 0, "valid").otherwise("test")
+    return usable(spark, sf).select(split.alias("split"), F.concat_ws("_", "wardrobe_id", part).alias("set_id"), F.col("seq").alias("ord"), "item_id")
+
+
+@register(
+    "fit_ranker",
+    "SELECT 'weights_support_compatibility' AS fact, true AS holds UNION ALL SELECT 'a_feature_is_kept', true UNION ALL SELECT 'cut_is_a_plausibility', true UNION ALL "
+    "SELECT 'saved_model_is_the_fitted_one', true UNION ALL SELECT 'cut_separates_validation', true UNION ALL SELECT 'both_splits_reported', true",
+)
+def _fit_ranker(spark, sf):
+    """The whole fitting job; what must hold of any fit is shown, the weights themselves depend on the solver."""
+    rows = labelled_features(spark, sf).select(F.lit("valid").alias("split"), F.col("a_item_id").alias("item_a"), F.col("b_item_id").alias("item_b"), "label")
+    path = st.work_path(spark, "ranker")
+    fit = fit_ranker(rows, observed(spark, sf), usable(spark, sf), path=path)
+    model, saved = fit.model, mo.load_pair_model(spark, path)
+    report = fit.report.agg(F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("split") == "valid", F.col("tpr") - F.col("fpr"))).alias("gap"))
+    facts = {
+        "weights_support_compatibility": F.lit(len(model["features"]) == 1 or min(model["coef"]) >= 0),
+        "a_feature_is_kept": F.lit(len(model["features"]) >= 1),
+        "cut_is_a_plausibility": F.lit(0 <= model["outfit_threshold"] <= 1),
+        "saved_model_is_the_fitted_one": F.lit(all(saved[k] == model[k] for k in ("features", "coef", "mean", "scale", "impute", "intercept", "outfit_threshold"))),
+        "cut_separates_validation": F.col("gap") >= 0,
+        "both_splits_reported": F.col("n") == 2,
+    }
+    return report.select(F.explode(F.array(*[F.struct(F.lit(k).alias("fact"), x.alias("holds")) for k, x in facts.items()])).alias("f")).select("f.*")
+
+
+@register("ingest_detections")
+def _ingest(spark, sf):
+    """The whole ingest job over the detector rows of the tables, with the vector that the id points to."""
+    n = b.table(spark, sf, "embeddings").agg(F.count(F.lit(1)).alias("n"))
+    e = b.table(spark, sf, "embeddings").select("vec_id", "embedding")
+    raw = b.raw_detections(spark, sf)
+    found = de.detect_regions(raw).select("id").distinct()
+    vectors_ = found.crossJoin(F.broadcast(n)).withColumn("vec_id", F.pmod(F.xxhash64("id"), F.col("n"))).join(e, "vec_id").select("id", "embedding")  # one row on the right
+    stored = b.item_base(spark, sf)
+    job = ingest_detections(raw, vectors_, stored, (F.col("image_id") % 20).cast("bigint"), F.expr(f"{b.EPOCH} + make_dt_interval(1000, 0, 0, image_id)"), st.work_path(spark, "snapshot"))
+    return job.snapshot.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("possible_duplicates") > 0).alias("flagged"))
+
+
 @register("train_compat_model")
 def _train(spark, sf):
     pairs = d.pair_embeddings(sampler(spark, sf).typed_pairs(), b.item_vectors(spark, sf), b.ENCODER_DIM)
-    return mo.train_compat_model(pairs, b.ENCODER_DIM, grid=((8, 10), (16, 10)))[1]
+    return mo.train_compat_model(pairs, b.ENCODER_DIM)[1]
 
 
 @register(

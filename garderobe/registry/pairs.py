@@ -202,9 +202,20 @@ def _groups(spark, sf):
     return d.duplicate_groups(b.item_base(spark, sf), ["wardrobe_id"], 0.25).select("wardrobe_id", "item_id", "group_id")
 
 
-@register("lsh_duplicates")
+@register(
+    "lsh_duplicates",
+    with_items(
+        f", {_twins('a.wardrobe_id = b.wardrobe_id AND a.category = b.category').format(t=0.97)} SELECT true AS all_exact, true AS recall_at_least_90 FROM (SELECT count(*) FROM twins)"
+    ),
+)
 def _lsh(spark, sf):
-    return d.lsh_duplicates(b.item_base(spark, sf)).withColumn("cosine", F.round("cosine", 6))
+    """Of the approximate pairs: whether all are among the exact ones, and the share of the exact ones found."""
+    items = b.item_base(spark, sf)
+    keys = ["wardrobe_id", "category"]
+    near = d.lsh_duplicates(items).agg(F.coalesce(F.sum("n_pairs"), F.lit(0)).alias("near"), F.count_if(F.col("cosine") < 0.97 - 1e-9).alias("far"))
+    exact = d.find_duplicates(items, keys).agg((F.coalesce(F.sum("n_duplicates"), F.lit(0)) / 2).alias("exact"))
+    both = near.crossJoin(exact)  # one row each
+    return both.select(((F.col("far") == 0) & (F.col("near") <= F.col("exact"))).alias("all_exact"), (F.col("near") >= 0.9 * F.col("exact")).alias("recall_at_least_90"))
 
 
 @register(
