@@ -353,7 +353,7 @@ def diverse_topk(
     slim = strong.select(KEY, "rank", order.alias("order"), groups("core").alias("core_groups"), groups("members").alias("look_groups"))
     slim = cut_lineage(slim)
     kind = "array<struct<core:array<string>,look:array<string>>>"
-    past, found = None, None
+    state = None  # wardrobe, what was chosen so far, and its garments
 
     def overlap(own: str, other: Column) -> Column:
         shared = F.size(F.array_intersect(F.col(own), other)).cast("double")
@@ -363,28 +363,33 @@ def diverse_topk(
         return F.aggregate("past", F.lit(0.0), lambda most, c: F.greatest(most, overlap(own, c[part])))
 
     for choice in range(1, k + 1):
-        if past is None:
+        if state is None:
             rows = slim.withColumn("past", F.array().cast(kind))
         else:
-            rows = slim.join(past, KEY)
+            # A wardrobe without a new choice in the last round is done.
+            rows = slim.join(state.filter(F.size("taken") == choice - 1), KEY)
             rows = rows.filter(worst("core_groups", "core") <= max_shared + 1e-9)
-            # With a cut-off of a whole core the chosen outfits themselves would come again.
+            # With a limit of a whole core the chosen outfits themselves would come again.
             rows = rows.filter(~F.array_contains("taken", F.col("order")))
         value = F.col("rank") - F.lit(weight) * worst("look_groups", "look")
         best = F.min(F.struct((-value).alias("value"), (-F.col("rank")).alias("rank"), "order", "core_groups", "look_groups"))
-        pick = cut_lineage(rows.groupBy(KEY).agg(best.alias("b")))
-        if pick.limit(1).count() == 0:
-            break
-        new = pick.select(KEY, F.lit(choice).alias("choice"), F.col("b.order").alias("order"))
-        found = new if found is None else found.unionByName(new)
+        pick = rows.groupBy(KEY).agg(best.alias("b"))
         one = F.array(F.struct(F.col("b.core_groups").alias("core"), F.col("b.look_groups").alias("look")))
-        order_of = F.array(F.col("b.order"))
-        if past is None:
-            past = pick.select(KEY, one.alias("past"), order_of.alias("taken"))
-        else:  # a wardrobe without a new choice is done and leaves
-            past = cut_lineage(past.join(pick, KEY).select(KEY, F.concat("past", one).alias("past"), F.concat("taken", order_of).alias("taken")))
-    if found is None:
+        if state is None:
+            after = pick.select(KEY, one.alias("past"), F.array("b.order").alias("taken"))
+        else:
+            more = F.col("b").isNotNull()
+            after = state.join(pick, KEY, "left").select(
+                KEY,
+                F.when(more, F.concat("past", one)).otherwise(F.col("past")).alias("past"),
+                F.when(more, F.concat("taken", F.array("b.order"))).otherwise(F.col("taken")).alias("taken"),
+            )
+        state = cut_lineage(after)
+        if state.filter(F.size("taken") == choice).limit(1).count() == 0:
+            break
+    if state is None:
         return strong.withColumn("choice", F.lit(1)).filter(F.lit(False))
+    found = state.select(KEY, F.posexplode("taken").alias("choice", "order")).withColumn("choice", F.col("choice") + 1)
     return strong.withColumn("order", order).join(found, [KEY, "order"]).drop("order")
 
 
