@@ -16,6 +16,8 @@ from garderobe.llm.common import Stash, components, packed, raw
 
 SHARD_ROWS = 200_000
 HOT_SHARD = 50_000
+#: Pairs (item, node) that a walk over the trees holds at once, at most about so many.
+WALK_PAIRS = 500_000
 #: Odd multipliers that derive the further fingerprints from the same shingle hashes.
 STIR = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
@@ -130,7 +132,7 @@ def link_shards(rows: pd.DataFrame, radius: int, widest: int | None) -> pd.DataF
     more = rows[["fp2", "fp3"]].to_numpy().astype(np.int64).view(np.uint64)
     root, parent, edge = grow_forest(rows["shard"].to_numpy(), fp)
     label = np.arange(len(fp))
-    turns = np.cumsum(size) // 4_000_000
+    turns = np.cumsum(size) // WALK_PAIRS
     for items in np.split(label.copy(), np.flatnonzero(np.diff(turns)) + 1):
         for a, b in near_in_forest(root, parent, edge, fp, radius, items):
             if widest is not None and len(a):
