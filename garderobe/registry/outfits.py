@@ -391,6 +391,33 @@ def _json(spark, sf):
     return o.outfit_json(job.explained, job.judged)
 
 
-@register("result_message")
+def _message_sql(k: int) -> str:
+    """The funnel of the whole job with its sentence, recomputed from candidates and the written-out selection."""
+    counts = ", ".join(f"count(*) FILTER (category = '{x}') AS n_{x}" for x in v.SLOTS)
+    owned = ", ".join(f"CASE WHEN n_{x} > 0 THEN n_{x} || ' {v.SLOT_NAMES[x].lower()}' END" for x in sorted(v.SLOTS))
+    core = "(n_top * n_bottom * n_shoes + n_one_piece * n_shoes)"
+    return (
+        candidates_sql()
+        + diverse_sql(k, COPY_GROUPS)
+        + f", n AS (SELECT wardrobe_id, {counts} FROM pool GROUP BY 1), i AS (SELECT wardrobe_id, count(*) AS wardrobe_items, count(*) FILTER (reason IS NULL) AS eligible_items "
+        "FROM items GROUP BY 1), sc AS (SELECT wardrobe_id, count(*) AS candidates_scored FROM cand GROUP BY 1), st AS (SELECT wardrobe_id, count(*) AS above_threshold FROM strong "
+        "GROUP BY 1), sh AS (SELECT wardrobe_id, count(DISTINCT choice) AS returned, count(DISTINCT item_id) AS unique_items_in_results FROM (SELECT wardrobe_id, choice, "
+        "unnest(str_split(members, ',')) AS item_id FROM chosen) GROUP BY 1), f AS (SELECT i.*, "
+        f"coalesce({core} * (n_outerwear + 1) * (n_accessory + 1), 0)::BIGINT AS structural_combinations, coalesce({core}, 0)::BIGINT AS core_combinations, "
+        "coalesce(candidates_scored, 0) AS candidates_scored, coalesce(above_threshold, 0) AS above_threshold, coalesce(returned, 0) AS returned, coalesce(unique_items_in_results, 0) "
+        f"AS unique_items_in_results, n.* EXCLUDE (wardrobe_id), coalesce(nullif(concat_ws(', ', {owned}), ''), 'nothing usable') AS owned FROM i LEFT JOIN n USING (wardrobe_id) "
+        "LEFT JOIN sc USING (wardrobe_id) LEFT JOIN st USING (wardrobe_id) LEFT JOIN sh USING (wardrobe_id)) SELECT wardrobe_id, wardrobe_items, eligible_items, "
+        "structural_combinations, core_combinations, candidates_scored, above_threshold, returned, unique_items_in_results, core_combinations - candidates_scored AS "
+        "rejected_by_validity, CASE WHEN eligible_items = 0 THEN 'No wardrobe item is currently usable for outfits (see the excluded items).' WHEN n_shoes = 0 THEN "
+        "'Every outfit needs shoes, and there are no usable shoes in your wardrobe. Usable items: ' || owned || '.' WHEN NOT (n_top > 0 AND n_bottom > 0 OR n_one_piece > 0) THEN "
+        "'Not enough items for an outfit: add at least one top and one bottom, or a dress/one-piece, plus shoes. Usable items: ' || owned || '.' WHEN candidates_scored = 0 THEN "
+        "'Valid outfit structures exist, but every combination was rejected by the validity rules (the same garment twice or conflicting items).' WHEN returned = 0 THEN "
+        f"candidates_scored || ' valid combinations were scored, but none reached the quality threshold ({CUT:.2f}). Add more items or review flagged ones.' WHEN returned < {k} THEN "
+        f"returned || ' strong outfit(s) found from your current wardrobe (you asked for {k}).' || CASE WHEN above_threshold > returned THEN ' ' || (above_threshold - returned) || "
+        "' other strong combination(s) were too similar to these to add variety.' ELSE '' END END AS message FROM f"
+    )
+
+
+@register("result_message", with_items(_message_sql(8)))
 def _messages(spark, sf):
-    return _job(spark, sf, k=25).messages
+    return _job(spark, sf, k=8).messages
