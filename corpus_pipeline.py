@@ -15,7 +15,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (shingles of five words, similarity 0.8 or more) the smallest doc_id."""
-    return simhash.drop_near_duplicates(docs, k=5, radius=7, similarity=0.8)
+    return simhash.drop_near_duplicates(docs, k=5, similarity=0.8)
 
 
 def keep_unleaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

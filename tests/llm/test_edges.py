@@ -180,7 +180,7 @@ def test_pipeline_follows_its_stages(spark):
     good = first(spark, docs, sf_dir)
     assert ids(good) == ids(quality.quality(docs, labels).where("predicted = 1"))
     single = second(spark, good, sf_dir)
-    groups = simhash.simhash_groups(good, k=5, radius=7, similarity=0.8)
+    groups = simhash.simhash_groups(good, k=5, similarity=0.8)
     assert ids(single) == sorted({r["component_id"] for r in groups.collect()}, key=str)
     clean = third(spark, single, sf_dir)
     leaked = {r["doc_id"] for r in decontaminate.leaks(single, bench).collect()}
