@@ -18,6 +18,18 @@ from garderobe.operators.spread import pair_join
 from garderobe.session import cut_lineage
 
 TEMPLATES = {"+".join(t): t for t in v.CORE_TEMPLATES}
+
+# --- Fixed values: sentences shown with a result --------------------------------------------------
+NO_SHOES = "Every outfit needs shoes, and there are no usable shoes in your wardrobe."
+TOO_FEW = "Not enough items for an outfit: add at least one top and one bottom, or a dress/one-piece, plus shoes."
+EMPTY_WARDROBE = "Your wardrobe is empty. Add some clothes on the Wardrobe page first."
+NONE_USABLE = "No wardrobe item is currently usable for outfits (see the excluded items)."
+GONE = "The selected item no longer exists."
+UNUSABLE = "The selected item cannot be used: "
+ALL_INVALID = (
+    "Valid outfit structures exist, but every combination was rejected by the validity rules "
+    "(the same garment twice or conflicting items)."
+)
 KEY = "wardrobe_id"
 
 
@@ -463,13 +475,10 @@ def shortage_message(sizes: DataFrame, required_label: Column | None = None) ->
     body = (F.col("n_top") > 0) & (F.col("n_bottom") > 0) | (F.col("n_one_piece") > 0)
     message = F.when(
         F.col("n_shoes") == 0,
-        F.concat(F.lit("Every outfit needs shoes, and there are no usable shoes in your wardrobe."), tail),
+        F.concat(F.lit(NO_SHOES), tail),
     ).when(
         ~body,
-        F.concat(
-            F.lit("Not enough items for an outfit: add at least one top and one bottom, or a dress/one-piece, plus shoes."),
-            tail,
-        ),
+        F.concat(F.lit(TOO_FEW), tail),
     )
     if required_label is not None:
         for mine, other in (("top", "bottom"), ("bottom", "top")):
@@ -483,6 +492,19 @@ def shortage_message(sizes: DataFrame, required_label: Column | None = None) ->
     return sizes.withColumn("message", message)
 
 
+def excluded_items(judged: DataFrame) -> DataFrame:
+    """Items that take no part, counted by wardrobe, slot and reason."""
+    return judged.filter(F.col("reason").isNotNull()).groupBy(KEY, "category", "reason").agg(F.count(F.lit(1)).alias("n_excluded"))
+
+
+def required_message(judged: DataFrame, required: DataFrame) -> DataFrame:
+    """(wardrobe, message) where the garment that ``required(wardrobe_id, item_id)`` asks for is excluded or gone."""
+    state = judged.select(KEY, "item_id", "reason", F.lit(True).alias("_known"))
+    joined = required.select(KEY, "item_id").join(state, [KEY, "item_id"], "left")
+    message = F.when(F.col("_known").isNull(), GONE).when(F.col("reason").isNotNull(), F.concat(F.lit(UNUSABLE), "reason", F.lit(".")))
+    return joined.select(KEY, message.alias("message")).filter(F.col("message").isNotNull())
+
+
 def result_message(stages: DataFrame, shortages: DataFrame, k: int, threshold: float | None) -> DataFrame:
     """The sentence shown with a result; null when k outfits were returned."""
     c = F.col
@@ -494,13 +516,12 @@ def result_message(stages: DataFrame, shortages: DataFrame, k: int, threshold: f
     ).otherwise("")
     cut = F.lit("none" if threshold is None else f"{threshold:.2f}")
     message = (
-        F.when(c("wardrobe_items") == 0, "Your wardrobe is empty. Add some clothes on the Wardrobe page first.")
-        .when(c("eligible_items") == 0, "No wardrobe item is currently usable for outfits (see the excluded items).")
+        F.when(c("wardrobe_items") == 0, EMPTY_WARDROBE)
+        .when(c("eligible_items") == 0, NONE_USABLE)
         .when(c("_short").isNotNull(), c("_short"))
         .when(
             c("candidates_scored") == 0,
-            "Valid outfit structures exist, but every combination was rejected by the validity rules "
-            "(the same garment twice or conflicting items).",
+            ALL_INVALID,
         )
         .when(
             c("returned") == 0,

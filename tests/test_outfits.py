@@ -126,6 +126,16 @@ def test_messages(spark):
     assert text[2].startswith("Not enough items for an outfit")
 
 
+def test_messages_for_a_required_item(spark):
+    items = wardrobe(spark, {"top": 2, "bottom": 1, "shoes": 1}).unionByName(wardrobe(spark, {"top": 1, "bottom": 1, "shoes": 1}, wid=2))
+    items = items.withColumn("review_status", F.when(F.col("item_id") == "w1i000", "needs_review").otherwise(F.col("review_status")))
+    asked = spark.createDataFrame([(1, "w1i000"), (2, "nothing")], "wardrobe_id long, item_id string")
+    job = generate_outfits(items, "m", 16, BASE, k=1, threshold=0.0, required=asked)
+    text = {r.wardrobe_id: r.message for r in job.messages.collect()}
+    assert text[1].startswith("The selected item cannot be used: needs review") and text[2] == "The selected item no longer exists."
+    assert [(r.wardrobe_id, r.category, r.n_excluded) for r in job.excluded.collect()] == [(1, "top", 1)]
+
+
 def test_adversarial_outfits(spark):
     items = wardrobe(spark, {"top": 2, "bottom": 1, "shoes": 2, "one_piece": 1, "outerwear": 1, "accessory": 1})
     ids = [r.item_id for r in items.orderBy("item_id").collect()]
