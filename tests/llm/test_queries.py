@@ -2,6 +2,7 @@
 
 import hashlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -155,3 +156,54 @@ def test_binomial_tail(spark):
     for r in df.collect():
         want = tail_is_exact(r["k"], r["n"], 0.01) if r["k"] < r["n"] * 0.01 else 1.0
         assert r["p"] == pytest.approx(want, rel=1e-9)
+
+
+def brute_groups(texts, similarity=0.8):
+    """{id: smallest id of its group} by the exact Jaccard similarity of five-word shingles of all pairs."""
+    sets = {d: set(shingle_hashes(t, 5).tolist()) for d, t in texts}
+    least = {d: d for d in sets}
+
+    def top(d):
+        while least[d] != d:
+            d = least[d]
+        return d
+
+    for (a, x), (b, y) in combinations(sets.items(), 2):
+        if x == y or len(x & y) >= similarity * len(x | y) - 1e-9:
+            low, high = sorted((top(a), top(b)))
+            least[high] = low
+    return {d: top(d) for d in sets}
+
+
+def edited_texts(words, others, per, near, seed=5):
+    """Base texts and copies with ``near`` differing words at the end: Jaccard (words - 4 - near) / (words - 4 + near)."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for b in range(others):
+        base = [f"w{x}" for x in rng.integers(0, 1 << 40, words)]
+        out.append(" ".join(base))
+        for c in range(per):
+            out.append(" ".join(base[: words - near] + [f"c{b}x{c}x{i}" for i in range(near)]))
+    return out
+
+
+def test_near_duplicates_against_brute_force_at_the_threshold(spark):
+    """Pairs just above (0.81, short ones 0.82) and just below (0.78) the similarity, and the small table: never a link
+    that is not there; the net of samples may miss a few."""
+    above, below = edited_texts(204, 60, 1, 21), edited_texts(204, 60, 1, 25, seed=6)
+    short = edited_texts(24, 60, 1, 2, seed=7)
+    texts = list(enumerate(above + below + short))
+    for given, most in ((texts, 3), (rows_of(spark), 0)):
+        df = spark.createDataFrame(given, "doc_id long, text string")
+        got = {r["doc_id"]: r["component_id"] for r in simhash.simhash_groups(df, k=5, similarity=0.8).collect()}
+        want = brute_groups(given)
+        assert all(want[d] == want[c] for d, c in got.items())
+        assert sum(got[d] != want[d] for d in want) <= most
+
+
+def test_large_group_is_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", 8)
+    texts = list(enumerate(edited_texts(100, 2, 40, 8)))
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.simhash_groups(df, k=5, similarity=0.8).collect()}
+    assert got == brute_groups(texts) and len(set(got.values())) == 2
