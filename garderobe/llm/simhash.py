@@ -293,24 +293,28 @@ def simhash_groups(docs: DataFrame, k: int = 5, radius: int = 22, similarity: fl
     null doc_id is kept as a row and never chosen as an id while a group has another; repeated rows stay repeated; an
     empty table gives no rows.
     """
-    stash = stash or Stash(docs.sparkSession)
+    printed, placed = placed_classes(docs, k, radius, similarity, lower, stash or Stash(docs.sparkSession))
+    smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = placed.join(smallest, "root").select("node", "component_id")
+    return printed.join(named, "node").select("doc_id", "fp", "component_id")
+
+
+def placed_classes(docs: DataFrame, k: int, radius: int, similarity: float | None, lower: bool, stash: Stash) -> tuple[DataFrame, DataFrame]:
+    """(fingerprinted rows, classes with their root, smallest id and first row) of ``simhash_groups``."""
     wide = similarity is not None
     printed = stash.keep(fingerprints(docs.select("doc_id", "text"), k, lower, wide))
     printed = printed.withColumn("node", F.col("bag") if wide else F.col("fp"))
-    one_row = F.min(F.struct(row_name(), "mark", "bytes")).alias("one")
+    one_row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", row_name(), "mark", "bytes")).alias("one")
     classes = stash.keep(printed.groupBy("node", "fp", "fp2", "fp3").agg(F.min("doc_id").alias("least"), one_row))
     one_each = classes.select("node", "fp", "fp2", "fp3")
     if wide:
         widest = widest_for(similarity) + SLACK
         links = near_links(one_each, radius, stash, samples_of_bits(), widest)
-        links = confirmed(docs, classes.select("node", "fp", "fp2", "fp3", "one.*"), links, k, lower, widest, similarity, stash)
+        links = confirmed(docs, classes.select("node", "fp", "fp2", "fp3", "one.name", "one.mark", "one.bytes"), links, k, lower, widest, similarity, stash)
     else:
         links = near_links(one_each, radius, stash)
     roots = components(links, stash)
-    placed = classes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = placed.join(smallest, "root").select("node", "component_id")
-    return printed.join(named, "node").select("doc_id", "fp", "component_id")
+    return printed, classes.join(roots, "node", "left").select("node", "least", "one", F.coalesce("root", "node").alias("root"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -319,10 +323,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document of each group: the one with the smallest id (one row of it, where rows repeat)."""
+def drop_near_duplicates(docs: DataFrame, k: int = 5, radius: int = 22, similarity: float | None = 0.8, lower: bool = True) -> DataFrame:
+    """``docs`` with one row of each group: the one with the smallest id, null ids last; of rows with the same id, and of
+    those without one, a hash of the text decides. Rows are told apart by id and text (one of equal ones stays)."""
     stash = Stash(docs.sparkSession)
-    found = simhash_groups(docs, stash=stash, **options)
-    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))  # one key, so that join and removal share an exchange
-    stay = stash.keep(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(name.alias("name")).distinct())
-    return packed(docs, "doc_id").withColumn("name", name).join(stay, "name").dropDuplicates(["name"]).select("row.*")
+    _, placed = placed_classes(docs, k, radius, similarity, lower, stash)
+    stay = stash.keep(placed.groupBy("root").agg(F.min("one").alias("one")).select("one.name", "one.mark"))
+    rows = packed(docs, "doc_id", "text").select("row", row_name(), F.xxhash64("text").alias("mark"))
+    return rows.join(stay, ["name", "mark"]).dropDuplicates(["name", "mark"]).select("row.*")

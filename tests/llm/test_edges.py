@@ -153,6 +153,14 @@ def test_near_duplicates_leave_one(docs):
     assert 1 in left and 2 not in left and None not in left and [3, 6, 7, 8] == [i for i in left if i in (3, 4, 5, 6, 7, 8)]
 
 
+def test_near_duplicates_tell_rows_of_one_id_apart(spark):
+    """Null ids and an id with several texts: each group keeps one row, nothing else goes."""
+    one, two, three, four = (" ".join(f"{name}{i}" for i in range(80)) for name in ("a", "b", "c", "d"))
+    rows = [(2, one), (5, one), (5, two), (None, three), (None, four), (None, four), (None, one), (7, three)]
+    out = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in out.collect()))) == sorted(map(str, [(2, one), (5, two), (7, three), (None, four)]))
+
+
 def test_tokens_of_odd_rows(docs):
     rows = tokens.training_order(docs).collect()
     ends = [r for r in rows if r["doc_id"] in (3, 4)]
