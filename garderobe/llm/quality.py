@@ -136,6 +136,9 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataF
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The rows of ``docs`` that the classifier doesn't reject, with the same columns."""
+    """The rows of ``docs`` that the classifier doesn't reject, with the same columns; without a usable label nothing is
+    learned and no row is rejected."""
     model = learn(docs.select("doc_id", "text"), labels)
+    if model is None:
+        return docs
     return scored(packed(docs, "text"), model).where(F.col("quality_score") >= threshold).select("row.*")

@@ -95,6 +95,12 @@ def test_without_labels(docs, labels, bench):
     assert all(r["kept"] != r["base_failed"] for r in rules.apply_rules(docs, nothing).collect())
 
 
+def test_no_row_is_rejected_without_a_model(docs, labels):
+    for nothing in (labels.limit(0), labels.withColumn("doc_id", F.col("doc_id") + 1_000_000)):
+        out = quality.drop_low_quality(docs, nothing)
+        assert out.columns == docs.columns and ids(out) == ids(docs)
+
+
 def test_scores(docs, labels):
     for r in quality.quality(docs, labels).collect() + toxicity.toxicity(docs, labels).collect() + language.languages(docs).collect():
         assert 0 <= r["score"] <= 1
