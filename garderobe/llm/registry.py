@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from garderobe.llm import debruijn, decontaminate, language, mixing, quality, rules, simhash, suffixes, tokens, toxicity
+from garderobe.llm import bpe, debruijn, decontaminate, language, mixing, prefixes, quality, resample, rules, simhash, suffixes, tokens, toxicity
 from garderobe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,18 @@ def op10_word_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.languages(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.rebuilt_nodes(table(spark, sf_dir, "conversations"))
+
+
+def op12_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.coded_documents(table(spark, sf_dir, "documents"))
+
+
+def op13_importance_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.drawn_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
     chosen = (
         op1_simhash_windows,
@@ -64,9 +76,17 @@ def queries() -> dict[str, Query]:
         op8_certified_rules,
         op9_simhash_bk_trees,
         op10_word_crf_language,
+        op11_prefix_trie,
+        op12_chunked_bpe,
+        op13_importance_median,
     )
     return {f.__name__: f for f in chosen}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix_sources": mixing.ORACLE_SQL, "op8_certified_rules": rules.ORACLE_SQL}
+    return {
+        "op3_mix_sources": mixing.ORACLE_SQL,
+        "op8_certified_rules": rules.ORACLE_SQL,
+        "op11_prefix_trie": prefixes.ORACLE_SQL,
+        "op13_importance_median": resample.ORACLE_SQL,
+    }
