@@ -100,8 +100,8 @@ class Numbers(dict):
             self[piece] = out
         return out
 
-    def of(self, pieces: list[str]) -> bytes:
-        return b"".join(map(self.__getitem__, pieces))
+    def each(self, pieces: list[str]) -> list[bytes]:
+        return list(map(self.__getitem__, pieces))
 
 
 def lists(blobs: list[bytes]) -> pa.ListArray:
@@ -136,78 +136,78 @@ def settled_ends(ends: np.ndarray, text: str, complete: bool) -> np.ndarray:
     return ends[ends <= len(text) - LOOSE_CHARACTERS]
 
 
-def pretokenise(chunks: DataFrame, pattern: str, odd) -> DataFrame:
-    """``chunks`` with ``ends``, where their pre-tokens end as far as that is settled inside the window."""
+def encode_chunks(batches, ranks, odd, pattern: str, size: int, overlap: int):
+    """Cuts each chunk into pre-tokens, finds ``sync``, the first boundary behind the next chunk's beginning on which both
+    agree (null at the end of the text; ``open`` if the overlap has none), and numbers its pre-tokens up to there.
 
-    def run(batches):
-        cutter = PreTokens(pattern, odd.value)
-        for batch in batches:
-            blobs = []
-            for text, complete in zip(batch.column("text"), batch.column("complete").to_pylist(), strict=True):
-                text = text.as_py()
-                blobs.append(settled_ends(cutter.ends(text), text, complete).tobytes())
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("key", "chunk", "complete", "text")], lists(blobs)], ["key", "chunk", "complete", "text", "ends"])
-
-    return chunks.select("key", "chunk", "complete", "text").mapInArrow(run, "key string, chunk int, complete boolean, text string, ends array<int>")
-
-
-def stitch(pre: DataFrame, size: int, overlap: int) -> DataFrame:
-    """(key, chunk, sync) for every chunk but a text's first: the first boundary behind the chunk's beginning on which
-    it agrees with the chunk before, null if there is none in the overlap. From a common boundary on both find the same
-    pre-tokens, for the pattern never looks back; the chunk before is right there, as its own seam lies further left."""
-    near = F.filter(F.transform("ends", lambda e: e - size), lambda e: (e >= 0) & (e <= overlap))
-    before = pre.select("key", (F.col("chunk") + 1).alias("chunk"), near.alias("before"))
-    own = F.concat(F.array(F.lit(0)), F.filter("ends", lambda e: e <= overlap))
-    after = pre.where("chunk > 0").select("key", "chunk", own.alias("after"))
-    return after.join(before, ["key", "chunk"]).select("key", "chunk", F.array_min(F.array_intersect("before", "after")).alias("sync"))
-
-
-def encode_spans(batches, ranks, odd):
-    """Numbers of the pre-tokens between ``start`` and ``stop`` (null: the end) of each chunk."""
-    numbers = Numbers(ranks.value)
+    From a common boundary on both find the same pre-tokens, for the pattern never looks back. ``head`` and ``before``
+    hold the boundaries inside the chunk's own first ``overlap`` and the numbers ahead of each, so that the chunk's
+    beginning can be dropped once the chunk before says where it ends.
+    """
+    cutter, numbers = PreTokens(pattern, odd.value), Numbers(ranks.value)
     for batch in batches:
-        blobs = []
-        for text, ends, start, stop in zip(batch.column("text"), batch.column("ends"), batch.column("start").to_pylist(), batch.column("stop").to_pylist(), strict=True):
-            text, ends = text.as_py(), ends.values.to_numpy(zero_copy_only=False)
-            stop = len(text) if stop is None else stop
-            edges = [start, *ends[(ends > start) & (ends <= stop)].tolist()]
-            blobs.append(numbers.of([text[a:b] for a, b in zip(edges, edges[1:], strict=False)]))
-        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("chunk"), lists(blobs)], ["key", "chunk", "ids"])
+        columns = {c: [] for c in ("ids", "head", "before", "sync", "open")}
+        for text, complete in zip(batch.column("text"), batch.column("complete").to_pylist(), strict=True):
+            text = text.as_py()
+            ends, sync, last = settled_ends(cutter.ends(text), text, complete), None, len(text) <= size
+            if not last:
+                beyond = text[size:]
+                theirs = settled_ends(cutter.ends(beyond), beyond, complete)
+                common = np.intersect1d(ends - size, np.concatenate([[0], theirs]))
+                sync = int(common[0]) if len(common) else None
+            stop = len(text) if last else -1 if sync is None else size + sync
+            edges = [0, *ends[ends <= stop].tolist()]
+            blobs = numbers.each([text[a:b] for a, b in zip(edges, edges[1:], strict=False)])
+            heads = [e for e in edges if e <= overlap]
+            counts = [0, *accumulate(len(b) // 4 for b in blobs[: len(heads) - 1])]
+            for c, x in zip(columns, (b"".join(blobs), np.array(heads, np.int32).tobytes(), np.array(counts, np.int32).tobytes(), sync, not last and sync is None), strict=True):
+                columns[c].append(x)
+        arrays = [lists(columns[c]) for c in ("ids", "head", "before")] + [pa.array(columns["sync"], pa.int32()), pa.array(columns["open"], pa.bool_())]
+        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("chunk"), *arrays], ["key", "chunk", *columns])
+
+
+def stitch(chunks: DataFrame) -> DataFrame:
+    """(key, ids): the chunks of a text one after another, each from where the one before ends."""
+    parts = F.array_sort(F.collect_list(F.struct("chunk", "sync", "head", "before", "ids")))
+
+    def own(x, i):
+        seam = F.get(F.col("parts"), i - 1)["sync"]
+        skip = F.when(i == 0, 0).otherwise(F.get(x["before"], (F.array_position(x["head"], seam) - 1).cast("int")))
+        return F.slice(x["ids"], skip + 1, F.size(x["ids"]))
+
+    return chunks.groupBy("key").agg(parts.alias("parts")).select("key", F.flatten(F.transform("parts", own)).alias("ids"))
 
 
 def encode_texts(batches, ranks, odd, pattern: str):
     cutter, numbers = PreTokens(pattern, odd.value), Numbers(ranks.value)
     for batch in batches:
-        blobs = [numbers.of(cutter.pieces(text.as_py() or "")) for text in batch.column("text")]
+        blobs = [b"".join(numbers.each(cutter.pieces(text.as_py() or ""))) for text in batch.column("text")]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists(blobs)], ["doc_id", "ids"])
 
 
 def encode_long(texts: DataFrame, ranks, odd, pattern: str, size: int, overlap: int) -> DataFrame:
-    """(key, ids) of the distinct ``texts`` (key, text): cut, pre-tokens, stitch, numbers. Chunks of equal texts are one
-    row from the start. Texts with a seam that doesn't close are cut again, larger, until they do: a text that is one
-    chunk has no seam."""
+    """(key, ids) of the distinct ``texts`` (key, text). Chunks of equal texts are one row from the start, and only they
+    and their numbers travel. Texts with a seam that stays open are cut again, larger, until none is left: a text that is
+    one chunk has no seam."""
     stash, pending, done = Stash(texts.sparkSession), texts, []
     while True:
         chunks = pending.mapInArrow(partial(cut_texts, size=size, overlap=overlap), "key string, chunk int, complete boolean, text string")
         chunks = chunks.groupBy("key", "chunk").agg(F.first("complete").alias("complete"), F.first("text").alias("text"))
-        pre = stash.keep(pretokenise(chunks, pattern, odd))
-        seams = stash.keep(stitch(pre, size, overlap))
-        loose = seams.where("sync is null").select("key").distinct()
-        starts = seams.select("key", "chunk", F.col("sync").alias("start"))
-        stops = seams.select("key", (F.col("chunk") - 1).alias("chunk"), (F.col("sync") + size).alias("stop"))
-        again = not seams.where("sync is null").isEmpty()
-        closed = pre.join(loose, "key", "left_anti") if again else pre
-        spans = closed.join(starts, ["key", "chunk"], "left").join(stops, ["key", "chunk"], "left")
-        spans = spans.select("key", "chunk", "text", "ends", F.coalesce("start", F.lit(0)).alias("start"), "stop")
-        done.append(spans.mapInArrow(partial(encode_spans, ranks=ranks, odd=odd), "key string, chunk int, ids array<int>"))
-        if not again:
+        coded = chunks.mapInArrow(
+            partial(encode_chunks, ranks=ranks, odd=odd, pattern=pattern, size=size, overlap=overlap),
+            "key string, chunk int, ids array<int>, head array<int>, before array<int>, sync int, open boolean",
+        )
+        coded = stash.keep(coded)
+        loose = coded.where("open").select("key").distinct()
+        if coded.where("open").isEmpty():
+            done.append(coded)
             break
+        done.append(coded.join(loose, "key", "left_anti"))
         pending, size, overlap = pending.join(loose, "key", "left_semi"), size * GROW, overlap * GROW
-    found = done[0]
+    found = stitch(done[0])
     for more in done[1:]:
-        found = found.unionByName(more)
-    parts = F.array_sort(F.collect_list(F.struct("chunk", "ids")))
-    return found.groupBy("key").agg(F.flatten(F.transform(parts, lambda x: x["ids"])).alias("ids"))
+        found = found.unionByName(stitch(more))
+    return found
 
 
 def encode(docs: DataFrame, vocabulary: str | None = None, pattern: str | None = None, size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
