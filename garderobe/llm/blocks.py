@@ -149,7 +149,7 @@ def first_of_runs(*keys: np.ndarray) -> np.ndarray:
     return new
 
 
-KINDS = [np.uint64, np.int64, np.int32, np.int32, np.uint8]  # anchor, doc_id, variant, start, state
+KINDS = [np.uint64, np.int64, np.int64, np.int32, np.uint8]  # anchor, doc_id, variant, start, state
 ONE, MANY, KNOWN = 0, 1, 2
 
 
@@ -211,16 +211,22 @@ def _repeated(table: pa.Table) -> pa.Table:
     return pa.table({"doc_id": doc[keep], "variant": variant[keep], "start": start[keep]})
 
 
-def told_apart(docs: DataFrame) -> DataFrame:
-    """(doc_id, variant, text) with a null id as the largest. variant is 0, but for rows whose id stands with several
-    texts (or is null): there it is a hash of the text. Equal rows are told apart nowhere; they get equal results."""
-    slim = docs.select(F.coalesce("doc_id", F.lit(int(NO_ID))).cast("long").alias("doc_id"), "text")
-    mark = F.hash("text")
-    clash = slim.select("doc_id", F.xxhash64("text").alias("h")).groupBy("doc_id").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("doc_id")
+def told_apart(docs: DataFrame, stash: Stash) -> DataFrame:
+    """(doc_id, variant, text) with a null id as the largest. ``variant`` tells the texts of one id apart by numbers given
+    once to each (id, SHA-256 of the text) and written down; it is 0 where an id has one text, and negative for rows
+    without id. Equal rows are told apart nowhere; they get equal results."""
+    nameless = F.when(F.col("doc_id").isNull(), -1).otherwise(0).cast("long")
+    slim = docs.select(F.coalesce("doc_id", F.lit(int(NO_ID))).cast("long").alias("doc_id"), nameless.alias("variant"), "text")
+    seen = slim.select("doc_id", F.xxhash64("variant", "text").alias("h")).groupBy("doc_id").agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
+    clash = stash.keep(seen.where("lo <> hi").select("doc_id"))
     if not clash.head(1):
-        return slim.select("doc_id", F.lit(0).alias("variant"), "text")
-    clash = clash.withColumn("clash", F.lit(True))
-    return slim.join(clash, "doc_id", "left").select("doc_id", F.when(F.col("clash"), mark).otherwise(0).alias("variant"), "text")
+        return slim
+    digest = F.when(F.col("clash"), F.coalesce(F.sha2("text", 256), F.lit("")))
+    mixed = slim.join(clash.withColumn("clash", F.lit(True)), "doc_id", "left").select("doc_id", "variant", "text", digest.alias("digest"))
+    names = mixed.where("digest is not null").select("doc_id", "variant", "digest").distinct()
+    names = stash.keep(names.withColumn("number", F.monotonically_increasing_id() + 1))
+    number = F.when(F.col("number").isNull(), F.col("variant")).when(F.col("variant") < 0, -1 - F.col("number")).otherwise(F.col("number"))
+    return mixed.join(names, ["doc_id", "variant", "digest"], "left").select("doc_id", number.alias("variant"), "text")
 
 
 def bucket_count(docs: DataFrame, shape: Shape) -> int:
@@ -308,14 +314,14 @@ def _block_rows(shape: Shape, buckets: int, crowded: np.ndarray, slices: bool) -
                 blobs, texts = [], []
                 for r in rows:
                     own = [content[i] for i in r.tolist()]
-                    blobs.append(pack([anchor[r], block[r], ids[first:last][doc[r]], variants[first:last][doc[r]].astype(np.int32), start[r].astype(np.int32), many[r].astype(np.uint8)]))
+                    blobs.append(pack([anchor[r], block[r], ids[first:last][doc[r]], variants[first:last][doc[r]], start[r].astype(np.int32), many[r].astype(np.uint8)]))
                     texts.append(b"".join(own))
                 yield pa.RecordBatch.from_arrays([pa.array([int(bucket[r[0]]) for r in rows], pa.int64()), pa.array(blobs, pa.binary()), pa.array(texts, pa.binary())], ["bucket", "blob", "payload"])
 
     return run
 
 
-BLOCK_KINDS = [np.uint64, np.uint64, np.int64, np.int32, np.int32, np.uint8]
+BLOCK_KINDS = [np.uint64, np.uint64, np.int64, np.int64, np.int32, np.uint8]
 
 
 @dataclass
@@ -353,10 +359,10 @@ def read_bucket(table: pa.Table, shape: Shape, slices: bool) -> Bucket:
 
 def repeated_blocks(docs: DataFrame, shape: Shape, slices: bool, resolve: Callable[[Bucket], pa.Table], schema: str, stash: Stash, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
     """(documents hashed by id and variant, what ``resolve`` makes of each bucket of repeated blocks)."""
-    apart = told_apart(docs)
+    apart = told_apart(docs, stash)
     buckets = bucket_count(apart, shape)
     anchors = apart.mapInArrow(_anchor_rows(shape, buckets), "bucket long, blob binary")
-    places = anchors.groupBy("bucket").applyInArrow(_repeated, "doc_id long, variant int, start int")
+    places = anchors.groupBy("bucket").applyInArrow(_repeated, "doc_id long, variant long, start int")
     places = stash.keep(places)
     crowded = crowded_anchors(apart, shape, crowd)
     starts = places.groupBy("doc_id", "variant").agg(F.collect_list("start").alias("starts"))
@@ -366,22 +372,7 @@ def repeated_blocks(docs: DataFrame, shape: Shape, slices: bool, resolve: Callab
     return apart, found
 
 
-def repeated_blocks(docs: DataFrame, shape: Shape, slices: bool, resolve: Callable[[Bucket], pa.Table], schema: str, stash: Stash, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
-    """(documents hashed by id and variant, what ``resolve`` makes of each bucket of repeated blocks)."""
-    apart = told_apart(docs)
-    buckets = bucket_count(apart, shape)
-    anchors = apart.mapInArrow(_anchor_rows(shape, buckets), "bucket long, blob binary")
-    places = anchors.groupBy("bucket").applyInArrow(_repeated, "doc_id long, variant int, start int")
-    places = stash.keep(places)
-    crowded = crowded_anchors(apart, shape, crowd)
-    starts = places.groupBy("doc_id", "variant").agg(F.collect_list("start").alias("starts"))
-    joined = apart.join(starts, ["doc_id", "variant"])
-    blocks = joined.select("doc_id", "variant", "text", "starts").mapInArrow(_block_rows(shape, buckets, crowded, slices), "bucket long, blob binary, payload binary")
-    found = blocks.groupBy("bucket").applyInArrow(lambda t: resolve(read_bucket(t, shape, slices)), schema)
-    return apart, found
-
-
-OWNED_KINDS = [np.uint64, np.uint64, np.int64, np.int32, np.int32, np.uint8, np.uint8]  # ..., windows, whether KNOWN
+OWNED_KINDS = [np.uint64, np.uint64, np.int64, np.int64, np.int32, np.uint8, np.uint8]  # ..., windows, whether KNOWN
 LOW_48 = np.uint64((1 << 48) - 1)
 
 
@@ -405,7 +396,7 @@ def _owned_rows(shape: Shape, buckets: int, crowded: np.ndarray) -> Callable:
         bucket = (spread % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         rows = np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1)
-        blobs = [pack([anchor[r], block[r], np.diff(doc[r], prepend=0), variant[r].astype(np.int32), start[r].astype(np.int32), many[r].astype(np.uint8), known[r]]) for r in rows]
+        blobs = [pack([anchor[r], block[r], np.diff(doc[r], prepend=0), variant[r], start[r].astype(np.int32), many[r].astype(np.uint8), known[r]]) for r in rows]
         return pa.RecordBatch.from_arrays([pa.array([int(bucket[r[0]]) for r in rows], pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
     def run(batches):
@@ -457,11 +448,11 @@ def _owners(shape: Shape) -> Callable:
 
 def owned_blocks(docs: DataFrame, shape: Shape, stash: Stash, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
     """(documents told apart, (doc_id, variant, start, size, anchor)): see ``_owners``. One shuffle of hashes and places."""
-    apart = told_apart(docs)
+    apart = told_apart(docs, stash)
     buckets = bucket_count(apart, shape)
     crowded = crowded_anchors(apart, shape, crowd)
     rows = apart.mapInArrow(_owned_rows(shape, buckets, crowded), "bucket long, blob binary")
-    found = rows.groupBy("bucket").applyInArrow(_owners(shape), "doc_id long, variant int, start long, size long, anchor long")
+    found = rows.groupBy("bucket").applyInArrow(_owners(shape), "doc_id long, variant long, start long, size long, anchor long")
     return apart, stash.keep(found)
 
 
@@ -478,13 +469,13 @@ def slices(apart: DataFrame, places: DataFrame) -> DataFrame:
                 for a, s, n in zip(anchors[i].as_py(), starts[i].as_py(), sizes[i].as_py(), strict=True):
                     for column, value in zip(out, (a, doc, variant, s, data[s : s + n]), strict=True):
                         column.append(value)
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
 
     per = places.groupBy("doc_id", "variant").agg(F.collect_list(F.struct("start", "size", "anchor")).alias("at"))
     parts = [F.col(f"at.{n}").alias(f"{n}s") for n in ("start", "size", "anchor")]
     joined = apart.join(per, ["doc_id", "variant"]).select("doc_id", "variant", "text", *parts)
-    return joined.mapInArrow(run, "anchor long, doc_id long, variant int, start long, content binary")
+    return joined.mapInArrow(run, "anchor long, doc_id long, variant long, start long, content binary")
 
 
 def finish(apart: DataFrame, spans: DataFrame, digest: Callable, schema: str) -> DataFrame:
@@ -493,7 +484,7 @@ def finish(apart: DataFrame, spans: DataFrame, digest: Callable, schema: str) ->
     joined = apart.join(grouped, ["doc_id", "variant"], "left")
     starts = F.transform("spans", lambda s: s["start"]).alias("starts")
     sizes = F.transform("spans", lambda s: s["size"]).alias("sizes")
-    return joined.select("doc_id", "text", starts, sizes).mapInArrow(digest, schema)
+    return joined.select(F.when(F.col("variant") >= 0, F.col("doc_id")).alias("doc_id"), "text", starts, sizes).mapInArrow(digest, schema)
 
 
 def covered(n: int, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from garderobe.llm.blocks import NO_ID, Bucket, Shape, chain, covered, finish, first_of_runs, repeated_blocks, span_arrays
+from garderobe.llm.blocks import Bucket, Shape, chain, covered, finish, first_of_runs, repeated_blocks, span_arrays
 from garderobe.llm.common import Stash, raw
 
 WIDTH = 35
@@ -52,7 +52,7 @@ def resolve(bucket: Bucket) -> pa.Table:
     return pa.table(
         {
             "doc_id": bucket.doc[row],
-            "variant": bucket.variant[row].astype(np.int32),
+            "variant": bucket.variant[row],
             "start": bucket.start[row].astype(np.int64) + offset[pick],
             "windows": size[pick].astype(np.int64),
             "edge": edge[pick].view(np.int64),
@@ -98,7 +98,7 @@ def repeated_spans(docs: DataFrame, stash: Stash | None = None, **options) -> tu
     the path, to become one span; where they don't, each edge is a span by itself.
     """
     stash = stash or Stash(docs.sparkSession)
-    apart, found = repeated_blocks(docs, Shape(WIDTH, ANCHOR, True), False, resolve, "doc_id long, variant int, start long, windows long, edge long", stash, **options)
+    apart, found = repeated_blocks(docs, Shape(WIDTH, ANCHOR, True), False, resolve, "doc_id long, variant long, start long, windows long, edge long", stash, **options)
     places = stash.keep(found.distinct())
     paths = compact(places, stash)
     order = Window.partitionBy("doc_id", "variant").orderBy("start")
@@ -118,7 +118,7 @@ def _digest(batches):
             words = raw(texts[i].as_py()).split()
             gone = covered(len(words), span_arrays(i, starts), span_arrays(i, sizes))
             kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g] if gone.any() else words
-            out.append((None if doc_id == NO_ID else doc_id, len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
+            out.append((doc_id, len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
         names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
         kinds = [pa.int64()] * 3 + [pa.string()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], k) for k in kinds], names)

@@ -48,26 +48,50 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     return per.select("source", "source_size", F.col("w").cast("int").alias("weight"), "target", rate.alias("rate"))
 
 
-def draw(doc_id: Column, seed: str = SEED) -> Column:
-    """A number in [0, 1) fixed by the seed and the id: 52 bits of an MD5."""
-    digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit(""))))
+def draw(key: Column, seed: str = SEED) -> Column:
+    """A number in [0, 1) fixed by the seed and the key: 52 bits of an MD5."""
+    digest = F.md5(F.concat(F.lit(seed + ":"), key))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
 
 
+def drawn_by(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``mix_key``: the id, if it stands in one row. Rows that share an id, and all without one, have the
+    MD5 of their text and their number among rows of equal id, source and text besides, so that each draws for itself.
+    Those rows alone are numbered, apart in each input partition and shifted by the partitions before."""
+    shared = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").select(F.col("doc_id").alias("mix_shared"), F.lit(True).alias("mix_hot"))
+    own = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    if shared.isEmpty():
+        return docs.withColumn("mix_key", own)
+    marked = docs.withColumn("mix_part", F.spark_partition_id()).join(shared, F.col("doc_id").eqNullSafe(F.col("mix_shared")), "left").drop("mix_shared")
+    single = marked.where("mix_hot is null").select(*[F.col(f"`{c}`") for c in docs.columns], own.alias("mix_key"))
+    several = marked.where("mix_hot").withColumn("mix_text", F.coalesce(F.md5("text"), F.lit(""))).withColumn("mix_own", own)
+    keys = ["mix_own", "mix_text", "mix_source_key"]
+    several = several.withColumn("mix_source_key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
+    counts = several.groupBy(*keys, "mix_part").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy(*keys).orderBy("mix_part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = counts.select(*keys, "mix_part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("mix_shift"))
+    several = several.withColumn("mix_place", F.row_number().over(Window.partitionBy(*keys, "mix_part").orderBy(F.lit(0)))).join(shifts, [*keys, "mix_part"])
+    number = (F.col("mix_place") + F.col("mix_shift")).cast("string")
+    several = several.select(*[F.col(f"`{c}`") for c in docs.columns], F.concat_ws(":", "mix_own", "mix_text", number).alias("mix_key"))
+    return single.unionByName(several)
+
+
 def mix_counts(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
     """``docs`` with mix_size, mix_source_size, mix_target and mix_copies: how often each row goes into the mix.
 
-    Null text has size 0, a null source is a source of its own, repeated ids draw alike. The join with the targets
-    is an equi-join on the source: Spark broadcasts it when the table of sources is small and splits skewed keys
-    otherwise. Other columns pass through unchanged; an empty table gives an empty result.
+    Null text has size 0, a null source is a source of its own, rows that share an id (or have none) draw each for
+    itself, see ``drawn_by``. The join with the targets is an equi-join on the source: Spark broadcasts it when the table
+    of sources is small and splits skewed keys otherwise. Other columns pass through unchanged; an empty table gives an
+    empty result.
     """
     sized = docs.withColumn("mix_size", word_count(F.col("text")))
     targets = source_targets(sized.select("source", F.col("mix_size").alias("size")), weights, most)
     targets = targets.select(F.col("source").alias("mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), F.col("rate").alias("mix_rate"))
     whole = F.floor("mix_rate")
-    extra = F.when(draw(F.col("doc_id"), seed) < F.col("mix_rate") - whole, 1).otherwise(0)
-    joined = sized.join(targets, sized["source"].eqNullSafe(targets["mix_source"]), "left")
-    return joined.withColumn("mix_copies", (whole + extra).cast("long")).drop("mix_source")
+    extra = F.when(draw(F.col("mix_key"), seed) < F.col("mix_rate") - whole, 1).otherwise(0)
+    keyed = drawn_by(sized)
+    joined = keyed.join(targets, keyed["source"].eqNullSafe(targets["mix_source"]), "left")
+    return joined.withColumn("mix_copies", (whole + extra).cast("long")).drop("mix_source", "mix_key")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
@@ -91,7 +115,10 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
 ORACLE_SQL = rf"""
 WITH sized AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+    coalesce(doc_id::VARCHAR, '') || CASE WHEN doc_id IS NULL OR count(*) OVER (PARTITION BY doc_id) > 1
+      THEN ':' || coalesce(md5(text), '') || ':' || row_number() OVER (PARTITION BY doc_id, text, source) ELSE '' END AS mix_key
+  FROM documents
 ), per AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source
 ), turns AS (
@@ -112,6 +139,6 @@ WITH sized AS (
   SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM targets
 )
 SELECT d.doc_id, d.size, r.source_size, r.target,
-  d.size * (floor(r.rate) + CASE WHEN ('0x' || substr(md5('{SEED}:' || coalesce(d.doc_id::VARCHAR, '')), 1, 13))::BIGINT / {float(16**13)} < r.rate - floor(r.rate) THEN 1 ELSE 0 END)::BIGINT AS taken
+  d.size * (floor(r.rate) + CASE WHEN ('0x' || substr(md5('{SEED}:' || d.mix_key), 1, 13))::BIGINT / {float(16**13)} < r.rate - floor(r.rate) THEN 1 ELSE 0 END)::BIGINT AS taken
 FROM sized d JOIN rated r ON d.source IS NOT DISTINCT FROM r.source
 """

@@ -133,7 +133,7 @@ def resolve(table: pa.Table) -> pa.Table:
         own = rows[np.repeat(first_row[b], times) + turn]
         out.append((doc[own], variant[own], at[own] + np.repeat(start, times), np.repeat(size, times)))
     doc, variant, start, size = (np.concatenate(c) for c in zip(*out, strict=True))
-    return pa.table({"doc_id": doc, "variant": variant.astype(np.int32), "start": start.astype(np.int64), "size": size.astype(np.int64)})
+    return pa.table({"doc_id": doc, "variant": variant, "start": start.astype(np.int64), "size": size.astype(np.int64)})
 
 
 def _batches(parts: list[np.ndarray], least: int) -> Iterator[np.ndarray]:
@@ -157,7 +157,7 @@ def _digest(batches):
             gone = covered(len(data), span_arrays(i, starts), span_arrays(i, sizes))
             kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
             runs = int(np.count_nonzero(gone[1:] & ~gone[:-1]) + gone[:1].sum())
-            out.append((None if doc_id == NO_ID else doc_id, len(data), len(data) - len(kept), runs, hashlib.sha256(kept).hexdigest()))
+            out.append((doc_id, len(data), len(data) - len(kept), runs, hashlib.sha256(kept).hexdigest()))
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
         kinds = [pa.int64()] * 4 + [pa.string()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], k) for k in kinds], names)
@@ -173,7 +173,7 @@ def repeated_bytes(docs: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
     stash = Stash(docs.sparkSession)
     apart, found = owned_blocks(docs, Shape(WIDTH, ANCHOR, False), stash, **options)
     cut = slices(apart, found.where("anchor IS NOT NULL"))
-    rest = cut.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(max(8, found.count() // SLICES_AT_ONCE)))).applyInArrow(resolve, "doc_id long, variant int, start long, size long")
+    rest = cut.groupBy(F.pmod(F.xxhash64("anchor"), F.lit(max(8, found.count() // SLICES_AT_ONCE)))).applyInArrow(resolve, "doc_id long, variant long, start long, size long")
     return apart, found.where("anchor IS NULL").drop("anchor").unionByName(rest)
 
 

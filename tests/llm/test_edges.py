@@ -204,3 +204,43 @@ def test_pipeline_follows_its_stages(spark):
     assert ids(mixed) == sorted((d for d, n in times.items() for _ in range(n)), key=str)
     whole = corpus_pipeline.run(spark, sf_dir)
     assert {r["doc_id"] for r in whole.collect()} == set(ids(mixed)) == {r["doc_id"] for r in fifth(spark, mixed, sf_dir).collect()}
+
+
+def colliding_texts(spark, before, after):
+    """Two texts with the passage given by ``before`` and without it, of one 32-bit Spark hash."""
+    n = F.col("id").cast("string")
+    one, two = F.concat(F.lit(before), n), F.concat(F.lit(after), n)
+    ids = spark.range(300_000)
+    pair = ids.select(one.alias("a"), F.hash(one).alias("h")).join(ids.select(two.alias("b"), F.hash(two).alias("h")), "h").first()
+    return pair["a"], pair["b"]
+
+
+def test_colliding_texts_of_one_id(spark):
+    """Rows of one id (or of none) whose texts collide in 32 bits lose what is theirs, no more."""
+    a, b = colliding_texts(spark, f"{PASSAGE} tail", " ".join(f"other{i}" for i in range(60)) + " tail")
+    for shared in (None, 9):
+        rows = [(1, PASSAGE), (shared, a), (shared, b), ((1 << 63) - 1, "largest id " * 3)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        got = sorted(((str(r["doc_id"]), r["n_words"], r["n_removed"]) for r in debruijn.remove_repeated_words(docs).collect()), key=str)
+        assert got == sorted([("1", 60, 60), (str(shared), 61, 60), (str(shared), 61, 0), (str((1 << 63) - 1), 6, 0)], key=str)
+        got = {(str(r["doc_id"]), r["n_bytes"]): r["n_removed"] for r in suffixes.remove_repeated_bytes(docs).collect()}
+        assert got[str(shared), len(a)] >= len(PASSAGE) and got[str(shared), len(b)] == 0 and got["1", len(PASSAGE)] == 0
+
+
+def test_mix_meets_its_targets_without_ids(spark):
+    """Rows without id, with one id and equal rows draw each for itself; SQL says the same."""
+    import duckdb
+
+    rows = [(None, f"five words in row {i}", ("a", "b", "c")[i % 3]) for i in range(1500)] + [(7, "same text here", "a")] * 300 + [(i + 10, "one id each", "c") for i in range(250)]
+    rows += [(None, None, None), (None, "", "b")]
+    out = [tuple(r) for r in mixing.mixed_documents(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()]
+    targets, taken = {}, {}
+    for _, _, source_size, target, words in out:
+        targets[source_size] = target
+        taken[source_size] = taken.get(source_size, 0) + words
+    assert len(targets) == 4 and all(abs(taken[s] - targets[s]) <= 0.1 * targets[s] for s in targets)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?)", rows)
+    want = con.execute(mixing.ORACLE_SQL).fetchall()
+    assert sorted(((d, n, s, round(t, 6), k) for d, n, s, t, k in want), key=str) == sorted(((d, n, s, round(t, 6), k) for d, n, s, t, k in out), key=str)
