@@ -21,8 +21,10 @@ OVERLAP = 512
 #: Texts that don't agree within the overlap are cut again into chunks and overlaps larger by this factor.
 GROW = 8
 #: Pre-tokens whose numbers a task remembers; the memory is emptied beyond, which changes no result.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 LONGEST_REMEMBERED = 64
+#: Rows of a batch that are encoded or decoded at once.
+ROWS = 500
 #: Before the end of an unfinished window a boundary may still move: the last two pre-tokens and three characters.
 LOOSE_TOKENS, LOOSE_CHARACTERS = 2, 3
 
@@ -136,6 +138,12 @@ def settled_ends(ends: np.ndarray, text: str, complete: bool) -> np.ndarray:
     return ends[ends <= len(text) - LOOSE_CHARACTERS]
 
 
+def in_parts(batches):
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def encode_chunks(batches, ranks, odd, pattern: str, size: int, overlap: int):
     """Cuts each chunk into pre-tokens, finds ``sync``, the first boundary behind the next chunk's beginning on which both
     agree (null at the end of the text; ``open`` if the overlap has none), and numbers its pre-tokens up to there.
@@ -145,7 +153,7 @@ def encode_chunks(batches, ranks, odd, pattern: str, size: int, overlap: int):
     beginning can be dropped once the chunk before says where it ends.
     """
     cutter, numbers = PreTokens(pattern, odd.value), Numbers(ranks.value)
-    for batch in batches:
+    for batch in in_parts(batches):
         columns = {c: [] for c in ("ids", "head", "before", "sync", "open")}
         for text, complete in zip(batch.column("text"), batch.column("complete").to_pylist(), strict=True):
             text = text.as_py()
@@ -180,7 +188,7 @@ def stitch(chunks: DataFrame) -> DataFrame:
 
 def encode_texts(batches, ranks, odd, pattern: str):
     cutter, numbers = PreTokens(pattern, odd.value), Numbers(ranks.value)
-    for batch in batches:
+    for batch in in_parts(batches):
         blobs = [b"".join(numbers.each(cutter.pieces(text.as_py() or ""))) for text in batch.column("text")]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists(blobs)], ["doc_id", "ids"])
 
@@ -239,8 +247,8 @@ def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
     def run(batches):
         token = shared.value.__getitem__
-        for batch in batches:
-            out = [b"".join(map(token, ids.values.to_numpy(zero_copy_only=False).tolist())) if ids.is_valid else None for ids in batch.column("ids")]
+        for batch in in_parts(batches):
+            out = [b"".join(map(token, ids.values.to_pylist())) if ids.is_valid else None for ids in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(out, pa.binary())], ["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
