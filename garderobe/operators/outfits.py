@@ -30,6 +30,10 @@ ALL_INVALID = (
     "Valid outfit structures exist, but every combination was rejected by the validity rules "
     "(the same garment twice or conflicting items)."
 )
+TOO_ALIKE = " other strong combination(s) were too similar to these to add variety."
+NONE_REACHED = " valid combinations were scored, but none reached the quality threshold ("
+ADD_MORE = "). Add more items or review flagged ones."
+SOME_FOUND = " strong outfit(s) found from your current wardrobe (you asked for "
 KEY = "wardrobe_id"
 
 
@@ -512,7 +516,7 @@ def result_message(stages: DataFrame, shortages: DataFrame, k: int, threshold: f
     leftover = c("above_threshold") - c("returned")
     extra = F.when(
         leftover > 0,
-        F.concat(F.lit(" "), leftover, F.lit(" other strong combination(s) were too similar to these to add variety.")),
+        F.concat(F.lit(" "), leftover, F.lit(TOO_ALIKE)),
     ).otherwise("")
     cut = F.lit("none" if threshold is None else f"{threshold:.2f}")
     message = (
@@ -527,15 +531,15 @@ def result_message(stages: DataFrame, shortages: DataFrame, k: int, threshold: f
             c("returned") == 0,
             F.concat(
                 c("candidates_scored"),
-                F.lit(" valid combinations were scored, but none reached the quality threshold ("),
+                F.lit(NONE_REACHED),
                 cut,
-                F.lit("). Add more items or review flagged ones."),
+                F.lit(ADD_MORE),
             ),
         )
         .when(
             c("returned") < k,
             F.concat(
-                c("returned"), F.lit(f" strong outfit(s) found from your current wardrobe (you asked for {k})."), extra
+                c("returned"), F.lit(SOME_FOUND), F.lit(f"{k})."), extra
             ),
         )
     )

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from garderobe import vocab as v
+from garderobe.operators import bounds
 from garderobe.operators import outfits as o
 from garderobe.operators import wardrobe as w
 from garderobe.plans import bindings as b
 from garderobe.plans.generate import generate_outfits
+from garderobe.plans.requests import generate_for_requests
 from garderobe.registry.base import register
 from garderobe.registry.common import case_map, with_items
 from garderobe.registry.pairs import BASE, GIVEN, given_outfits, pairs_sql, usable
@@ -163,6 +165,18 @@ def _ranked(spark, sf):
     return ranked.select("wardrobe_id", ids("members").alias("members"), "position", r6("rank", "rank"))
 
 
+@register(
+    "best_candidates",
+    with_items(
+        candidates_sql(ctx=CTX) + " SELECT wardrobe_id, members, position, round(rank, 6) AS rank FROM (SELECT *, row_number() OVER "
+        "(PARTITION BY wardrobe_id ORDER BY rank DESC, key) AS position FROM cand) WHERE position <= 10"
+    ),
+)
+def _best_candidates(spark, sf):
+    out = bounds.best_candidates(pool_of(spark, sf, style_name="formal"), BASE, 10).ranked
+    return out.select("wardrobe_id", ids("members").alias("members"), "position", r6("rank", "rank"))
+
+
 FORCED = (
     "want AS (SELECT wardrobe_id, max(seq) AS want FROM items WHERE reason IS NULL AND category = 'outerwear' GROUP BY 1), "
     "pool AS (SELECT i.*, CASE WHEN want IS NOT NULL THEN 'outerwear' END AS forced FROM items i LEFT JOIN want USING "
@@ -421,3 +435,61 @@ def _message_sql(k: int) -> str:
 @register("result_message", with_items(_message_sql(8)))
 def _messages(spark, sf):
     return _job(spark, sf, k=8).messages
+
+
+REQUIRED_TOP = (
+    "want AS (SELECT wardrobe_id, max(seq) AS want FROM items WHERE reason IS NULL AND category = 'top' GROUP BY 1), "
+    "pool AS (SELECT i.*, 'top' AS forced FROM items i JOIN want USING (wardrobe_id) WHERE reason IS NULL AND category <> 'one_piece' AND (category <> 'top' OR seq = want))"
+)
+BARE = (
+    ", cand AS (SELECT *, NULL::VARCHAR AS outerwear, NULL::VARCHAR AS accessory, NULL::BIGINT AS outerwear_seq, NULL::BIGINT AS accessory_seq, total / weight AS score, "
+    "total / weight AS rank, concat_ws(',', m1, m2, m3) AS members, list_filter([s1, s2, s3], lambda x: x IS NOT NULL) AS key FROM core)"
+)
+ASKED = (("formal", 3, candidates_sql(ctx=CTX)), ("around", 2, candidates_sql(REQUIRED_TOP, DATE)), ("bare", 4, core_sql() + BARE))
+
+
+def _asked_sql(name: str, k: int, sql: str) -> str:
+    shown = f" SELECT '{name}:' || wardrobe_id AS request_id, choice, template, members, round(score, 6) AS score, round(rank, 6) AS rank FROM chosen"
+    return f"(SELECT * FROM ({with_items(sql + diverse_sql(k, COPY_GROUPS) + shown)}))"
+
+
+def asked_for(spark, sf):
+    """Three requests for every wardrobe: a style, one garment for an occasion, and no layers."""
+    top = usable(spark, sf).filter(F.col("category") == "top").groupBy("wardrobe_id").agg(F.max_by("item_id", "seq").alias("top"))
+    rows = b.items(spark, sf).select("wardrobe_id").distinct().join(top, "wardrobe_id", "left")
+    none = F.lit(None).cast("string")
+
+    def wish(name, k, style, occasion, required, layers):
+        return F.struct(
+            F.concat_ws(":", F.lit(name), "wardrobe_id").alias("request_id"), F.lit(k).alias("k"), style.alias("style"), occasion.alias("occasion"),
+            required.alias("required_item"), F.lit(layers).alias("include_outerwear"), F.lit(layers).alias("include_accessory"),
+        )
+
+    wishes = F.array(
+        wish("formal", 3, F.lit("formal"), none, none, True),
+        wish("around", 2, none, F.lit("date"), F.coalesce("top", F.lit("none")), True),
+        wish("bare", 4, none, none, none, False),
+    )
+    return rows.select("wardrobe_id", F.explode(wishes).alias("w")).select("wardrobe_id", "w.*")
+
+
+@register("generate_for_requests", " UNION ALL ".join(_asked_sql(*a) for a in ASKED))
+def _requests(spark, sf):
+    job = generate_for_requests(b.items(spark, sf), asked_for(spark, sf), MODEL, DIM, BASE, threshold=CUT)
+    return job.chosen.select("request_id", "choice", "template", ids("members").alias("members"), r6("score", "score"), r6("rank", "rank"))
+
+
+COUNTED = (
+    "SELECT '{name}:' || i.wardrobe_id AS request_id, coalesce(any_value(n), 0) AS candidates_scored, coalesce(any_value(s), 0) AS above_threshold, coalesce(any_value(r), 0) AS returned "
+    "FROM items i LEFT JOIN (SELECT wardrobe_id, count(*) AS n, count(*) FILTER (score >= {cut}) AS s FROM cand GROUP BY 1) c USING (wardrobe_id) "
+    "LEFT JOIN (SELECT wardrobe_id, count(*) AS r FROM chosen GROUP BY 1) h USING (wardrobe_id) GROUP BY i.wardrobe_id"
+)
+
+
+@register(
+    "request_answers",
+    " UNION ALL ".join(f"(SELECT * FROM ({with_items(sql + diverse_sql(k, COPY_GROUPS) + ' ' + COUNTED.format(name=name, cut=CUT))}))" for name, k, sql in ASKED),
+)
+def _answers(spark, sf):
+    job = generate_for_requests(b.items(spark, sf), asked_for(spark, sf), MODEL, DIM, BASE, threshold=CUT)
+    return job.answers.select("request_id", "candidates_scored", "above_threshold", "returned")
