@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from garderobe import vocab as v
 from garderobe.functions import style, vectors
 from garderobe.functions.vectors import dot
+from garderobe.operators import compat
 from garderobe.operators import dataset as d
 from garderobe.operators import detections as de
 from garderobe.operators import images as im
@@ -16,14 +17,16 @@ from garderobe.operators import models as mo
 from garderobe.operators import pairs as pr
 from garderobe.plans import bindings as b
 from garderobe.plans.fit import fit_ranker
+from garderobe.plans.generate import generate_outfits
 from garderobe.plans.ingest import ingest_detections
 from garderobe.registry.base import register
-from garderobe.registry.common import VECTORS, case_map, with_items
+from garderobe.registry.common import OUTFITS, VECTORS, case_map, with_items, with_outfits
 from garderobe.registry.dataset import DISJOINT, TI, TYPED, sampler
 from garderobe.registry.pairs import OK_ITEMS, pairs_sql, usable
-from garderobe.registry.wardrobe import r6
+from garderobe.registry.wardrobe import DIM, MODEL, r6
 from garderobe.sources import readers as rd
 from garderobe.streaming import ingest as st
+from garderobe.streaming.state import stream_arrivals
 
 FEATURES = v.FEATURES_BASELINE
 
@@ -371,3 +374,112 @@ def _cosine(spark, sf):
     e = b.table(spark, sf, "embeddings").select("vec_id", "embedding")
     nxt = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
     return e.join(nxt, "vec_id").withColumn("cosine", dot("embedding", "other")).select("vec_id", r6("cosine", "cosine"))
+
+
+# ------------------------------------------------------------------ files of other shapes
+@register(
+    "read_outfits_json",
+    f"WITH {OUTFITS} SELECT split, set_id::VARCHAR AS set_id, ord, item_id FROM (SELECT split, set_id, item_id, (row_number() OVER (PARTITION BY split, set_id ORDER BY ord) - 1)::INT AS ord, "
+    "count(*) OVER (PARTITION BY split, set_id) AS n FROM outfit_items) WHERE n >= 2",
+)
+def _outfits_json(spark, sf):
+    """The outfits written as JSON arrays, some files for each split, and read back in ranges of 256 KB."""
+    items = F.sort_array(F.collect_list(F.struct("ord", "item_id")))
+    sets = b.outfit_items(spark, sf).groupBy("split", "set_id").agg(items.alias("items"))
+    indexed = F.transform("items", lambda x, i: F.struct(x["item_id"].alias("item_id"), i.alias("index")))
+    sets = sets.select("split", F.to_json(F.struct(F.col("set_id").cast("string").alias("set_id"), indexed.alias("items"))).alias("record"))
+    path, out = st.work_path(spark, "outfits"), None
+    for split in v.SPLITS:
+        rd.write_json_values(sets.filter(F.col("split") == split), f"{path}/{split}", "[")
+        part = rd.read_outfits_json(spark, f"{path}/{split}", split, 256 << 10)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@register("read_item_metadata_json", with_outfits("SELECT item_id, category FROM item_cats"))
+def _metadata_json(spark, sf):
+    info = F.to_json(F.struct(F.col("category").alias("semantic_category"), F.concat(F.lit('a "quoted" {name}, '), "item_id").alias("title")))
+    rows = b.item_categories(spark, sf).select(F.concat(F.lit('"'), "item_id", F.lit('": '), info).alias("record"))
+    path = st.work_path(spark, "metadata")
+    rd.write_json_values(rows, path, "{")
+    return rd.read_item_metadata_json(spark, path, 64 << 10).select("item_id", "category")
+
+
+# ------------------------------------------------------------------ arrivals with state
+@register(
+    "stream_arrivals",
+    with_items(
+        ", twins AS (SELECT a.item_id, b.seq AS other FROM item_base a JOIN item_base b ON a.wardrobe_id = b.wardrobe_id AND a.category = b.category AND b.seq < a.seq AND "
+        "a.embedding IS NOT NULL AND b.embedding IS NOT NULL AND list_dot_product(a.vec, b.vec) >= 0.97), t AS (SELECT item_id, count(*) AS n, min(other) AS first FROM twins GROUP BY 1) "
+        "SELECT i.item_id, coalesce(n, 0)::BIGINT AS possible_duplicates, 'it' || first AS possible_duplicate_of FROM item_base i LEFT JOIN t USING (item_id)"
+    ),
+)
+def _stream_arrivals(spark, sf):
+    """All items in three batches, in the order of their arrival."""
+    items = b.item_base(spark, sf).select("wardrobe_id", "category", "item_id", "created_at", "embedding", "seq")
+    last = items.agg(F.max("seq")).first()[0] or 0
+    source, kinds = st.work_path(spark, "arriving"), items.drop("seq").schema
+    for i in range(3):
+        part = items.filter((F.col("seq") * 3 >= (last + 1) * i) & (F.col("seq") * 3 < (last + 1) * (i + 1)))
+        part.drop("seq").coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(kinds).option("maxFilesPerTrigger", 1).parquet(source)
+    return spark.read.parquet(stream_arrivals(stream, spark)).select("item_id", "possible_duplicates", "possible_duplicate_of")
+
+
+# ------------------------------------------------------------------ the learned variant
+UNITS = 3
+
+
+def small_network() -> compat.Network:
+    """A network with weights from a rule, which SQL can make as well."""
+    size = 4 * b.ENCODER_DIM
+    first = np.sin(1.0 + np.arange(UNITS)[:, None] * size + np.arange(size)[None, :])
+    last = np.sin(5.0 + 3.0 * np.arange(2)[:, None] + np.arange(UNITS)[None, :])
+    return compat.Network(((first, np.cos(np.arange(UNITS, dtype=np.float64))), (last, np.array([0.1, -0.1]))), b.ENCODER, b.ENCODER_DIM)
+
+
+def learned_of(spark):
+    path = st.work_path(spark, "network")
+    compat.save_network(spark, small_network(), path)
+    return compat.served(spark, compat.load_network(spark, path), b.ENCODER, b.ENCODER_DIM)
+
+
+def _unit_sql(u: int, x: str) -> str:
+    return f"(1 / (1 + exp(-(list_dot_product({x}, w{u}) + cos({u}.0::DOUBLE)))))"
+
+
+def _network_sql(x: str) -> str:
+    z = [" + ".join(f"sin({5 + 3 * o + u}.0::DOUBLE) * {_unit_sql(u, x)}" for u in range(UNITS)) + f" + {(0.1, -0.1)[o]}::DOUBLE" for o in range(2)]
+    return f"(1 / (1 + exp(({z[0]}) - ({z[1]}))))"
+
+
+_L = v.PAIR_MODELS["with_learned"]
+_SIZE = 4 * b.ENCODER_DIM
+_TERMS = " + ".join(f"{c!r}::DOUBLE * (({f} - {m!r}) / {s!r})" for f, c, m, s in zip(_L["features"], _L["coef"], _L["mean"], _L["scale"]))
+
+
+@register(
+    "pair_scores_learned",
+    with_items(
+        f", {OK_ITEMS}, {pairs_sql('ok_items', condition='a.seq < b.seq AND a.category <> b.category')}, "
+        "w AS (SELECT " + ", ".join(f"list_transform(range({_SIZE}), lambda j: sin({1 + u * _SIZE}.0::DOUBLE + j)) AS w{u}" for u in range(UNITS)) + "), "
+        "gap AS (SELECT p.*, a.vec AS va, b.vec AS vb, list_transform(range(1, 65), lambda i: abs(a.vec[i] - b.vec[i])) AS d, list_transform(range(1, 65), lambda i: a.vec[i] * b.vec[i]) AS m "
+        "FROM pairs p JOIN ok_items a ON a.item_id = ia JOIN ok_items b ON b.item_id = ib), "
+        f"pr AS (SELECT gap.*, ({_network_sql('list_concat(list_concat(va, vb), list_concat(d, m))')} + {_network_sql('list_concat(list_concat(vb, va), list_concat(d, m))')}) / 2 AS lp FROM gap, w), "
+        "fl AS (SELECT * EXCLUDE (p), ln(greatest(least(lp, 1 - 1e-4), 1e-4) / (1 - greatest(least(lp, 1 - 1e-4), 1e-4))) AS learned_logit FROM pr) "
+        f"SELECT ia AS a_item_id, ib AS b_item_id, round(lp, 6) AS learned_prob, round(1 / (1 + exp(-({_TERMS} + {_L['intercept']!r}))), 6) AS p FROM fl"
+    ),
+)
+def _pair_scores_learned(spark, sf):
+    inputs = pr.pair_inputs(usable(spark, sf))
+    pairs = pr.item_pairs(inputs, inputs, ["wardrobe_id"], lambda x, y: pr.earlier(x, y) & (x("slot") != y("slot")))
+    scored = pr.pair_scores(pairs, _L, learned_of(spark))
+    return scored.select("a_item_id", "b_item_id", r6("learned_prob", "learned_prob"), r6("p", "p"))
+
+
+@register("generate_outfits_learned")
+def _generate_learned(spark, sf):
+    learned = learned_of(spark)
+    job = generate_outfits(b.items(spark, sf), MODEL, DIM, v.PAIR_MODELS[compat.variant_for(learned)], k=3, threshold=0.1, learned=learned)
+    members = F.array_join(F.transform("members", lambda g: g["item_id"]), ",")
+    return job.chosen.select("wardrobe_id", "choice", "template", members.alias("item_ids"), r6("score", "score"))

@@ -31,7 +31,9 @@ def opened(path: str):
     """(file system, path in it): local paths and what Arrow's file systems reach by a URI."""
     from pyarrow import fs
 
-    if "://" in path or path.startswith("file:"):
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
+    if "://" in path:
         return fs.FileSystem.from_uri(path)
     return fs.LocalFileSystem(), path
 
