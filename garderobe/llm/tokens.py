@@ -8,7 +8,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from garderobe.llm.common import Stash
@@ -79,7 +79,8 @@ def training_order(docs: DataFrame, vocabulary: str = VOCABULARY, length: int =
 
     A document and its end token are cut into sequences of ``length``; the last is filled up with end tokens and
     n_tokens says how many of its tokens count, so the pieces of a document give back its text. Sequences are numbered
-    densely by input partition, and a Feistel permutation of that range makes the slot. Slot s is at place
+    densely by input partition, so the same table cut into other partitions has another order; a Feistel permutation of
+    that range makes the slot. Slot s is at place
     s % per_shard of shard s // per_shard, and every ``ids`` has 2 * length bytes: a reader finds any slot by
     arithmetic and goes on from there. Null and empty texts are one sequence with the end token alone; repeated rows
     give repeated sequences; a null id stays null; an empty table gives no rows.
@@ -111,10 +112,42 @@ def training_order(docs: DataFrame, vocabulary: str = VOCABULARY, length: int =
     shards = max(1, -(-total // per_shard))
     placed = made.select("part", "before", "doc_id", "ids").mapInArrow(cut, "slot long, doc_id long, piece int, n_tokens int, ids binary")
     placed = placed.withColumn("shard", F.expr(f"slot div {per_shard}")).withColumn("place", (F.col("slot") % per_shard).cast("int"))
-    placed = placed.repartition(shards, "shard").sortWithinPartitions("slot")
+    placed = placed.repartitionByRange(shards, "shard").sortWithinPartitions("slot")
     return placed.select("slot", "shard", "place", "doc_id", "piece", "n_tokens", "ids")
 
 
 def write_shards(ordered: DataFrame, path: str) -> None:
     """One folder for each shard, its rows in slot order; a lost task writes its shards again under the same names."""
     ordered.write.partitionBy("shard").parquet(path)
+
+
+def write_strides(ordered: DataFrame, path: str) -> None:
+    """Write ``training_order`` as one row (shard, first, count, tokens) for each shard: the sequences' bytes one after
+    another in slot order, so that slot s begins at byte (s - first) * stride of ``tokens``. Shards are ranges of slots; a
+    lost task writes its shards again. The last shard may be shorter."""
+
+    def join(table: pa.Table) -> pa.Table:
+        table = table.sort_by("slot")  # one shard: a fixed number of sequences of fixed length
+        blob = b"".join(x.as_py() for x in table.column("ids"))
+        values = {"shard": table.column("shard")[0].as_py(), "first": table.column("slot")[0].as_py(), "count": table.num_rows, "tokens": blob}
+        return pa.Table.from_pylist([values], pa.schema([("shard", pa.int64()), ("first", pa.int64()), ("count", pa.int64()), ("tokens", pa.binary())]))
+
+    shards = ordered.select("shard", "slot", "ids").groupBy("shard").applyInArrow(join, "shard long, first long, count long, tokens binary")
+    shards.write.parquet(path)
+
+
+def read_from(spark: SparkSession, path: str, slot: int, per_shard: int = PER_SHARD, shards: int | None = None) -> DataFrame:
+    """(slot, ids) from ``slot`` on, of as many shards as asked for (null: all that follow). Only the shard that holds the
+    slot and the next ones are read; within it the place follows from the fixed stride."""
+    first = slot // per_shard
+    held = spark.read.parquet(path).where((F.col("shard") >= first) & (F.lit(True) if shards is None else F.col("shard") < first + shards))
+
+    def cut(batches):
+        for batch in batches:
+            for begin, count, blob in zip(batch.column("first").to_pylist(), batch.column("count").to_pylist(), batch.column("tokens"), strict=True):
+                data = blob.as_py()
+                stride, skip = len(data) // count, max(0, slot - begin)
+                ids = [data[i * stride : (i + 1) * stride] for i in range(skip, count)]
+                yield pa.RecordBatch.from_arrays([pa.array(range(begin + skip, begin + count), pa.int64()), pa.array(ids, pa.binary())], ["slot", "ids"])
+
+    return held.orderBy("shard").select("first", "count", "tokens").mapInArrow(cut, "slot long, ids binary")

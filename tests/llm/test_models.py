@@ -85,3 +85,59 @@ def test_token_round_trip(spark, tmp_path):
         assert ids[-1] == tokens.END and encoding.decode(ids[:-1]) == d["text"]
     again = {r["slot"]: (r["doc_id"], r["piece"]) for r in tokens.training_order(docs, length=64, per_shard=128).collect()}
     assert again == {r["slot"]: (r["doc_id"], r["piece"]) for r in rows}
+
+
+def plain_features(word, lexicon):
+    out = [language.slot(np.array([language.xxhash.xxh64_intdigest(word) >> 8], np.uint64), 1)[0]]
+    says = lexicon[language.crc32(word) % language.LEXICON]
+    out += [language.slot(np.array([says]), 12)[0]] if says else []
+    value = lambda x: np.array([int.from_bytes(x, "big")], np.uint64)
+    for n in range(1, 4):
+        out += [language.slot(value(x), kind + n)[0] for x, kind in ((word[:n], 1), (word[-n:], 4)) if len(word) >= n]
+    return sorted(out + [language.slot(value(word[i : i + n]), 6 + n)[0] for n in range(2, 5) for i in range(len(word) - n + 1)])
+
+
+def test_features_of_whole_words(monkeypatch):
+    """Short, long and very long words against one n-gram after another; a long word's middle counts."""
+    monkeypatch.setattr(language, "STRETCH", 50)
+    lexicon = np.zeros(language.LEXICON, np.int32)
+    words = ["a", "été", "word", "w" * 48, "w" * 49, "ab" * 70 + "cd" * 30, "ภาษาไทยไม่มีช่องว่าง" * 9, "他们在这里写中文" * 12]
+    words = [w.encode() for w in words]
+    lexicon[[language.crc32(w) % language.LEXICON for w in words[::2]]] = 2
+    for w in words:
+        want = plain_features(w, lexicon)
+        rows = [sorted(np.concatenate(list(language.long_features(w, lexicon))).tolist())] if len(w) >= 4 else []
+        rows += [sorted(x for x in language.word_features([w], lexicon)[0].tolist() if x)]
+        rows += [sorted(x for x in language.word_features([w, b"x" * 60], lexicon)[0].tolist() if x)]
+        assert all([x for x in r if x] == want for r in rows)
+    one, two = (b"begin" * 20 + m + b"end" * 30 for m in (b"middle", b"centre"))
+    assert len(one) > 190 and plain_features(one, lexicon) != plain_features(two, lexicon)
+    assert sorted(np.concatenate(list(language.long_features(one))).tolist()) != sorted(np.concatenate(list(language.long_features(two))).tolist())
+
+
+def test_lexicon_counts_all_rows(spark):
+    rows = [("the cat the dog the", "en"), ("le chat le chien le the", "fr"), ("le", "fr"), (None, "en"), ("rare", "en"), ("both both", "en"), ("both both", "fr")]
+    lexicon = language.word_lexicon(spark.createDataFrame(rows, "text string, lang string").repartition(5), ["en", "fr"])
+    says = {w: lexicon[language.crc32(w) % language.LEXICON] for w in (b"the", b"le", b"rare", b"both", b"cat")}
+    assert says == {b"the": 0, b"le": 2, b"rare": 0, b"both": 0, b"cat": 0}
+
+
+def test_texts_without_blanks():
+    thai, chinese = "ภาษาไทยเขียนติดกันไม่มีช่องว่างระหว่างคำ", "中文句子里面没有空格所以一个词就是一整句话"
+    model = language.train([thai * n for n in range(1, 6)] + [chinese * n for n in range(1, 6)], ["th"] * 5 + ["zh"] * 5)
+    names, _ = language.label_texts(model, ["1" * 60 + thai[5:30] + "2" * 60, "1" * 60 + chinese[3:15] + "2" * 60, thai * 5000])
+    assert names == ["th", "zh", "th"]
+
+
+def test_shards_resume_in_the_middle(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    ordered = tokens.training_order(docs, length=64, per_shard=32)
+    want = [(r["slot"], bytes(r["ids"])) for r in ordered.orderBy("slot").select("slot", "ids").collect()]
+    path = str(tmp_path / "shards")
+    tokens.write_strides(ordered, path)
+    sizes = {(r["shard"], len(r["tokens"]), r["count"]) for r in spark.read.parquet(path).collect()}
+    assert all(n == 128 * c and (c == 32 or s == len(want) // 32) for s, n, c in sizes) and len(sizes) == -(-len(want) // 32)
+    for slot in (0, 45, len(want) - 1):
+        got = [(r["slot"], bytes(r["ids"])) for r in tokens.read_from(spark, path, slot, 32).collect()]
+        assert got == want[slot:]
+    assert tokens.read_from(spark, path, 45, 32, shards=1).count() == 64 - 45
