@@ -12,6 +12,7 @@ from garderobe.operators import dataset as d
 from garderobe.operators import metrics as m
 
 from garderobe.operators import pairs as pr
+from garderobe.operators import resampling as rs
 from garderobe.plans import bindings as b
 from garderobe.registry.base import register
 from garderobe.registry.common import VECTORS, with_items
@@ -165,8 +166,8 @@ def boot_sql(b_: int, seed: int = 0) -> str:
     return (
         f"{SCORED}, long AS (SELECT *, 'score' AS scorer FROM (SELECT * EXCLUDE (other) FROM scored) UNION ALL SELECT * EXCLUDE (score, other, "
         "grp, kind), other AS score, grp, kind, 'other' FROM scored), "
-        f"hashed AS (SELECT scorer, label, score, {hx(f'{chr(39)}{seed}:{chr(39)} || {ROW}')} % {m.PRIME} AS h FROM long), "
-        f"reps AS (SELECT scorer, label, score, replicate, ((h * (1 + (replicate * 1103515245 + 12345) % {m.PRIME - 1}) + (replicate * 69069 + 362437) % {m.PRIME}) "
+        f"hashed AS (SELECT scorer, grp, label, score, {hx(f'{chr(39)}{seed}:{chr(39)} || {ROW}')} % {m.PRIME} AS h FROM long), "
+        f"reps AS (SELECT scorer, grp, label, score, replicate, ((h * (1 + (replicate * 1103515245 + 12345) % {m.PRIME - 1}) + (replicate * 69069 + 362437) % {m.PRIME}) "
         f"% {m.PRIME}) / {float(m.PRIME)!r}::DOUBLE AS u FROM (SELECT *, unnest(range(1, {b_ + 1})) AS replicate FROM hashed)), "
         f"weighted AS (SELECT *, {_cuts_sql('u')} AS w FROM reps WHERE u >= {m.poisson_cuts()[0]!r}::DOUBLE), "
         + curve_sql("(SELECT * FROM weighted WHERE w > 0)", "scorer, replicate", "w")
@@ -203,6 +204,20 @@ def _paired(spark, sf):
     return out.select(*[r6(c, c) if t == "double" else F.col(c) for c, t in out.dtypes])
 
 
+@register(
+    "bootstrap_brier_f1",
+    f"WITH {boot_sql(500).split(', weighted AS')[0]}, weighted AS (SELECT grp, label, score, replicate, {_cuts_sql('u')} AS w FROM reps WHERE scorer = 'score'), "
+    "vals AS (SELECT grp, replicate, sum(w * (score - label) * (score - label)) / sum(w) AS brier, "
+    "coalesce(2 * sum(w * (score >= 0.5 AND label = 1)::INT)::DOUBLE / nullif(sum(w * ((score >= 0.5)::INT + label)), 0), 0) AS f1 "
+    "FROM weighted GROUP BY ALL HAVING sum(w) > 0) SELECT grp, count(*) AS replicates, "
+    + ", ".join(f"round(quantile_cont({c}, {q}), 6) AS {c}_{t}" for c in ("brier", "f1") for t, q in (("low", 0.025), ("high", 0.975)))
+    + " FROM vals GROUP BY grp",
+)
+def _boot_sums(spark, sf):
+    out = rs.bootstrap_intervals(scored(spark, sf), KEY, {"brier": rs.brier(), "f1": rs.f1()}, ["grp"])
+    return out.select(*[r6(c, c) if t == "double" else F.col(c) for c, t in out.dtypes])
+
+
 # ------------------------------------------------------------------ pairs with vectors
 def embedded_pairs(spark, sf):
     """Typed test pairs with cosine, slots, and a hash score standing for a random scorer."""
