@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from garderobe import vocab as v
 from garderobe.functions import boxes, vectors
@@ -126,40 +131,90 @@ def flag_earlier(batch: DataFrame, keys: Sequence[str] = ("wardrobe_id", "catego
     return ranked.filter("mine AND n > 0").select(*keys, F.col("at.item_id").alias("item_id"), F.col("n").cast("bigint").alias("earlier"), F.col("first").alias("first_earlier"))
 
 
+def sign_planes(dim: int, count: int, seed: int = 42) -> np.ndarray:
+    """``count`` directions of random signs; entry (p, i) is +1 when the hash of "seed:plane:p:i" is even."""
+    text = (f"{seed}:plane:{p}:{i}" for p in range(count) for i in range(dim))
+    odd = np.fromiter((int(hashlib.sha1(t.encode()).hexdigest()[:8], 16) % 2 for t in text), dtype=np.int64, count=count * dim)
+    return (1.0 - 2.0 * odd).reshape(count, dim)
+
+
+def tables_for(threshold: float, bits: int, recall: float) -> int:
+    """Tables of ``bits`` signs so that a pair exactly at ``threshold`` shares one with probability ``recall``."""
+    same_sign = 1 - math.acos(threshold) / math.pi
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - same_sign**bits)))
+
+
+def sign_codes(tables: int, bits: int, seed: int):
+    """Column function: one code of ``bits`` signs per table for a vector; zeros for an empty one."""
+
+    def codes(vecs: pa.Array) -> pa.Array:
+        sizes = pc.list_value_length(vecs).to_numpy(zero_copy_only=False)
+        out = np.zeros((len(vecs), tables), dtype=np.int64)
+        for size in {int(x) for x in sizes if x > 0}:
+            rows = np.flatnonzero(sizes == size)
+            flat = vecs.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False)
+            signs = flat.astype(float).reshape(-1, size) @ planes(size).T >= 0
+            out[rows] = signs.reshape(-1, tables, bits) @ (1 << np.arange(bits, dtype=np.int64))
+        ends = pa.array(np.arange(0, out.size + 1, tables), pa.int32())
+        return pa.ListArray.from_arrays(ends, pa.array(out.ravel()))
+
+    known: dict[int, np.ndarray] = {}
+
+    def planes(size: int) -> np.ndarray:
+        if size not in known:
+            known[size] = sign_planes(size, tables * bits, seed)
+        return known[size]
+
+    codes.__annotations__ = {"vecs": pa.Array, "return": pa.Array}
+    return F.arrow_udf(codes, ArrayType(LongType())).asNondeterministic()
+
+
+#: Distinct vectors of the largest key that share one code of signs when ``bits`` is not given, if spread evenly.
+BUCKET_VECTORS = 64
+
+
 def lsh_duplicates(
     items: DataFrame,
     keys: Sequence[str] = ("wardrobe_id", "category"),
     threshold: float = v.DUPLICATE_COSINE,
-    tables: int = 8,
+    recall: float = 0.99,
+    bits: int | None = None,
+    tables: int | None = None,
     seed: int = 42,
 ) -> DataFrame:
-    """Approximate variant for keys too large for exact pair blocks: LSH candidates, then the exact test."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
+    """Approximate variant for keys too large for exact pair blocks: equal bands of signs, then the exact test.
 
+    Candidates share the key and the signs of ``bits`` random projections in one of the tables; both are equalities,
+    so items of different keys never meet. Bits grow with the largest key, and tables follow from ``recall``, the
+    probability that a pair at the threshold is found (closer pairs are likelier). Only codes and numbers travel to the
+    join; a pair is formed in the first table that it shares, and vectors are fetched for these pairs alone. Large
+    buckets are cut into blocks. Every reported pair passes the exact test. Rows with a == b stand for equal vectors.
+    Items without a vector are left out; vectors of different lengths are no pair.
+    """
     keys = list(keys)
-    reach = math.sqrt(2 - 2 * threshold)
-    # Used by the fit and by both join sides, and the vector converter must not move below the null filter.
-    reps = cut_lineage(
-        distinct_vectors(items, keys).select(
-            *keys, "rep", "rep_id", "copies", F.transform("embedding", lambda x: x.cast("double")).alias("vec")
-        )
-    ).withColumn("vec", array_to_vector("vec"))
-    lsh = BucketedRandomProjectionLSH(
-        inputCol="vec", outputCol="hashes", bucketLength=4 * reach, numHashTables=tables, seed=seed
-    )
-    near = lsh.fit(reps).approxSimilarityJoin(reps, reps, reach + 1e-9, "distance")
-    same = (F.col("datasetA.rep") < F.col("datasetB.rep")) & (F.col("datasetA.rep_id") != F.col("datasetB.rep_id"))
-    for k in keys:
-        same = same & (F.col(f"datasetA.{k}") == F.col(f"datasetB.{k}"))
-    cosine = F.lit(1.0) - F.col("distance") * F.col("distance") / 2
-    hits = near.filter(same).select(
-        *[F.col(f"datasetA.{k}").alias(k) for k in keys],
-        F.col("datasetA.rep_id").alias("a"),
-        F.col("datasetB.rep_id").alias("b"),
-        cosine.alias("cosine"),
-        (F.col("datasetA.copies") * F.col("datasetB.copies")).alias("n_pairs"),
-    )
+    numbered = distinct_vectors(items, keys).select(*keys, "rep", "rep_id", "copies", "embedding", F.monotonically_increasing_id().alias("_n"))
+    reps = cut_lineage(numbered)
+    if bits is None:
+        largest = reps.groupBy(*keys).count().agg(F.max("count")).first()[0] or 1
+        bits = min(40, max(6, math.ceil(math.log2(largest / BUCKET_VECTORS))))
+    tables = tables_for(threshold, bits, recall) if tables is None else tables
+    codes = sign_codes(tables, bits, seed)
+    coded = cut_lineage(reps.select(*keys, "rep", "_n", F.size("embedding").alias("_dim"), codes("embedding").alias("_codes")))
+    bands = coded.select("*", F.posexplode("_codes").alias("_table", "_code"))
+
+    def first_shared(a, b):
+        agree = F.zip_with(a("_codes"), b("_codes"), lambda x, y: x == y)
+        return (a("rep") < b("rep")) & (F.array_position(agree, True) == a("_table") + 1)
+
+    met = pair_join(
+        bands, bands, [*keys, "_dim", "_table", "_code"], ["_n"], first_shared, select=lambda a, b: [a("_n").alias("_a"), b("_n").alias("_b")]
+    ).select("_a", "_b")
+
+    def side(name: str, extra: Sequence[str] = ()) -> DataFrame:
+        return reps.select(*extra, F.col("_n").alias(f"_{name}"), F.col("rep_id").alias(name), F.col("copies").alias(f"_c{name}"), F.col("embedding").alias(f"_v{name}"))
+
+    near = met.join(side("a", keys), "_a").join(side("b"), "_b").withColumn("cosine", vectors.dot("_va", "_vb"))
+    hits = near.filter(F.col("cosine") >= threshold).select(*keys, "a", "b", "cosine", (F.col("_ca") * F.col("_cb")).alias("n_pairs"))
     copies = reps.filter(F.col("copies") > 1).select(
         *keys,
         F.col("rep_id").alias("a"),

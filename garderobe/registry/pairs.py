@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from garderobe import vocab as v
+from garderobe.functions import vectors
 from garderobe.operators import duplicates as d
 from garderobe.operators import pairs as p
 from garderobe.operators import wardrobe as w
@@ -202,20 +203,57 @@ def _groups(spark, sf):
     return d.duplicate_groups(b.item_base(spark, sf), ["wardrobe_id"], 0.25).select("wardrobe_id", "item_id", "group_id")
 
 
+LSH_BITS, LSH_TABLES, VERSIONS, SHAKE = 10, 12, 4, 0.03
+
+
+def shaken(spark, sf):
+    """Four versions of every item with a vector, each moved a little, so that near vectors are not equal ones."""
+    k = F.col("version")
+    moved = F.transform(
+        "embedding",
+        lambda x, i: x.cast("double") + ((F.col("seq") * 31 + k * 57 + i * (k * 3 + 17)) % 11 - 5) / F.lit(5.0) * F.lit(SHAKE),
+    )
+    versions = b.item_base(spark, sf).filter(F.col("embedding").isNotNull()).withColumn("version", F.explode(F.sequence(F.lit(0), F.lit(VERSIONS - 1))))
+    named = versions.withColumn("item_id", F.concat_ws("_", "item_id", "version")).withColumn("_moved", moved)
+    return named.withColumn("embedding", vectors.l2_normalize(F.col("_moved"))).drop("_moved")
+
+
+SHAKEN = (
+    f", moved AS (SELECT wardrobe_id, category, created_at, item_id || '_' || version AS item_id, list_transform(vec, lambda x, i: x + "
+    f"((seq * 31 + version * 57 + (i - 1) * (version * 3 + 17)) % 11 - 5) / 5.0::DOUBLE * {SHAKE}::DOUBLE) AS m FROM (SELECT *, unnest(range({VERSIONS})) AS version "
+    "FROM item_base WHERE embedding IS NOT NULL)), shaken AS (SELECT * EXCLUDE (m), list_transform(m, lambda x: x / sqrt(list_dot_product(m, m))) AS u FROM moved), "
+    "exact AS (SELECT a.wardrobe_id, a.category, a.item_id AS a, b.item_id AS b, list_dot_product(a.u, b.u) AS cosine FROM shaken a JOIN shaken b ON "
+    "a.wardrobe_id = b.wardrobe_id AND a.category = b.category AND (a.created_at, a.item_id) < (b.created_at, b.item_id) WHERE list_dot_product(a.u, b.u) >= 0.97), "
+    f"planes AS (SELECT p, list(1.0::DOUBLE - 2 * (('0x' || substr(sha1('42:plane:' || p || ':' || i), 1, 8))::BIGINT % 2) ORDER BY i) AS plane FROM range({LSH_BITS * LSH_TABLES}) x(p), "
+    f"range({DIM}) y(i) GROUP BY p), codes AS (SELECT item_id, p // {LSH_BITS} AS tbl, sum(CASE WHEN list_dot_product(u, plane) >= 0 THEN 1 << (p % {LSH_BITS})::INT ELSE 0 END) AS code "
+    "FROM shaken, planes GROUP BY ALL), found AS (SELECT * FROM exact e WHERE EXISTS (SELECT 1 FROM codes x JOIN codes y ON x.tbl = y.tbl AND x.code = y.code "
+    "WHERE x.item_id = e.a AND y.item_id = e.b))"
+)
+
+
+@register("lsh_duplicates", with_items(f"{SHAKEN} SELECT wardrobe_id, category, a, b, round(cosine, 6) AS cosine, 1::BIGINT AS n_pairs FROM found"))
+def _lsh(spark, sf):
+    found = d.lsh_duplicates(shaken(spark, sf), bits=LSH_BITS, tables=LSH_TABLES)
+    return found.withColumn("cosine", F.round("cosine", 6))
+
+
 @register(
-    "lsh_duplicates",
+    "lsh_recall",
     with_items(
-        f", {_twins('a.wardrobe_id = b.wardrobe_id AND a.category = b.category').format(t=0.97)} SELECT true AS all_exact, true AS recall_at_least_90 FROM (SELECT count(*) FROM twins)"
+        f"{SHAKEN} SELECT (SELECT count(*) FROM exact) AS n_exact, (SELECT count(*) FROM found) AS n_found, 0::BIGINT AS n_wrong, "
+        "(SELECT count(*) FROM found) >= 0.9 * (SELECT count(*) FROM exact) AS recall_at_least_90"
     ),
 )
-def _lsh(spark, sf):
-    """Of the approximate pairs: whether all are among the exact ones, and the share of the exact ones found."""
-    items = b.item_base(spark, sf)
-    keys = ["wardrobe_id", "category"]
-    near = d.lsh_duplicates(items).agg(F.coalesce(F.sum("n_pairs"), F.lit(0)).alias("near"), F.count_if(F.col("cosine") < 0.97 - 1e-9).alias("far"))
-    exact = d.find_duplicates(items, keys).agg((F.coalesce(F.sum("n_duplicates"), F.lit(0)) / 2).alias("exact"))
-    both = near.crossJoin(exact)  # one row each
-    return both.select(((F.col("far") == 0) & (F.col("near") <= F.col("exact"))).alias("all_exact"), (F.col("near") >= 0.9 * F.col("exact")).alias("recall_at_least_90"))
+def _lsh_recall(spark, sf):
+    """The approximate pairs against the exact ones: how many there are, how many are found, how many are no pairs."""
+    items, keys = shaken(spark, sf), ["wardrobe_id", "category"]
+    reps = d.distinct_vectors(items, keys)
+    exact = d.near_vectors(reps, reps, keys, v.DUPLICATE_COSINE, ordered=True).select(*keys, F.col("a.item_id").alias("a"), F.col("b.item_id").alias("b"), F.lit(1).alias("real"))
+    found = d.lsh_duplicates(items, bits=LSH_BITS, tables=LSH_TABLES).select(*keys, "a", "b", F.lit(1).alias("seen"))
+    counts = exact.join(found, [*keys, "a", "b"], "full").agg(
+        F.count("real").alias("n_exact"), F.count_if(F.col("real").isNotNull() & F.col("seen").isNotNull()).alias("n_found"), F.count_if(F.col("real").isNull()).alias("n_wrong")
+    )
+    return counts.withColumn("recall_at_least_90", F.col("n_found") >= 0.9 * F.col("n_exact"))
 
 
 @register(
