@@ -7,20 +7,24 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from garderobe.functions.lookup import hash_int
 from garderobe.session import cut_lineage
 
-SCORE_RANGES = 32
+#: Rows aimed at in a score range.
+RANGE_ROWS = 200_000
 
 
-def score_cuts(df: DataFrame, score: str = "score", ranges: int = SCORE_RANGES) -> list[float]:
-    """At most ``ranges - 1`` approximate quantiles: a fixed-size summary used to cut the score axis."""
-    probs = [i / ranges for i in range(1, ranges)]
-    return sorted(set(df.approxQuantile(score, probs, 0.005)))
+def by_ranges(df: DataFrame, order: Sequence[str], name: str, rows: int | None = None) -> DataFrame:
+    """``df`` with the number of its range in the order of ``order``; equal values share a range.
+
+    Spark cuts the ranges, as many as the rows call for, so nothing but a count comes to the driver. The result is
+    written: a second cut could fall elsewhere.
+    """
+    n = -(-(df.count() if rows is None else rows) // RANGE_ROWS)
+    return cut_lineage(df.repartitionByRange(max(1, n), *order).withColumn(name, F.spark_partition_id()))
 
 
 def running_counts(
@@ -29,25 +33,24 @@ def running_counts(
     score: str = "score",
     label: str = "label",
     weight: Column | None = None,
-    cuts: Sequence[float] | None = None,
 ) -> DataFrame:
     """One row per key and distinct score, highest first, with cumulative positives ``tp`` and negatives ``fp``.
 
-    Ties are merged by the first aggregate. The running sums never put one key's scores into one task: they
-    run inside score ranges and are shifted by the totals of the higher ranges, a few rows per key.
+    Ties are merged by the first aggregate. The running sums never put one key's scores into one task: they run inside
+    ranges of (key, score) and are shifted by the totals of the key's higher ranges, at most as many rows as there are
+    keys and ranges. Rows without a score are left out.
     """
     keys = list(keys)
     w = F.lit(1) if weight is None else weight
-    per_score = df.groupBy(*keys, score).agg(
-        F.sum(F.when(F.col(label) == 1, w).otherwise(0)).cast("double").alias("pos"),
-        F.sum(F.when(F.col(label) == 1, 0).otherwise(w)).cast("double").alias("neg"),
+    per_score = cut_lineage(
+        df.filter(F.col(score).isNotNull())
+        .groupBy(*keys, score)
+        .agg(
+            F.sum(F.when(F.col(label) == 1, w).otherwise(0)).cast("double").alias("pos"),
+            F.sum(F.when(F.col(label) == 1, 0).otherwise(w)).cast("double").alias("neg"),
+        )
     )
-    cuts = score_cuts(df, score) if cuts is None else list(cuts)
-    splits = [-math.inf, *cuts, math.inf]
-    if cuts:
-        ranged = Bucketizer(splits=splits, inputCol=score, outputCol="_range").transform(per_score)
-    else:
-        ranged = per_score.withColumn("_range", F.lit(0.0))
+    ranged = by_ranges(per_score, [*keys, score], "_range")
     totals = ranged.groupBy(*keys, "_range").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
     higher = Window.partitionBy(*keys).orderBy(F.col("_range").desc()).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
@@ -180,8 +183,8 @@ def poisson_cuts(terms: int = 13) -> list[float]:
 
 #: Modulus of the weight hash, a prime; products of two residues fit into 64 bits.
 PRIME = 2_147_483_647
-#: Replicates whose weights are in memory at once, and rows aimed at in a score range.
-REPLICATE_BLOCK, RANGE_ROWS = 50, 200_000
+#: Replicates whose weights are in memory at once.
+REPLICATE_BLOCK = 50
 
 
 def replicate_weights(h: np.ndarray, replicates: np.ndarray) -> np.ndarray:
@@ -223,9 +226,7 @@ def bootstrap_values(
         F.explode(F.create_map(*[x for s in scores for x in (F.lit(s), F.col(s).cast("double"))])).alias("scorer", "score"),
     ).filter(F.col("score").isNotNull())
     long = cut_lineage(long)
-    cuts = score_cuts(long, ranges=max(2, long.count() // RANGE_ROWS))
-    ranged = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="score", outputCol="range").transform(long) if cuts else long.withColumn("range", F.lit(0.0))
-    ranged = cut_lineage(ranged.select("scorer", "range", "label", "score", "h"))
+    ranged = by_ranges(long, ["scorer", "score"], "range")
     blocks = np.array_split(np.arange(1, n + 1, dtype=np.int64), max(1, -(-n // REPLICATE_BLOCK)))
     keys = ["scorer", "range"]
 
@@ -234,7 +235,7 @@ def bootstrap_values(
         pos, neg = (np.concatenate([p[i].sum(axis=0) for p in parts]) for i in (0, 1))
         return pd.DataFrame({"scorer": key[0], "range": key[1], "replicate": np.concatenate(blocks), "pos": pos, "neg": neg})
 
-    sums = ranged.groupBy(*keys).applyInPandas(totals, "scorer string, range double, replicate long, pos double, neg double")
+    sums = ranged.groupBy(*keys).applyInPandas(totals, "scorer string, range int, replicate long, pos double, neg double")
     higher = Window.partitionBy("scorer", "replicate").orderBy(F.col("range").desc()).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("scorer", "replicate")
     ahead = cut_lineage(sums).select(

@@ -50,12 +50,33 @@ def test_metric_goldens(spark):
     assert m.calibration_error(scored(spark, [0, 0, 1, 1], [0.0, 0.0, 1.0, 1.0])).collect()[0].ece == 0.0
 
 
-def test_running_counts_do_not_depend_on_the_ranges(spark):
-    rows = [(i * 7 % 3 % 2, (i * 37 % 101) / 101) for i in range(500)]
-    df = spark.createDataFrame(rows, "label int, score double")
-    few = m.running_counts(df, cuts=[]).orderBy("score").collect()
-    many = m.running_counts(df, cuts=[0.1, 0.2, 0.5, 0.9]).orderBy("score").collect()
-    assert few == many
+def test_running_counts_do_not_depend_on_the_ranges(spark, monkeypatch):
+    rows = [(i * 7 % 3 % 2, (i * 37 % 101) / 101, "ab"[i % 5 == 0]) for i in range(500)]
+    df = spark.createDataFrame(rows, "label int, score double, grp string")
+
+    def counts():
+        return [m.running_counts(df, k).orderBy(*k, "score").collect() for k in ([], ["grp"])]
+
+    few = counts()
+    monkeypatch.setattr(m, "RANGE_ROWS", 20)
+    assert m.by_ranges(df.select("score").distinct(), ["score"], "r").select("r").distinct().count() > 3
+    assert counts() == few
+    for r in few[0]:
+        above = [x for x in rows if x[1] >= r.score]
+        assert (r.tp, r.fp) == (sum(x[0] for x in above), sum(1 - x[0] for x in above))
+
+
+def test_bootstrap_values_do_not_depend_on_the_ranges(spark, monkeypatch):
+    rows = [(i, i * 7 % 3 % 2, (i * 37 % 101) / 101) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, label int, score double")
+
+    def values():
+        out = m.bootstrap_values(df, ["id"], ["score"], n=60)
+        return [(r.replicate, round(r.roc_auc, 12), round(r.pr_auc, 12)) for r in out.orderBy("replicate").collect()]
+
+    few = values()
+    monkeypatch.setattr(m, "RANGE_ROWS", 50)
+    assert values() == few and len(few) == 60
 
 
 def test_audit_counts_shared_and_repeated_outfits(spark):
