@@ -331,12 +331,21 @@ def baseline_comparison(df: DataFrame, scores: Sequence[str], random_name: str =
 
 
 # ------------------------------------------------------------------ fill in the blank
+def next_prime(n: int) -> int:
+    """Smallest prime from ``n`` on."""
+    n = max(2, n)
+    while any(n % d == 0 for d in range(2, math.isqrt(n) + 1)):
+        n += 1
+    return n
+
+
 def fitb_questions(members: DataFrame, usable: DataFrame, distractors: int = 3, seed: int = 42) -> DataFrame:
     """One question per outfit: a hidden member and hash-drawn distractors from outside the outfit.
 
     ``members(split, set_id, ord, item_id)``; only ``usable(item_id)`` items count. Candidate 0 is the answer.
-    Distractors are neighbours in the densely numbered item pool (numbered by hash) from a drawn place on: as many as
-    wanted and as the outfit has items there, so that enough remain when those of the outfit are left out.
+    Distractors are drawn without replacement from the densely numbered item pool, for each question on its own: places
+    ``start + try * step`` modulo the next prime, both drawn, visit every place once, and any two places are equally likely to come
+    together. As many are taken as wanted and as the outfit has items there, so that enough remain when its own are left out.
     """
     from garderobe.operators.spread import numbered
 
@@ -345,15 +354,20 @@ def fitb_questions(members: DataFrame, usable: DataFrame, distractors: int = 3,
     blank_key = F.struct(F.sha1(F.concat_ws(":", F.lit(f"{seed}:blank"), "set_id", "item_id")).alias("h"), F.col("item_id").alias("item_id"))
     blanks = own.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_usable"), F.min(blank_key)["item_id"].alias("answer"))
     pool = own.select("split", "item_id").distinct()
-    n_pool = pool.groupBy("split").agg(F.count(F.lit(1)).alias("n_pool"))
+    prime = F.udf(next_prime, "bigint")  # one call per split
+    n_pool = pool.groupBy("split").agg(F.count(F.lit(1)).alias("n_pool")).withColumn("_p", prime("n_pool"))
     questions = blanks.join(n_pool, "split").filter(
         (F.col("n_usable") >= 2) & (F.col("n_pool") > distractors + F.col("n_usable"))
     )
     indexed = numbered(pool, ["split"], ["item_id"], "_i", ["item_id"])
-    steps = F.sequence(F.lit(0).cast("bigint"), F.col("n_usable") + F.lit(distractors - 1))
-    text = F.concat_ws(":", F.lit(f"{seed}:distractor"), "set_id")
-    draws = questions.withColumn("_try", F.explode(steps))
-    draws = draws.withColumn("_i", F.pmod(hash_int(text, 15) + F.col("_try"), F.col("n_pool")) + 1).join(indexed, ["split", "_i"])
+    start, step = (F.pmod(hash_int(F.concat_ws(":", F.lit(f"{seed}:{tag}"), "set_id"), 15), m) for tag, m in (("distractor", F.col("_p")), ("step", F.col("_p") - 1)))
+    wanted = F.col("n_usable") + F.lit(distractors)
+    drawn = questions.withColumn("_start", start).withColumn("_step", step + 1)
+    # At most prime - n_pool places lie outside of the pool.
+    tries = F.sequence(F.lit(0).cast("bigint"), wanted + F.col("_p") - F.col("n_pool") - 1)
+    places = F.transform(tries, lambda t: F.struct(t.alias("_try"), (F.pmod(F.col("_start") + t * F.col("_step"), F.col("_p")) + 1).alias("_i")))
+    inside = F.slice(F.filter(places, lambda x: x["_i"] <= F.col("n_pool")), F.lit(1), wanted.cast("int"))
+    draws = drawn.select(*keys, F.inline(inside)).join(indexed, ["split", "_i"])
     outside = draws.join(members.select(*keys, "item_id"), [*keys, "item_id"], "left_anti")
     first = outside.groupBy(*keys, "item_id").agg(F.min("_try").alias("_try"))
     order = Window.partitionBy(*keys).orderBy("_try")

@@ -320,8 +320,11 @@ def fitb_scored(spark, sf):
     f"pool AS (SELECT split, item_id, row_number() OVER (PARTITION BY split ORDER BY {hx('item_id')} % 64, item_id) AS i, count(*) OVER "
     "(PARTITION BY split) AS n_pool FROM (SELECT DISTINCT split, item_id FROM own)), np AS (SELECT DISTINCT split, n_pool FROM pool), "
     "q AS (SELECT bl.*, n_pool FROM bl JOIN np USING (split) WHERE n_usable >= 2 AND n_pool > 3 + n_usable), "
-    f"dr AS (SELECT q.*, try, ({hx(chr(39) + '42:distractor:' + chr(39) + ' || set_id', 15)} + try) % n_pool + 1 AS i FROM (SELECT *, "
-    "unnest(range(0, n_usable + 3)) AS try FROM q) q), dx AS (SELECT dr.split, set_id, item_id, min(try) AS try FROM dr JOIN pool ON pool.split = dr.split AND "
+    "pc AS (SELECT n_pool, unnest(range(n_pool, 2 * n_pool)) AS c FROM (SELECT DISTINCT n_pool FROM np)), dv AS (SELECT unnest(range(2, (SELECT 2 + sqrt(max(c))::BIGINT FROM pc))) AS d), "
+    "pm AS (SELECT n_pool, min(c) AS prime FROM pc WHERE NOT EXISTS (SELECT 1 FROM dv WHERE d * d <= c AND c % d = 0) GROUP BY n_pool), "
+    f"dr AS (SELECT * FROM (SELECT *, (start + try * step) % prime + 1 AS i FROM (SELECT q.*, prime, {hx(chr(39) + '42:distractor:' + chr(39) + ' || set_id', 15)} % prime AS start, "
+    f"1 + {hx(chr(39) + '42:step:' + chr(39) + ' || set_id', 15)} % (prime - 1) AS step, unnest(range(0, n_usable + 3 + prime - n_pool)) AS try FROM q JOIN pm USING (n_pool))) "
+    "WHERE i <= n_pool QUALIFY row_number() OVER (PARTITION BY split, set_id ORDER BY try) <= n_usable + 3), dx AS (SELECT dr.split, set_id, item_id, min(try) AS try FROM dr JOIN pool ON pool.split = dr.split AND "
     "pool.i = dr.i WHERE NOT EXISTS (SELECT 1 FROM members m WHERE m.split = dr.split AND m.set_id = dr.set_id AND m.item_id = pool.item_id) GROUP BY "
     "ALL), pk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY split, set_id ORDER BY try) AS candidate FROM dx) WHERE candidate <= 3), "
     "cand AS (SELECT split, set_id, answer AS item_id, 0 AS candidate FROM q UNION ALL SELECT split, set_id, item_id, candidate FROM pk), "

@@ -79,6 +79,26 @@ def test_bootstrap_values_do_not_depend_on_the_ranges(spark, monkeypatch):
     assert values() == few and len(few) == 60
 
 
+def test_distractors_are_drawn_for_each_question(spark):
+    from collections import Counter
+    from itertools import combinations
+
+    rows = [("valid", s, k, f"i{(s * 7 + k * 13) % 60:02d}") for s in range(600) for k in range(2 + s % 3)]
+    members = spark.createDataFrame(rows, "split string, set_id long, ord long, item_id string")
+    asked = m.fitb_questions(members, members.select("item_id")).collect()
+    own, chosen = {}, {}
+    for _, s, _, item in rows:
+        own.setdefault(s, set()).add(item)
+    for r in asked:
+        if r.candidate:
+            chosen.setdefault(r.set_id, []).append(r.item_id)
+    assert len(chosen) == 600 and all(len(set(c)) == 3 and not own[s] & set(c) for s, c in chosen.items())
+    together = Counter(p for c in chosen.values() for p in combinations(sorted(c), 2))
+    # 1,800 pairs over 1,770 possible ones; neighbours in one list would meet some 20 times.
+    assert max(together.values()) <= 9 and len(together) > 1000
+    assert [m.next_prime(n) for n in (1, 8, 60, 7919)] == [2, 11, 61, 7919]
+
+
 def test_audit_counts_shared_and_repeated_outfits(spark):
     rows = [("train", 1, "a"), ("train", 1, "b"), ("train", 2, "b"), ("train", 2, "a"), ("valid", 3, "a"), ("valid", 3, "b"), ("test", 4, "c"), ("test", 4, "d")]
     members = spark.createDataFrame(rows, "split string, set_id long, item_id string")
