@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from garderobe import vocab as v
 from garderobe.functions import colour, lookup, scores, style, vectors
 from garderobe.operators import wardrobe as w
+from garderobe.operators.item_table import ItemTable
 from garderobe.plans import bindings as b
 from garderobe.registry.base import register
 from garderobe.registry.common import NEUTRAL_SQL, case_map, values, with_items
+from garderobe.streaming.ingest import work_path
 
 MODEL, DIM = b.ENCODER, b.ENCODER_DIM
 
@@ -361,6 +363,75 @@ def _write(spark, sf):
     return w.write_items(stored, new, strict=False)
 
 
+# ------------------------------------------------------------------ the stored table
+STORED = ("wardrobe_id", "item_id", "category", "label", "review_status", "embedding")
+
+
+def _stored(spark, sf):
+    return ItemTable.create(b.item_base(spark, sf).select(*STORED), work_path(spark, "item-table"), buckets=8, slices=4)
+
+
+@register(
+    "item_table_update",
+    with_items(
+        "SELECT wardrobe_id, item_id, CASE WHEN wardrobe_id IN (3, 7) AND p_size % 6 = 0 THEN 'shoes' ELSE category END AS "
+        "category, CASE WHEN wardrobe_id IN (3, 7) AND p_size % 4 = 0 THEN ' Best ' || label ELSE label END AS label, "
+        "len(embedding)::INT AS dim FROM items"
+    ),
+)
+def _table_update(spark, sf):
+    table = _stored(spark, sf)
+    table.update(_edits(spark, sf).drop("style").join(table.read().filter("wardrobe_id IN (3, 7)").select("wardrobe_id", "item_id"), "item_id"))
+    return table.read().select("wardrobe_id", "item_id", "category", "label", F.array_size("embedding").alias("dim"))
+
+
+@register(
+    "item_table_edit",
+    with_items(
+        "SELECT item_id, CASE WHEN p_size % 6 = 0 THEN 'shoes' ELSE category END AS category, "
+        "CASE WHEN p_size % 4 = 0 THEN lower('best ' || label) WHEN p_size % 6 = 0 AND category <> 'shoes' THEN 'shoes' "
+        "ELSE label END AS label, CASE WHEN p_size % 6 = 0 THEN 'confirmed' ELSE review_status END AS review_status "
+        "FROM items WHERE wardrobe_id = 4"
+    ),
+)
+def _table_edit(spark, sf):
+    table = ItemTable.create(b.items(spark, sf), work_path(spark, "item-table"), buckets=8, slices=4)
+    table.edit(_edits(spark, sf))
+    return table.wardrobe(4).select("item_id", "category", "label", "review_status")
+
+
+@register(
+    "item_table_delete",
+    with_items(
+        ", gone AS (SELECT *, wardrobe_id = 5 OR review_status = 'needs_review' AS out FROM items) SELECT wardrobe_id, "
+        "count(*) AS n_left FROM gone WHERE NOT out GROUP BY ALL UNION ALL SELECT -1, count(*) FROM gone WHERE out"
+    ),
+)
+def _table_delete(spark, sf):
+    table = _stored(spark, sf)
+    gone = table.delete(table.read().filter("wardrobe_id = 5 OR review_status = 'needs_review'"))
+    left = table.read().groupBy("wardrobe_id").agg(F.count(F.lit(1)).alias("n_left"))
+    return left.unionByName(spark.range(1).select(F.lit(-1).cast("bigint").alias("wardrobe_id"), F.lit(gone).cast("bigint").alias("n_left")))
+
+
+@register(
+    "item_table_write",
+    with_items(
+        "SELECT wardrobe_id, item_id, label FROM items UNION ALL SELECT p_partkey % 20, 'it' || p_partkey, p_name FROM part "
+        "WHERE 'it' || p_partkey NOT IN (SELECT item_id FROM items)"
+    ),
+)
+def _table_write(spark, sf):
+    table = _stored(spark, sf)
+    key, none = F.col("p_partkey"), F.lit(None)
+    new = b.table(spark, sf, "part").select(
+        (key % 20).alias("wardrobe_id"), F.concat(F.lit("it"), key).alias("item_id"), none.cast("string").alias("category"),
+        F.col("p_name").alias("label"), F.lit("auto").alias("review_status"), none.cast("array<double>").alias("embedding"),
+    )
+    table.insert(new, strict=False)
+    return table.read().select("wardrobe_id", "item_id", "label")
+
+
 # ------------------------------------------------------------------ scalar functions over items
 @register(
     "item_labels",
