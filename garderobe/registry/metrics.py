@@ -10,10 +10,10 @@ from garderobe.functions.lookup import hash_unit
 from garderobe.functions.vectors import dot
 from garderobe.operators import dataset as d
 from garderobe.operators import metrics as m
-
 from garderobe.operators import pairs as pr
 from garderobe.operators import resampling as rs
 from garderobe.plans import bindings as b
+from garderobe.plans import fit
 from garderobe.registry.base import register
 from garderobe.registry.common import VECTORS, with_items
 from garderobe.registry.dataset import BASE_CTE, TYPED, hx, sampler
@@ -146,13 +146,19 @@ def _by_group(spark, sf):
     return m.auc_by_group(scored(spark, sf), "grp").withColumn("roc_auc", F.round("roc_auc", 6))
 
 
+KINDS = ("hard_negative", "random_negative")
+
+
 @register(
     "auc_vs_kind",
-    f"WITH {SCORED}, part AS (SELECT * FROM scored WHERE label = 1 OR kind = 'hard_negative'), {curve_sql('part')} SELECT "
-    f"max(positives)::BIGINT AS positives, max(negatives)::BIGINT AS negatives, round({AUC}, 6) AS roc_auc FROM curve",
+    f"WITH {SCORED}, part AS (SELECT s.*, k.against FROM scored s JOIN (VALUES {', '.join(f"('{k}')" for k in KINDS)}) k(against) "
+    f"ON s.label = 1 OR s.kind = k.against), {curve_sql('part', 'against')} SELECT against, max(positives)::BIGINT AS positives, "
+    f"max(negatives)::BIGINT AS negatives, round({AUC}, 6) AS roc_auc FROM curve GROUP BY 1",
 )
 def _vs_kind(spark, sf):
-    return m.auc_vs_kind(scored(spark, sf), "hard_negative").withColumn("roc_auc", F.round("roc_auc", 6))
+    rows = scored(spark, sf)
+    each = [m.auc_vs_kind(rows, k).withColumn("against", F.lit(k)) for k in KINDS]
+    return each[0].unionByName(each[1]).withColumn("roc_auc", F.round("roc_auc", 6))
 
 
 def _cuts_sql(u: str) -> str:
@@ -338,30 +344,22 @@ def _fitb(spark, sf):
 
 
 def real_and_fake(spark, sf):
-    """Wardrobe outfits (items by p_size % 7) and their fakes, with plausibility."""
-    items = usable(spark, sf)
-    real = items.withColumn("set_id", F.concat_ws("_", "wardrobe_id", F.col("p_size") % 7)).withColumn("split", F.lit("valid"))
-    fake = d.fake_outfits(real.select("split", "set_id", F.col("seq").alias("ord"), "item_id"), items)
-    attrs = items.drop("category").join(items.select("item_id", "category"), "item_id")
-    swapped = fake.select("set_id", "item_id").distinct().join(attrs, "item_id")
-    parts = []
-    for label, members in ((1, real), (0, swapped)):
-        scored_pairs = pr.pair_scores(pr.member_pairs(members, ["set_id"]), BASE)
-        parts.append(
-            pr.outfit_scores(scored_pairs, ["set_id"], BASE["features"]).select(
-                "set_id", F.lit(label).alias("label"), F.round("plausibility", 9).alias("score")
-            )
-        )
-    return cut_lineage(parts[0].unionByName(parts[1]))
+    """Wardrobe outfits (items by p_size % 7; even ones validate, odd ones test) and their fakes, with plausibility."""
+    items, part = usable(spark, sf), F.col("p_size") % 7
+    split = F.when(part % 2 == 0, "valid").otherwise("test")
+    worn = items.select(split.alias("split"), F.concat_ws("_", "wardrobe_id", part).alias("set_id"), F.col("seq").alias("ord"), "item_id")
+    return cut_lineage(fit.real_and_fake(worn, items, BASE).withColumn("score", F.round("score", 9)))
 
 
+_SPLIT = "CASE WHEN split_part({x}, '_', 2)::INT % 2 = 0 THEN 'valid' ELSE 'test' END"
 RF = (
     f", real AS (SELECT *, wardrobe_id || '_' || (p_size % 7) AS outfit_id FROM items WHERE reason IS NULL), pool AS (SELECT category, item_id, "
     f"row_number() OVER (PARTITION BY category ORDER BY {hx('item_id')} % 64, item_id) - 1 AS idx, count(*) OVER (PARTITION BY category) AS n FROM real), "
-    "n AS (SELECT DISTINCT category, n FROM pool), dr AS (SELECT real.outfit_id, real.category, "
-    f"{hx(chr(39) + '42:fake:valid:' + chr(39) + ' || outfit_id || chr(58) || item_id', 15)} % n AS idx FROM real JOIN n USING (category)), "
-    "fk AS (SELECT DISTINCT d.outfit_id, p.item_id FROM dr d JOIN pool p USING (category, idx)), fake AS (SELECT r.* EXCLUDE (outfit_id), fk.outfit_id "
-    "FROM fk JOIN real r ON r.item_id = fk.item_id)"
+    "n AS (SELECT DISTINCT category, n FROM pool), dr AS (SELECT real.outfit_id, real.seq AS seat, real.category, "
+    + hx(f"'42:fake:' || {_SPLIT.format(x='outfit_id')} || ':' || outfit_id || ':' || item_id", 15)
+    + " % n AS idx FROM real JOIN n USING (category)), "
+    "fk AS (SELECT d.outfit_id, d.seat, p.item_id FROM dr d JOIN pool p USING (category, idx)), fake AS (SELECT r.* EXCLUDE (outfit_id, seq), "
+    "fk.outfit_id, fk.seat AS seq FROM fk JOIN real r ON r.item_id = fk.item_id)"
 )
 _W = "CASE WHEN ca = 'accessory' OR cb = 'accessory' THEN 0.5::DOUBLE ELSE 1.0 END"
 
@@ -377,17 +375,17 @@ def _renamed(name: str, source: str) -> str:
     "real_vs_fake_report",
     with_items(
         RF
-        + f", {_renamed('r', 'real')}, {_renamed('f', 'fake')}, rf AS (SELECT outfit_id, 1 AS label, round(sum({_W} * p) / sum({_W}), 9) AS score FROM "
-        f"pairs_r GROUP BY 1 UNION ALL SELECT outfit_id, 0, round(sum({_W} * p) / sum({_W}), 9) FROM pairs_f GROUP BY 1), {curve_sql('rf')}, "
-        "z AS (SELECT *, round(tp / positives - fp / negatives, 12) AS gap FROM curve) SELECT max(positives)::BIGINT AS real_outfits, "
-        f"max(negatives)::BIGINT AS fake_outfits, round({AUC}, 6) AS roc_auc, round(arg_max(score, (gap, -score)), 6) AS cut, "
-        "round(arg_max(tp / positives, (gap, -score)), 6) AS cut_tpr, round(arg_max(fp / negatives, (gap, -score)), 6) AS cut_fpr FROM z"
+        + f", {_renamed('r', 'real')}, {_renamed('f', 'fake')}, sc AS (SELECT outfit_id, 1 AS label, round(sum({_W} * p) / sum({_W}), 9) AS score FROM "
+        f"pairs_r GROUP BY 1 UNION ALL SELECT outfit_id, 0, round(sum({_W} * p) / sum({_W}), 9) FROM pairs_f GROUP BY 1), "
+        f"rf AS (SELECT *, {_SPLIT.format(x='outfit_id')} AS split FROM sc), {curve_sql('rf', 'split')}, "
+        "best AS (SELECT arg_max(score, (round(tp / positives - fp / negatives, 12), -score)) AS cut FROM curve WHERE split = 'valid'), "
+        f"auc AS (SELECT split, max(positives)::BIGINT AS real_outfits, max(negatives)::BIGINT AS fake_outfits, round({AUC}, 6) AS roc_auc FROM curve GROUP BY 1), "
+        "rate AS (SELECT split, round(avg((score >= cut)::INT) FILTER (label = 1), 6) AS tpr, round(avg((score >= cut)::INT) FILTER (label = 0), 6) AS fpr "
+        "FROM rf, best GROUP BY 1) SELECT auc.*, round(cut, 6) AS cut, tpr, fpr FROM auc JOIN rate USING (split), best"
     ),
 )
 def _real_fake(spark, sf):
-    out = m.ranking_metrics(m.running_counts(real_and_fake(spark, sf)))
-    return out.select(
-        F.col("positives").alias("real_outfits"),
-        F.col("negatives").alias("fake_outfits"),
-        *[r6(c, c) for c in ("roc_auc", "cut", "cut_tpr", "cut_fpr")],
-    )
+    both = real_and_fake(spark, sf)
+    ranked = cut_lineage(m.ranking_metrics(m.running_counts(both, ["split"]), ["split"]))
+    report = fit.split_report(both, ranked, fit.validation_cut(ranked))
+    return report.select("split", "real_outfits", "fake_outfits", *[r6(c, c) for c in ("roc_auc", "cut", "tpr", "fpr")])
