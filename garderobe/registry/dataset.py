@@ -106,6 +106,18 @@ def _hard(spark, sf):
     return _negatives(spark, sf, "hard_negative")
 
 
+@register(
+    "negatives_unfilled",
+    NEGATIVES + ", wanted AS (SELECT split, slot, CASE WHEN hard THEN 'hard_negative' ELSE 'random_negative' END AS kind FROM slots) "
+    "SELECT w.split, w.kind, count(*) AS wanted, count(*) - count(n.slot) AS unfilled FROM wanted w LEFT JOIN negatives n USING (split, slot) GROUP BY 1, 2",
+)
+def _unfilled(spark, sf):
+    draws = sampler(spark, sf)
+    drawn = draws.negatives().groupBy("split", "kind").agg(F.count(F.lit(1)).alias("drawn"))
+    both = drawn.join(draws.unfilled(), ["split", "kind"], "full").fillna(0, ["drawn", "unfilled"])
+    return both.select("split", "kind", (F.col("drawn") + F.col("unfilled")).alias("wanted"), "unfilled")
+
+
 @register(
     "legacy_negatives",
     "WITH "

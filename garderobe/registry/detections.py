@@ -166,12 +166,58 @@ def _flat(df):
     )
 
 
-@register("detect_regions")
+# Regions with the labels seen on them, their parts, flags and suggestion, as lists of structs per region.
+_SEPARATE = "('top', 'bottom', 'outerwear')"
+_INSIDE = _INTER.replace("a.", "g.").replace("b.", "e.")
+JUDGED = (
+    HEADS
+    + ", home AS (SELECT s.image_id, s.r, CASE WHEN list_contains(l.heads, s.r) THEN s.r ELSE list_min(list_filter(n.early, lambda x: "
+    "list_contains(l.heads, x))) END AS h FROM spots s JOIN last l USING (image_id) LEFT JOIN near n ON n.image_id = s.image_id AND n.r = s.r), "
+    "placed AS (SELECT e.*, s.r, home.h, row_number() OVER (PARTITION BY e.image_id, home.h ORDER BY conf DESC, bx1, by1, bx2, by2, seq, label) AS rk "
+    "FROM ev e JOIN spots s USING (image_id, bx1, by1, bx2, by2) JOIN home ON home.image_id = s.image_id AND home.r = s.r), "
+    "top AS (SELECT image_id, h, bx1, by1, bx2, by2, arg_min(label, rk) AS label, arg_min(slot, rk) AS slot, max(conf) AS conf FROM placed WHERE r = h "
+    "GROUP BY ALL HAVING max(conf) >= 0.15), "
+    "labels AS (SELECT p.image_id, p.h, p.label, p.slot, max(p.conf) AS conf, min(p.rk) AS rk FROM placed p JOIN top t ON t.image_id = p.image_id AND "
+    "t.h = p.h AND t.label <> p.label GROUP BY ALL), "
+    "alts AS (SELECT image_id, h, list({'label': label, 'slot': slot, 'conf': conf} ORDER BY rk) AS alternatives FROM labels GROUP BY ALL), "
+    "parts AS (SELECT g.image_id, g.h, e.label, e.conf, row_number() OVER (PARTITION BY g.image_id, g.h, e.label ORDER BY e.conf DESC, e.bx1, e.by1, "
+    "e.bx2, e.by2, e.seq) AS nth, e.bx1, e.by1, e.bx2, e.by2, e.seq FROM top g JOIN ev e ON e.image_id = g.image_id AND g.slot = 'one_piece' AND "
+    f"e.slot IN {_SEPARATE} AND {_AREA.format(x='e')} <= {v.PART_OF_REGION} * {_AREA.format(x='g')} AND ({_INSIDE})::DOUBLE / {_AREA.format(x='e')} "
+    f">= {v.CONTAINED}), "
+    "named AS (SELECT image_id, h, label, conf, 0 AS part, row_number() OVER (PARTITION BY image_id, h ORDER BY rk) AS spot FROM labels JOIN (SELECT "
+    f"image_id, h FROM top WHERE slot = 'one_piece') USING (image_id, h) WHERE slot IN {_SEPARATE} UNION ALL SELECT image_id, h, label, conf, 1, row_number() "
+    "OVER (PARTITION BY image_id, h ORDER BY conf DESC, bx1, by1, bx2, by2, seq, label) FROM parts WHERE nth = 1), "
+    "once AS (SELECT image_id, h, label, max(conf) AS conf, min((part, spot)) AS place FROM named GROUP BY ALL), "
+    "bits AS (SELECT image_id, h, string_agg(label || ' ' || printf('%.2f', conf), ', ' ORDER BY conf DESC, place) AS bits FROM once GROUP BY ALL), "
+    "found AS (SELECT t.*, coalesce(alternatives, []) AS alternatives, bits, list_filter(coalesce(alternatives, []), lambda x: x.slot <> t.slot AND "
+    f"x.conf >= {v.AMBIGUITY_RATIO} * t.conf)[1] AS close, CASE WHEN t.slot = 'one_piece' THEN list_filter(coalesce(alternatives, []), lambda x: x.slot IN "
+    f"{_SEPARATE})[1] END AS sep FROM top t LEFT JOIN alts USING (image_id, h) LEFT JOIN bits USING (image_id, h)), "
+    "judged AS (SELECT image_id, substr(sha1(image_id || '|' || label || '|(' || bx1 || ', ' || by1 || ', ' || bx2 || ', ' || by2 || ')'), 1, 12) AS id, "
+    "label, slot AS category, round_even(conf, 4) AS confidence, list_transform(alternatives, lambda x: {'label': x.label, 'category': x.slot, 'confidence': "
+    "round_even(x.conf, 4)}) AS alternatives, list_filter([CASE WHEN conf < " + repr(v.CONFIDENCE_THRESHOLD) + " THEN {'code': 'low_confidence', 'message': "
+    f"'Low detector score (' || printf('%.2f', conf) || ' < {v.CONFIDENCE_THRESHOLD:.2f}).'" + "} END, CASE WHEN close IS NOT NULL THEN {'code': "
+    "'ambiguous_category', 'message': 'Also detected as ' || close.label || ' (' || printf('%.2f', close.conf) || '), close to ' || label || ' (' || "
+    "printf('%.2f', conf) || ').'} END, CASE WHEN bits IS NOT NULL THEN {'code': 'contains_separates', 'message': 'This one-piece region also matches "
+    "separate garments (' || bits || '). It may be a person wearing separates, not a dress/jumpsuit.'} END, CASE WHEN least(bx2 - bx1, by2 - by1) < "
+    + repr(v.MIN_CROP_SIDE) + " THEN {'code': 'small_crop', 'message': 'Crop is only ' || (bx2 - bx1) || 'x' || (by2 - by1) || ' px; too small to judge "
+    "reliably.'} END], lambda x: x IS NOT NULL) AS flags, coalesce(sep.slot, close.slot) AS suggested_category, bx1, by1, bx2, by2 FROM found)"
+)
+
+
+@register(
+    "detect_regions",
+    f"WITH RECURSIVE {JUDGED} SELECT image_id, id, label, category, confidence, array_to_string(list_transform(alternatives, lambda x: x.label || ' ' || "
+    "x.confidence), '; ') AS alternatives, array_to_string(list_transform(flags, lambda x: x.message), '; ') AS flags, suggested_category FROM judged",
+)
 def _detect(spark, sf):
     return _flat(d.detect_regions(b.raw_detections(spark, sf)))
 
 
-@register("region_flags")
+@register(
+    "region_flags",
+    f"WITH RECURSIVE {JUDGED}, f AS (SELECT category, unnest(flags) AS f, suggested_category FROM judged) SELECT category, f.code AS code, count(*) AS n, "
+    "count(suggested_category) AS n_suggested FROM f GROUP BY ALL",
+)
 def _flags(spark, sf):
     found = d.detect_regions(b.raw_detections(spark, sf))
     return (
@@ -181,12 +227,24 @@ def _flags(spark, sf):
     )
 
 
-@register("detections_json")
+@register(
+    "detections_json",
+    f"WITH RECURSIVE {JUDGED} SELECT image_id, '{{\"id\":\"' || id || '\",\"label\":\"' || label || '\",\"category\":\"' || category || "
+    "'\",\"confidence\":' || confidence || ',\"bbox\":' || to_json({'x1': bx1, 'y1': by1, 'x2': bx2, 'y2': by2}) || ',\"alternatives\":' || "
+    "to_json(alternatives) || ',\"flags\":' || to_json(flags) || CASE WHEN suggested_category IS NULL THEN '' ELSE ',\"suggested_category\":\"' || "
+    "suggested_category || '\"' END || '}' AS json FROM judged",
+)
 def _json(spark, sf):
     return d.detections_to_json(d.detect_regions(b.raw_detections(spark, sf)))
 
 
-@register("admit_detections")
+@register(
+    "admit_detections",
+    f"WITH RECURSIVE {JUDGED}, fixes AS (SELECT id, any_value(suggested_category) AS fix FROM judged WHERE suggested_category IS NOT NULL GROUP BY 1), "
+    "a AS (SELECT j.*, coalesce(fix, category) AS slot FROM judged j LEFT JOIN fixes USING (id) WHERE confidence >= 0.2) SELECT slot AS category, CASE WHEN "
+    "slot <> category THEN 'confirmed' WHEN len(flags) > 0 THEN 'needs_review' ELSE 'auto' END AS review_status, CASE WHEN slot <> category THEN 'user' ELSE "
+    "'detector' END AS label_source, count(*) AS n FROM a GROUP BY ALL",
+)
 def _admit(spark, sf):
     found = d.detect_regions(b.raw_detections(spark, sf))
     fixes = found.filter(F.col("suggested_category").isNotNull()).select("id", F.col("suggested_category").alias("category"))
