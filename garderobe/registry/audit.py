@@ -11,7 +11,7 @@ from garderobe.plans import bindings as b
 from garderobe.plans.audit_report import audit_and_prepare
 from garderobe.registry.base import register
 from garderobe.registry.common import case_map
-from garderobe.registry.dataset import BASE_CTE, CSV, csv_pairs
+from garderobe.registry.dataset import BASE_CTE, CSV, DISJOINT, TI, TYPED, csv_pairs
 from garderobe.registry.wardrobe import r6
 
 M = f"WITH {BASE_CTE}, looks AS (SELECT split, set_id, list(DISTINCT item_id ORDER BY item_id) AS k FROM members GROUP BY 1, 2)"
@@ -230,10 +230,78 @@ def _sample(spark, sf):
 LOOSE = {"min_train_outfits": 100, "min_unique_items": 100, "min_train_positive_pairs": 100, "min_valid_positive_pairs": 10, "min_test_positive_pairs": 10}
 
 
-@register("audit_gate")
+def gate_sql(thresholds: dict) -> str:
+    """Facts of the audit without images, then the gate's sentences in their order."""
+    t = {**v.QUALITY_THRESHOLDS, **thresholds}
+    facts = [
+        "(SELECT count(DISTINCT set_id) FROM members WHERE split = 'train') AS train_outfits",
+        "(SELECT count(*) FROM its) AS unique_items",
+        "(SELECT max(n) / sum(n) FROM (SELECT count(*) AS n FROM its GROUP BY category)) AS top_share",
+        "(SELECT count(*) FROM (SELECT item_id FROM members GROUP BY 1 HAVING count(DISTINCT (split, set_id)) > 1)) AS reused",
+        *[f"(SELECT count(*) FROM its WHERE category = '{x}') AS slot_{x}" for x in v.SLOTS],
+        *[f"(SELECT count(*) FROM disjoint WHERE split = '{x}' AND label = {y}) AS {x}_{n}" for x in v.SPLITS for y, n in ((1, "positive"), (0, "negative"))],
+        *[f"(SELECT count(*) FROM typed WHERE split = '{x}') - (SELECT count(*) FROM disjoint WHERE split = '{x}') AS dropped_{x}" for x in ("valid", "test")],
+        *[_shared(x, y) for x, y in a.SPLIT_PAIRS],
+    ]
+
+    def absent(slots):
+        return "concat_ws(', ', " + ", ".join(f"CASE WHEN slot_{x} = 0 THEN '{x}' END" for x in slots) + ")"
+
+    def lines(rows):
+        return "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {when} THEN {text} END" for when, text in rows) + "], lambda x: x IS NOT NULL), '; ')"
+
+    failures = [
+        (f"train_outfits < {t['min_train_outfits']}", f"'only ' || train_outfits || ' training outfits (need >= {t['min_train_outfits']})'"),
+        (f"unique_items < {t['min_unique_items']}", f"'only ' || unique_items || ' unique items (need >= {t['min_unique_items']})'"),
+    ]
+    for x in v.SPLITS:
+        need = t[f"min_{x}_positive_pairs"]
+        failures.append((f"{x}_positive < {need}", f"'{x}: ' || {x}_positive || ' positive pairs after cleaning + item-disjoint split (need >= {need})'"))
+    failures += [(f"{x}_negative = 0", f"'{x}: no negative pairs after filtering'") for x in v.SPLITS]
+    failures += [
+        (f"{absent(v.CORE_SLOTS)} <> ''", f"'no items in core categories: ' || {absent(v.CORE_SLOTS)}"),
+        (f"top_share > {t['max_top_category_share']}", "'severe category imbalance: largest category is ' || printf('%.0f', top_share * 100) || '% of items'"),
+    ]
+    shared = " || ', ' || ".join(f"'{x}-{y}: ' || items_{x}_{y}" for x, y in a.SPLIT_PAIRS)
+    limitations = [
+        (f"{absent(v.EXTENDED_SLOTS)} <> ''", f"'no items for: ' || {absent(v.EXTENDED_SLOTS)}"),
+        ("true", "'images not checked (corrupt/duplicate rates unknown)'"),
+        (
+            " + ".join(f"items_{x}_{y}" for x, y in a.SPLIT_PAIRS) + " > 0",
+            f"'raw splits share items (' || {shared} || '); evaluation uses item-disjoint filtering (dropped valid: ' || dropped_valid || ', test: ' || dropped_test || ')'",
+        ),
+        ("true", "'no user/account identifiers, so user-level leakage cannot be checked'"),
+        (
+            "reused = 0",
+            "'item ids are unique per outfit, so reuse of the same garment across outfits/splits is only detectable through image hashing (exact/dHash); "
+            "different photos of the same product are not detected'",
+        ),
+        ("true", "'license not recorded; verify terms before redistribution'"),
+    ]
+    lacking = [
+        (f"train_outfits < {t['min_train_outfits']}", f"'at least ' || ({t['min_train_outfits']} - train_outfits) || ' more real training outfits'"),
+        (f"unique_items < {t['min_unique_items']}", f"'at least ' || ({t['min_unique_items']} - unique_items) || ' more distinct items'"),
+    ]
+    return (
+        TYPED + TI + DISJOINT + ", its AS (SELECT item_id, coalesce(any_value(category), 'unknown') AS category FROM members LEFT JOIN item_cats USING (item_id) "
+        f"GROUP BY item_id), facts AS (SELECT {', '.join(facts)}), told AS (SELECT {lines(failures)} AS failures, {lines(limitations)} AS limitations, "
+        f"{lines(lacking)} AS what_is_missing FROM facts) SELECT CASE WHEN failures <> '' THEN 'INSUFFICIENT' WHEN limitations <> '' THEN "
+        "'SUFFICIENT_WITH_LIMITATIONS' ELSE 'SUFFICIENT' END AS verdict, failures, limitations, what_is_missing FROM told"
+    )
+
+
+@register("audit_gate", gate_sql(LOOSE))
 def _gate(spark, sf):
-    out = audit_and_prepare(b.outfit_items(spark, sf), b.item_categories(spark, sf), thresholds=LOOSE).gate
-    return out.select("verdict", *[F.array_join(c, "; ").alias(c) for c in ("failures", "limitations", "what_is_missing")])
+    return _told(audit_and_prepare(b.outfit_items(spark, sf), b.item_categories(spark, sf), thresholds=LOOSE).gate)
+
+
+def _told(gate):
+    return gate.select("verdict", *[F.array_join(c, "; ").alias(c) for c in ("failures", "limitations", "what_is_missing")])
+
+
+@register("audit_gate_strict", gate_sql(v.QUALITY_THRESHOLDS))
+def _strict(spark, sf):
+    return _told(audit_and_prepare(b.outfit_items(spark, sf), b.item_categories(spark, sf)).gate)
 
 
 @register("audit_report")
