@@ -261,7 +261,8 @@ def crowded_anchors(docs: DataFrame, shape: Shape, crowd: int = CROWD) -> np.nda
 
 
 def one_by_one(anchor, doc, start, many, whole, base, crowded):
-    """Blocks of crowded anchors taken apart: each window is a block of its own under its own hash."""
+    """Blocks of crowded anchors taken apart: each window is a block of its own under a hash of itself and the anchor, so
+    that equal ones of these new anchors and equal windows together still mean equal anchors."""
     if not len(crowded):
         return anchor, doc, start, many
     single = crowded[np.minimum(np.searchsorted(crowded, anchor), len(crowded) - 1)] == anchor
@@ -269,13 +270,13 @@ def one_by_one(anchor, doc, start, many, whole, base, crowded):
     turn = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
     anchor, doc, start, many, single = (np.repeat(c, times) for c in (anchor, doc, start, many, single))
     start = start + np.where(single, turn, 0)
-    return np.where(single, whole[base[doc] + start], anchor), doc, start, np.where(single, 1, many)
+    return np.where(single, chain(anchor, whole[base[doc] + start]), anchor), doc, start, np.where(single, 1, many)
 
 
 def _block_rows(shape: Shape, buckets: int, crowded: np.ndarray, slices: bool) -> Callable:
     """Of documents with the starts of their repeated blocks: those blocks by bucket of their anchor.
 
-    A block of a crowded anchor goes out window by window, under the hash of the window instead of the anchor.
+    A block of a crowded anchor goes out window by window, under a hash of anchor and window instead of the anchor.
     ``payload`` is the content: the bytes of a block, or the hashes of its windows. A block that comes several times
     in a batch of documents sends its content once.
     """
@@ -337,8 +338,8 @@ class Bucket:
     where: dict[int, tuple[int, int, int]]
     payloads: list[bytes]
 
-    def content(self, block: int) -> bytes:
-        i, at, size = self.where[block]
+    def content(self, anchor: int, block: int) -> bytes:
+        i, at, size = self.where[anchor << 64 | block]
         return self.payloads[i][at : at + size]
 
 
@@ -347,9 +348,9 @@ def read_bucket(table: pa.Table, shape: Shape, slices: bool) -> Bucket:
     for i, blob in enumerate(table.column("blob")):
         part, at = unpack(blob.as_py(), BLOCK_KINDS), 0
         new = first_of_runs(part[0], part[1])
-        for b, m in zip(part[1][new].tolist(), part[5][new].tolist(), strict=True):
+        for a, b, m in zip(part[0][new].tolist(), part[1][new].tolist(), part[5][new].tolist(), strict=True):
             size = m + shape.width - 1 if slices else 8 * m
-            where[b] = (i, at, size)
+            where[a << 64 | b] = (i, at, size)
             at += size
         parts.append(part)
     columns = [np.concatenate(c) for c in zip(*parts, strict=True)]

@@ -17,22 +17,31 @@ WIDTH = 35
 ANCHOR = 6
 
 
+def named(anchor: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """Dense numbers of the different (anchor, window) pairs."""
+    order = np.lexsort((windows, anchor))
+    name = np.empty(len(order), np.int64)
+    name[order] = np.cumsum(first_of_runs(anchor[order], windows[order])) - 1
+    return name
+
+
 def resolve(bucket: Bucket) -> pa.Table:
     """Edges of the graph in a bucket, one row for each occurrence: (doc_id, variant, start, windows, edge).
 
-    The k-mers are the windows of 35 words. A window counts as often as its blocks stand anywhere. Consecutive repeated
-    windows belong to one edge while the step between them is the only way out of the first and into the second: the
-    step then stands as often as either.
+    The k-mers are the windows of 35 words, named by 64 bits of their words and 64 of their anchor. A window counts as
+    often as its blocks stand anywhere. Consecutive repeated windows belong to one edge while the step between them is the
+    only way out of the first and into the second: the step then stands as often as either.
     """
     head = first_of_runs(bucket.anchor, bucket.block)
     block = np.cumsum(head) - 1
     times = np.bincount(block)
     many = bucket.many[head].astype(np.int64)
-    windows = np.frombuffer(b"".join(bucket.content(b) for b in bucket.block[head].tolist()), np.uint64)
+    held = zip(bucket.anchor[head].tolist(), bucket.block[head].tolist(), strict=True)
+    windows = np.frombuffer(b"".join(bucket.content(a, b) for a, b in held), np.uint64)
     of = np.repeat(np.arange(len(many)), many)
-    _, name = np.unique(windows, return_inverse=True)
+    name = named(bucket.anchor[head][of], windows)
     count = np.bincount(name, weights=times[of])[name].astype(np.int64)
-    step = chain(windows[:-1], windows[1:])
+    step = name[:-1] * (len(name) + 1) + name[1:]
     inner = of[1:] == of[:-1]
     _, step_name = np.unique(step, return_inverse=True)
     step_count = np.bincount(step_name, weights=np.where(inner, times[of[1:]], 0))[step_name] if len(step) else np.empty(0)

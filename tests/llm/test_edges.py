@@ -244,3 +244,24 @@ def test_mix_meets_its_targets_without_ids(spark):
     con.executemany("INSERT INTO documents VALUES (?, ?, ?)", rows)
     want = con.execute(mixing.ORACLE_SQL).fetchall()
     assert sorted(((d, n, s, round(t, 6), k) for d, n, s, t, k in want), key=str) == sorted(((d, n, s, round(t, 6), k) for d, n, s, t, k in out), key=str)
+
+
+def test_windows_of_equal_hash_and_different_anchors_are_different():
+    import numpy as np
+    import pyarrow as pa
+
+    from garderobe.llm.blocks import BLOCK_KINDS, Shape, pack, read_bucket
+
+    def blob(rows):
+        anchor, block, doc = (np.array([r[i] for r in rows]) for i in range(3))
+        zero = np.zeros(len(rows), np.int64)
+        columns = [anchor, block, doc, zero, zero, zero + 1]
+        return pack([c.astype(k) for c, k in zip(columns, BLOCK_KINDS, strict=True)])
+
+    def found(rows, hashes):
+        table = pa.table({"blob": pa.array([blob(rows)], pa.binary()), "payload": pa.array([np.array(hashes, np.uint64).tobytes()], pa.binary())})
+        return debruijn.resolve(read_bucket(table, Shape(35, 6, True), False)).column("doc_id").to_pylist()
+
+    assert found([(5, 9, 1), (6, 9, 2)], [77, 77]) == []  # equal hashes of blocks and windows under two anchors
+    assert found([(5, 9, 1), (5, 9, 2)], [77]) == [1, 2]
+    assert found([(5, 8, 1), (5, 9, 2), (6, 9, 3)], [77, 77, 77]) == [1, 2]
