@@ -79,6 +79,45 @@ def test_bootstrap_values_do_not_depend_on_the_ranges(spark, monkeypatch):
     assert values() == few and len(few) == 60
 
 
+def tied_rows():
+    return [(i, i * 7 % 5 % 2, [0.2, 0.2, 0.2, 0.7, (i % 29) / 29][i % 5], float(i % 2)) for i in range(600)]
+
+
+def bootstrap_loop(rows, at, n):
+    """(AUC, average precision) of each replicate, row by row."""
+    import hashlib
+
+    import numpy as np
+
+    w = m.replicate_weights(np.array([int(hashlib.sha1(f"0:{r[0]}".encode()).hexdigest()[:8], 16) % m.PRIME for r in rows]), np.arange(1, n + 1))
+    label, score = (np.array([r[i] for r in rows]) for i in (1, at))
+    for k in range(n):
+        tp = fp = good = gained = 0.0
+        for s in sorted(set(score), reverse=True):
+            pos, neg = (float(w[(score == s) & (label == y), k].sum()) for y in (1, 0))
+            good += neg * (tp + pos / 2)
+            tp, fp = tp + pos, fp + neg
+            gained += pos * tp / (tp + fp) if tp + fp else 0.0
+        yield round(good / (tp * fp), 9), round(gained / tp, 9)
+
+
+def test_bootstrap_cuts_a_score_of_many_rows(spark, monkeypatch):
+    df, sizes, cut = spark.createDataFrame(tied_rows(), "id long, label int, score double, other double"), [], m.by_ranges
+
+    def counted(*args, **options):
+        out = cut(*args, **options)
+        sizes.extend(r["count"] for r in out.groupBy("range").count().collect())
+        return out
+
+    monkeypatch.setattr(m, "RANGE_ROWS", 50)
+    monkeypatch.setattr(m, "by_ranges", counted)
+    got = m.bootstrap_values(df, ["id"], ["score", "other"], n=60).collect()
+    assert max(sizes) <= 100 and sum(sizes) == 1200
+    for at, name in ((2, "score"), (3, "other")):
+        found = [(round(r.roc_auc, 9), round(r.pr_auc, 9)) for r in sorted(got, key=lambda r: r.replicate) if r.scorer == name]
+        assert found == list(bootstrap_loop(tied_rows(), at, 60))
+
+
 def test_distractors_are_drawn_for_each_question(spark):
     from collections import Counter
     from itertools import combinations
