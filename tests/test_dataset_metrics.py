@@ -118,6 +118,24 @@ def test_bootstrap_cuts_a_score_of_many_rows(spark, monkeypatch):
         assert found == list(bootstrap_loop(tied_rows(), at, 60))
 
 
+def test_paired_bootstrap_cuts_a_score_of_many_rows(spark, monkeypatch):
+    import numpy as np
+
+    df, sizes, cut = spark.createDataFrame(tied_rows(), "id long, label int, score double, other double"), [], m.by_ranges
+
+    def counted(rows, order, name, *args, **options):
+        out = cut(rows, order, name, *args, **options)
+        sizes.extend(r["count"] for r in out.groupBy(name).count().collect())
+        return out
+
+    monkeypatch.setattr(m, "RANGE_ROWS", 50)
+    monkeypatch.setattr(m, "by_ranges", counted)
+    got = m.paired_bootstrap_auc_diff(df, ["id"], "score", "other", n=60).first()
+    assert max(sizes) <= 100
+    d = [a - b for (a, _), (b, _) in zip(bootstrap_loop(tied_rows(), 2, 60), bootstrap_loop(tied_rows(), 3, 60), strict=True)]
+    assert [round(got.ci95_low, 6), round(got.ci95_high, 6)] == [round(float(q), 6) for q in np.percentile(d, [2.5, 97.5])]
+
+
 def test_distractors_are_drawn_for_each_question(spark):
     from collections import Counter
     from itertools import combinations
