@@ -66,8 +66,9 @@ class Index:
     def find(self, text: str | None, similarity: float = SIMILARITY) -> list[tuple[int, int, int, float]]:
         """(item_id, first shingle, shingles, similarity) of the best window for each item found in a whole text.
 
-        A window has as many shingles as the item (or is the whole text, if that has fewer). Only windows with a
-        shingle of some item can be similar at all; they are fingerprinted from running sums of bits.
+        A window has as many shingles as the item (or is the whole text, if that has fewer). Only windows whose share of
+        shingles of some item is at least ``similarity`` can be similar enough; they are fingerprinted from running sums of
+        bits.
         """
         hashes = shingle_hashes(text, SHINGLE)
         if not len(hashes) or not len(self.known):
@@ -75,18 +76,21 @@ class Index:
         marked = np.flatnonzero(self.known[np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)] == hashes)
         if not len(marked):
             return []
-        bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        sums = np.zeros((len(hashes) + 1, 64), np.int32)
-        np.cumsum(bits, axis=0, out=sums[1:])
         touched = np.zeros(len(hashes) + 1, np.int64)
         touched[1:][marked] = 1
         touched = np.cumsum(touched)
+        sums = None
         best: dict[int, tuple[float, int, int]] = {}
         for size, group in self.sized.items():
             n = min(size, len(hashes))
-            starts = np.flatnonzero(touched[n:] > touched[: len(hashes) - n + 1])
+            # A shingle of no item weighs most, so the similarity is at most the share of the others.
+            starts = np.flatnonzero(touched[n:] - touched[: len(hashes) - n + 1] >= max(1e-6, similarity * n - 1e-6))
             if not len(starts):
                 continue
+            if sums is None:
+                bits = np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+                sums = np.zeros((len(hashes) + 1, 64), np.int32)
+                np.cumsum(bits, axis=0, out=sums[1:])
             prints = np.packbits(2 * (sums[starts + n] - sums[starts]) > n, axis=1).view(">u8").ravel().astype(np.uint64)
             pairs = set()
             for b in range(BLOCKS):

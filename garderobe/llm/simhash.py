@@ -37,11 +37,11 @@ def shingle_hashes(text: str | None, k: int, lower: bool = True) -> np.ndarray:
     if not words:
         return np.empty(0, np.uint64)
     joined = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words])
-    starts = np.concatenate(([0], ends[:-1])).tolist()
-    ends = (ends - 1).tolist()
+    n, k = len(words), min(k, len(words))
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1)
+    starts = [0, *ends[: n - k].tolist()]
     digest = xxhash.xxh64_intdigest
-    return np.array([digest(joined[a:b], 42) for a, b in zip(starts, ends[min(k, len(words)) - 1 :], strict=False)], np.uint64)
+    return np.fromiter([digest(joined[a:b], 42) for a, b in zip(starts, (ends[k - 1 :] - 1).tolist(), strict=True)], np.uint64, n - k + 1)
 
 
 def majority(hashes: np.ndarray) -> np.uint64:

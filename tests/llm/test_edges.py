@@ -265,3 +265,28 @@ def test_windows_of_equal_hash_and_different_anchors_are_different():
     assert found([(5, 9, 1), (6, 9, 2)], [77, 77]) == []  # equal hashes of blocks and windows under two anchors
     assert found([(5, 9, 1), (5, 9, 2)], [77]) == [1, 2]
     assert found([(5, 8, 1), (5, 9, 2), (6, 9, 3)], [77, 77, 77]) == [1, 2]
+
+
+def test_windows_with_few_shingles_of_items_get_no_fingerprint(monkeypatch):
+    import numpy as np
+
+    from garderobe.llm import decontaminate as dc
+    from garderobe.llm.simhash import majority, shingle_hashes
+
+    item = [f"w{i}" for i in range(40)]
+    index = dc.Index([(1, " ".join(item)), (2, " ".join(item[:20] + [f"v{i}" for i in range(25)]))])
+    far = " ".join([f"x{i}" for i in range(300)] + item[:12] + [f"y{i}" for i in range(300)])
+    near = [" ".join([f"x{i}" for i in range(9)] + item[:cut] + ["z"] * 2 + item[cut + 1 :] + item[:7]) for cut in (2, 20, 39)]
+    for text in near:
+        hashes, want = shingle_hashes(text, dc.SHINGLE), {}
+        for row, bag in enumerate(index.bags):
+            n = min(sum(bag.values()), len(hashes))
+            own = majority(np.array(list(bag.elements()), np.uint64))
+            for start in range(len(hashes) - n + 1):
+                window = hashes[start : start + n]
+                value = index.similarity(window, row)
+                if value >= 0.5 and int(own ^ majority(window)).bit_count() <= dc.RADIUS and value > want.get(row, (0.0, 0, 0))[0]:
+                    want[row] = (value, start, n)
+        assert index.find(text, 0.5) == [(index.ids[r], s, n, v) for r, (v, s, n) in sorted(want.items())] != []
+    monkeypatch.setattr(dc.np, "unpackbits", None)
+    assert index.find(far) == []
