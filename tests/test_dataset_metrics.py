@@ -237,3 +237,37 @@ def test_gate(spark):
     assert "no items for: one_piece" in row.limitations
     loose = a.audit_gate(spark.createDataFrame([facts]), {"min_train_outfits": 5}).collect()[0]
     assert loose.verdict == "SUFFICIENT_WITH_LIMITATIONS"
+
+
+def test_few_draws_go_to_the_tables(spark, monkeypatch):
+    rows = [(("train", "valid")[s % 2], s, k, f"i{(s * 7 + k * 5) % 18:02d}") for s in range(40) for k in range(3)]
+    outfits = spark.createDataFrame(rows, "split string, set_id long, ord long, item_id string")
+    kinds = spark.createDataFrame([(f"i{i:02d}", f"c{i % 2}") for i in range(17)], "item_id string, category string")
+
+    def drawn():
+        sampler = d.PairSampler(outfits, kinds)
+        assert "i00" in {r.item_a for r in sampler.positives.collect()}
+        found = sorted(tuple(r) for r in sampler.negatives().collect())
+        return found, sorted(tuple(r) for r in sampler.unfilled().collect())
+
+    few = drawn()
+    assert len(few[0]) + sum(r[2] for r in few[1]) == 120
+    seen = {(r[0], *sorted(r[2:4])) for r in few[0]} & {(r.split, *sorted((r.item_a, r.item_b))) for r in d.positive_pairs(outfits).collect()}
+    assert not seen
+    monkeypatch.setattr(d, "FEW_TRIES", 0)
+    assert drawn() == few
+
+
+def test_pairs_of_small_groups_carry_no_blocks(spark):
+    from garderobe.operators.spread import pair_join
+
+    rows = spark.createDataFrame([(g, i) for g in range(30) for i in range(g % 5)], "g long, i long")
+
+    def pairs(**options):
+        return pair_join(rows, rows, ["g"], ["i"], lambda a, b: a("i") < b("i"), select=lambda a, b: [a("i").alias("a"), b("i").alias("b")], **options)
+
+    def found(df):
+        return sorted(tuple(r) for r in df.select("g", "a", "b").collect())
+
+    assert "explode" not in pairs()._jdf.queryExecution().optimizedPlan().toString()
+    assert found(pairs()) == found(pairs(block_rows=2)) == sorted((g, a, b) for g in range(30) for b in range(g % 5) for a in range(b))
