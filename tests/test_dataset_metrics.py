@@ -66,6 +66,20 @@ def test_running_counts_do_not_depend_on_the_ranges(spark, monkeypatch):
         assert (r.tp, r.fp) == (sum(x[0] for x in above), sum(1 - x[0] for x in above))
 
 
+def test_written_pairs_are_not_written_again(spark, monkeypatch):
+    """The report of the disjoint filter, and counts of a split, read pairs that come from written tables as they are."""
+    rows = [("train", "a", "b", 1, "observed_positive"), ("valid", "a", "c", 1, "observed_positive"), ("valid", "c", "d", 0, "hard_negative"), ("test", "d", "e", 1, "observed_positive")]
+    pairs = spark.createDataFrame(rows, "split string, item_a string, item_b string, label int, kind string")
+    sizes = []
+    kept = d.cut_lineage
+    monkeypatch.setattr(d, "cut_lineage", lambda df: sizes.append(df.columns) or kept(df))
+    got = {r.split: (r.pairs, r.kept) for r in d.disjoint_report(pairs, written=True).collect()}
+    assert got == {"train": (1, 1), "valid": (2, 1), "test": (1, 0)}
+    assert [sorted(x) for x in sizes].count(sorted(pairs.columns)) == 1  # the surviving valid pairs alone
+    sizes.clear()
+    assert d.split_stats(pairs, written=True).count() == 3 and sizes == []
+
+
 def test_bootstrap_values_do_not_depend_on_the_ranges(spark, monkeypatch):
     rows = [(i, i * 7 % 3 % 2, (i * 37 % 101) / 101) for i in range(300)]
     df = spark.createDataFrame(rows, "id long, label int, score double")
