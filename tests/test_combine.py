@@ -3,6 +3,8 @@
 import collections
 import itertools
 
+from pyspark.sql import functions as F
+
 from garderobe.operators import combine
 from garderobe.operators import outfits as o
 
@@ -59,3 +61,54 @@ def test_no_combination_is_shuffled(spark):
     assert "FlatMapGroupsInArrow" in plan
     above = plan[: plan.index("FlatMapGroupsInArrow")]
     assert "Join" not in above and "Exchange" not in above
+
+
+def layer_rows(rows, layers=("outerwear", "accessory"), n=5, block=2):
+    """Score arrays of every garment for blocks of layer garments with equal scores, gaps and a garment without any."""
+    G0 = lambda slot, i: (None, f"{slot}{i}", None, slot, None)
+    out = []
+    wearers = {(r[0], g[1], g[3]) for r in rows for g in r[4:6] if g[1]}
+    wearers |= {(w, f"outerwear{i}", "outerwear") for w in (1, 2, 3) for i in range(n)}
+    for w, name, slot in sorted(wearers):
+        for layer in layers:
+            if slot == layer or name == "shoes1":
+                continue
+            for blk in range(0, n, block):
+                span = range(blk, min(n, blk + block))
+                ps = [None if (hash_of(name) + i) % 11 == 0 else ((hash_of(name) + i * 3) % 7) / 8 for i in span]
+                out.append((w, name, layer, blk, [G0(layer, i) for i in span], ps))
+    return out
+
+
+def hash_of(name):
+    return sum(name.encode())
+
+
+def test_layers_chosen_where_combinations_are_formed_equal_joined_ones(spark, monkeypatch):
+    rows = scored_pairs(spark, (4, 5, 3))
+    vectors = spark.createDataFrame(layer_rows(rows), f"wardrobe_id long, wearer string, layer string, blk int, gs array<{G}>, ps array<double>")
+    forced = spark.createDataFrame([(1, None), (2, "outerwear"), (3, "accessory")], "wardrobe_id long, forced string")
+    scored = spark.createDataFrame([r for r in rows if r[6] is not None], SCORED)
+    core = o.core_combinations(scored).join(forced, "wardrobe_id")
+    joined = o.best_layer(o.best_layer(core, vectors, "outerwear", ["m1", "m2", "m3"]), vectors, "accessory", ["m1", "m2", "m3", "outerwear"])
+    members = ["m1", "m2", "m3", "outerwear", "accessory"]
+    shown = ["wardrobe_id", "template", *[f"{m}.item_id" for m in members], "total", "weight"]
+    want = collections.Counter(tuple(r) for r in joined.select(*shown).collect())
+    assert {bool(k[5]) for k in want} == {bool(k[6]) for k in want} == {True, False}
+    known = scored.join(forced, "wardrobe_id").selectExpr("*", "cast(null as string) as want")
+    for block, cells in ((128, 1_000_000), (2, 20)):
+        monkeypatch.setattr(combine, "BLOCK", block)
+        monkeypatch.setattr(combine, "LAYER_CELLS", cells)
+        found = o.dressed(known, vectors, o.THREE).unionByName(o.dressed(known, vectors, "one_piece+shoes"))
+        assert collections.Counter(tuple(r) for r in found.select(*shown).collect()) == want
+    asked = o.dressed(known.withColumn("want", F.lit("bottom2")), vectors, o.THREE).select(*shown)
+    assert collections.Counter(tuple(r) for r in asked.collect()) == {k: n for k, n in want.items() if k[3] == "bottom2"}
+
+
+def test_candidates_with_layers_are_not_shuffled(spark):
+    rows = scored_pairs(spark)
+    vectors = spark.createDataFrame(layer_rows(rows), f"wardrobe_id long, wearer string, layer string, blk int, gs array<{G}>, ps array<double>")
+    known = spark.createDataFrame(rows, SCORED).selectExpr("*", "cast(null as string) as forced", "cast(null as string) as want")
+    plan = o.dressed(known, vectors, o.THREE)._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("FlatMapGroupsInArrow")]
+    assert "Join" not in above and "Exchange" not in above and "Aggregate" not in above
