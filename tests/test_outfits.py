@@ -191,3 +191,18 @@ def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(1, i, i + 1) for i in range(40)] + [(2, 5, 9)], "k int, a int, b int")
     out = d.connected_components(edges, ["k"])
     assert {(r.k, r.label) for r in out.collect()} == {(1, 0), (2, 5)} and out.count() == 43
+
+
+def test_choosing_outfits_does_not_shuffle_candidates(spark, monkeypatch):
+    """Candidates and what is chosen are tables of known size: the chosen go to the candidates, also in later rounds."""
+    plans, real = [], o.written
+
+    def kept(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df)
+
+    strong = real(o.build_candidates(pool(spark, wardrobe(spark, COUNTS29)), BASE)[0])
+    monkeypatch.setattr(o, "written", kept)
+    assert o.diverse_topk(strong, 3).count() == 3
+    assert len(plans) == 4 and all("BroadcastHashJoin" in p for p in plans[2:])
+    assert not any("SortMergeJoin" in line and "Inner" in line for p in plans for line in p.splitlines())
