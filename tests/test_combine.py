@@ -54,6 +54,18 @@ def test_core_combinations_equal_brute_force_in_blocks(spark, monkeypatch):
         assert collections.Counter(tuple(r) for r in found.collect()) == want
 
 
+def test_counts_equal_the_combinations_and_none_is_formed(spark, monkeypatch):
+    rows = scored_pairs(spark)
+    want = collections.Counter()
+    for key, n in brute_force(rows).items():
+        want[key[0]] += n
+    monkeypatch.setattr(combine, "joined_rows", None)
+    for block in (128, 3):
+        monkeypatch.setattr(combine, "BLOCK", block)
+        found = o.core_counts(spark.createDataFrame(rows, SCORED)).collect()
+        assert {r.wardrobe_id: r.valid for r in found} == dict(want)
+
+
 def test_no_combination_is_shuffled(spark):
     """Pairs go to their blocks; above the step that forms combinations there is no join and no exchange."""
     core = o.core_combinations(spark.createDataFrame(scored_pairs(spark), SCORED))
