@@ -21,6 +21,16 @@ def test_places_equal_one_window(spark, monkeypatch, rows):
     assert sorted(map(str, spread.places(df, ["k"], "score", ["tie"], "at").collect())) == want
 
 
+def test_a_very_large_group_gets_few_blocks(spark, monkeypatch):
+    """Every row is copied for every block, so 300 rows at 2 a block are not 150 blocks; no pair is lost."""
+    monkeypatch.setattr(spread, "BLOCK_ROWS", 2)
+    rows = spark.range(300).selectExpr("id % 1 as k", "cast(id as string) as item_id").unionByName(spark.range(3).selectExpr("1L as k", "cast(id as string) as item_id"))
+    met = spread.pair_join(rows, rows, ["k"], ["item_id"], lambda a, b: a("item_id") < b("item_id"), select=lambda a, b: [a("item_id").alias("a"), b("item_id").alias("b")])
+    counts = {r.k: (r.n, r.blocks) for r in met.groupBy("k").agg(F.countDistinct("a", "b").alias("n"), F.countDistinct("_bi").alias("blocks")).collect()}
+    assert counts[0][0] == met.filter("k = 0").count() == 300 * 299 // 2 and counts[0][1] == 19
+    assert counts[1][0] == 3
+
+
 def tables(folder, n=24):
     """One wardrobe of ``n`` garments of three slots, and the seven vectors that styles need."""
     rng = np.random.default_rng(1)
